@@ -112,7 +112,7 @@ def consistent_forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         try:
             for b in batches:
                 con.register("batch", pa.Table.from_batches([b]))
-                got = con.execute(sql).to_arrow_table()
+                got = con.sql(sql).to_arrow_table()
                 con.unregister("batch")
                 yield from got.cast(target).to_batches()
         finally:
