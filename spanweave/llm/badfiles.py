@@ -132,6 +132,8 @@ def scan_python(text: str) -> Defect | None:
                 soft = prev in PY_SOFT and prev == first or kind == "str" and kind_prev == "str"
                 if not soft and not (kind == "open" and kind_prev == "name"):
                     raise Stop("tokens that cannot meet", at)
+            if prev == "import" and kind != "name" and tok not in ("(", "*") or first == prev == "from" and kind != "name" and tok not in (".", "..."):
+                raise Stop("tokens that cannot meet", at)
             if not first:
                 first = tok if kind == "name" else kind
             if kind == "open":
@@ -375,7 +377,7 @@ class _TypeScript:
             self.fail("unbalanced delimiter", self.stack[-1][1])
         if self.header:
             self.fail("premature end", self.header - 1)
-        if self.kind == "op" and self.prev in TS_UNENDED or self.kind == "name" and self.prev in TS_UNENDED_WORDS:
+        if self.prev == "from" and self.words[:1] in (["import"], ["export"]) or self.kind == "op" and self.prev in TS_UNENDED or self.kind == "name" and self.prev in TS_UNENDED_WORDS:
             self.fail("premature end", n)
 
     def template(self, i: int, at: int) -> int:

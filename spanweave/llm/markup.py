@@ -54,7 +54,7 @@ DISPLAY = re.compile(r"\$\$(?=\S)(.+?)\$\$|\\\[(?=[\s\S]*?\\\])(.+?)\\\]|\\begin
 INLINE_CODE = re.compile(r"(?<!`)(`+)(?!`)([^\n]*?[^`\n])\1(?!`)")
 INLINE_MATH = re.compile(r"(?<![\\$\w])\$(?=[^\s$])([^$\n]*?[^\s$\\])\$(?![\d$\w])|\\\((?=[^\n]*?\\\))(.+?)\\\)")
 MATHLIKE = re.compile(r"[\\^_{}=<>+]|^[A-Za-z]$|^[A-Za-z]\([^)]*\)$")
-TAG = re.compile(rf"(?<![\w<])<(/?)({'|'.join(sorted(ELEMENTS.split(), key=len, reverse=True))})((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))?)*)\s*(/?)>|<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>", re.I | re.S)
+TAG = re.compile(rf"(?:(?<![\w<])|(?=</?(?:br|hr|img|h[1-6]|li|ul|ol|div|pre|tr|td|th|p)[\s/>])|(?=</))<(/?)({'|'.join(sorted(ELEMENTS.split(), key=len, reverse=True))})((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))?)*)\s*(/?)>|<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>", re.I | re.S)
 CLOSING = re.compile(rf"</({'|'.join(sorted(ELEMENTS.split(), key=len, reverse=True))})\s*>", re.I)
 ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][\da-fA-F]{1,6});")
 MD_LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\(\s*<?([^()\s<>]*(?:\([^()\s]*\))?[^()\s<>]*)>?(?:\s+[\"'(][^\n]*?[\"')])?\s*\)")
