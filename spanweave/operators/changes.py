@@ -45,15 +45,14 @@ def _vote(names: DataFrame, by: list[str]) -> DataFrame:
     return c.select(*by, F.when(F.col("s") == top, "snake_case").when(F.col("c") == top, "camelCase").otherwise("PascalCase").alias("convention"), F.col("s").alias("n_snake"), F.col("c").alias("n_camel"), F.col("p").alias("n_pascal"))
 
 
-NAME_PATTERNS = {"class": r"class\s+([A-Za-z0-9_]+)", "function": r"def\s+([A-Za-z0-9_]+)", "variable": r"([a-z][A-Za-z0-9_]+)\s*="}
+#: What names are read by; the variable pattern enters each word once, at its start.
+NAME_PATTERNS = {"class": r"class\s+([A-Za-z0-9_]+)", "function": r"def\s+([A-Za-z0-9_]+)", "variable": r"(?<![A-Za-z0-9_])[A-Z0-9_]*+([a-z][A-Za-z0-9_]++)\s*="}
 
 
 def naming_votes(chunks: DataFrame, by: str = "graph_id") -> DataFrame:
     """The naming convention of classes, functions and variables per group; ties go snake, camel, Pascal."""
-    rows = None
-    for kind, pattern in NAME_PATTERNS.items():
-        r = chunks.where("text is not null").select(by, F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("name"))
-        rows = r if rows is None else rows.unionByName(r)
+    kinds = [F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("names")) for k, p in NAME_PATTERNS.items()]
+    rows = chunks.where("text is not null").select(by, F.inline(F.array(*kinds))).select(by, "kind", F.explode("names").alias("name"))
     return _vote(rows.where("name <> ''"), [by, "kind"])
 
 
