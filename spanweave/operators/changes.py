@@ -38,34 +38,55 @@ def naming_class(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("_")), "snake_case").when(F.substring(name, 1, 1).rlike(r"^\p{Lu}"), "PascalCase").when(rest.rlike(r"\p{Lu}"), "camelCase").otherwise("snake_case")
 
 
-def _vote(names: DataFrame, by: list[str]) -> DataFrame:
-    k = naming_class(F.col("name"))
-    c = names.groupBy(*by).agg(F.count_if(k == "snake_case").alias("s"), F.count_if(k == "camelCase").alias("c"), F.count_if(k == "PascalCase").alias("p"))
-    top = F.greatest("s", "c", "p")
-    return c.select(*by, F.when(F.col("s") == top, "snake_case").when(F.col("c") == top, "camelCase").otherwise("PascalCase").alias("convention"), F.col("s").alias("n_snake"), F.col("c").alias("n_camel"), F.col("p").alias("n_pascal"))
-
-
 #: What names are read by; the variable pattern enters each word once, at its start.
 NAME_PATTERNS = {"class": r"class\s+([A-Za-z0-9_]+)", "function": r"def\s+([A-Za-z0-9_]+)", "variable": r"(?<![A-Za-z0-9_])[A-Z0-9_]*+([a-z][A-Za-z0-9_]++)\s*="}
 
 
-def naming_votes(chunks: DataFrame, by: str = "graph_id") -> DataFrame:
+def _style_counts(names: Column) -> Column:
+    """(s, c, p): how many names are of each style."""
+    count = lambda k: F.size(F.filter(names, lambda n: (n != "") & (naming_class(n) == k))).cast("long")
+    return F.struct(count("snake_case").alias("s"), count("camelCase").alias("c"), count("PascalCase").alias("p"))
+
+
+def naming_counts(text: Column) -> Column:
+    """One struct of style counts per kind of name."""
+    return F.struct(*[_style_counts(F.regexp_extract_all(text, F.lit(p), F.lit(1))).alias(k) for k, p in NAME_PATTERNS.items()])
+
+
+def error_counts(text: Column) -> Column:
+    n = lambda p, a: F.regexp_count(text, F.lit(p)).cast("long").alias(a)
+    return F.struct(n("try:", "n_try"), n(r"except\s+[A-Za-z0-9_]+", "n_specific"), n("except:", "n_bare"))
+
+
+def doc_counts(text: Column) -> Column:
+    n = lambda p, a: F.regexp_count(text, F.lit(p)).cast("long").alias(a)
+    return F.struct(n(r'(?s)""".*?"""', "n_double"), n(r"(?s)'''.*?'''", "n_single"), n("#", "n_hash"))
+
+
+def _counted(chunks: DataFrame, counts: Column, by: str, key: str | None) -> DataFrame:
+    """Counts per chunk, worked out where the text is read; with `key`, each key once. Only counts are shuffled."""
+    c = chunks.where("text is not null").select(by, *([key] if key else []), counts.alias("n"))
+    return c.groupBy(by, key).agg(F.max("n").alias("n")) if key else c
+
+
+def naming_votes(chunks: DataFrame, by: str = "graph_id", key: str | None = None) -> DataFrame:
     """The naming convention of classes, functions and variables per group; ties go snake, camel, Pascal."""
-    kinds = [F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("names")) for k, p in NAME_PATTERNS.items()]
-    rows = chunks.where("text is not null").select(by, F.inline(F.array(*kinds))).select(by, "kind", F.explode("names").alias("name"))
-    return _vote(rows.where("name <> ''"), [by, "kind"])
+    c = _counted(chunks, naming_counts(F.col("text")), by, key)
+    c = c.select(by, F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n.{k}").alias("m")) for k in NAME_PATTERNS])))
+    c = c.groupBy(by, "kind").agg(*[F.sum(f"m.{x}").alias(x) for x in "scp"]).where("s + c + p > 0")
+    top = F.greatest("s", "c", "p")
+    style = F.when(F.col("s") == top, "snake_case").when(F.col("c") == top, "camelCase").otherwise("PascalCase")
+    return c.select(by, "kind", style.alias("convention"), F.col("s").alias("n_snake"), F.col("c").alias("n_camel"), F.col("p").alias("n_pascal"))
 
 
-def error_votes(chunks: DataFrame, by: str = "graph_id") -> DataFrame:
+def error_votes(chunks: DataFrame, by: str = "graph_id", key: str | None = None) -> DataFrame:
     """How errors are handled: none, specific if named exceptions outnumber bare ones, else generic."""
-    n = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("long")
-    c = chunks.where("text is not null").groupBy(by).agg(n("try:").alias("n_try"), n(r"except\s+[A-Za-z0-9_]+").alias("n_specific"), n("except:").alias("n_bare"))
+    c = _counted(chunks, error_counts(F.col("text")), by, key).groupBy(by).agg(*[F.sum(f"n.{x}").alias(x) for x in ("n_try", "n_specific", "n_bare")])
     return c.withColumn("style", F.when(F.col("n_try") == 0, "no_error_handling").when(F.col("n_specific") > F.col("n_bare"), "specific_exception_handling").otherwise("generic_exception_handling"))
 
 
-def doc_votes(chunks: DataFrame, by: str = "graph_id") -> DataFrame:
+def doc_votes(chunks: DataFrame, by: str = "graph_id", key: str | None = None) -> DataFrame:
     """How code is documented: docstrings by quote, inline comments, or hardly. Only double quotes count as docstrings."""
-    n = lambda p: F.sum(F.regexp_count("text", F.lit(p))).cast("long")
-    c = chunks.where("text is not null").groupBy(by).agg(n(r'(?s)""".*?"""').alias("n_double"), n(r"(?s)'''.*?'''").alias("n_single"), n(r"#").alias("n_hash"))
+    c = _counted(chunks, doc_counts(F.col("text")), by, key).groupBy(by).agg(*[F.sum(f"n.{x}").alias(x) for x in ("n_double", "n_single", "n_hash")])
     style = F.when(F.col("n_double") > 0, F.when(F.col("n_double") >= F.col("n_single"), "docstrings_triple_double").otherwise("docstrings_triple_single"))
     return c.withColumn("style", F.coalesce(style, F.when(F.col("n_hash") > 0, "inline_comments"), F.lit("minimal_documentation")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -107,20 +107,23 @@ def component_counts(g: Graph) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------------------------- chunks
-def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """Chunks flat, each id once (the latest row), paths clean, token counts filled from the text."""
+def chunk_rows(chunks: DataFrame, text: bool = True, **derived: Column) -> DataFrame:
+    """Chunks flat, each id once (the latest row), paths clean, with `tokens` and other values derived from the text.
+
+    Values are worked out before the rows of an id are brought together; without `text` no text is shuffled."""
     from spanweave.functions.text import clean_path, token_count
 
     c = chunks.select("graph_id", "id", "text", "metadata.*", "indexed_at").withColumn("source_file", clean_path(F.col("source_file")))
-    c = c.groupBy("graph_id", "id").agg(F.max_by(F.struct("text", "source_file", "language", "chunk_index", "start_line", "end_line", "token_count"), F.struct("indexed_at", "source_file")).alias("r")).select("graph_id", "id", "r.*")
-    return c.withColumn("tokens", token_count(F.col("text")))
+    c = c.withColumns({"tokens": token_count(F.col("text")), **derived})
+    kept = [*(["text"] if text else []), "source_file", "language", "chunk_index", "start_line", "end_line", "token_count", "tokens", *derived]
+    return c.groupBy("graph_id", "id").agg(F.max_by(F.struct(*kept), F.struct("indexed_at", "source_file")).alias("r")).select("graph_id", "id", "r.*")
 
 
 def token_stats(chunks: DataFrame) -> DataFrame:
     """Smallest, largest, mean and upper median of the tokens per chunk of each graph.
 
     The median is read from the histogram of token counts by a running sum; no list is gathered."""
-    c = chunk_rows(chunks)
+    c = chunk_rows(chunks, False)
     h = c.groupBy("graph_id", "tokens").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("graph_id").orderBy("tokens")
     h = h.withColumn("upto", F.sum("n").over(w)).withColumn("total", F.sum("n").over(W.partitionBy("graph_id")))
@@ -131,27 +134,27 @@ def token_stats(chunks: DataFrame) -> DataFrame:
 
 def token_histogram(chunks: DataFrame, width: int = 100) -> DataFrame:
     lo = (F.floor(F.col("tokens") / width) * width).cast("int")
-    h = chunk_rows(chunks).groupBy("graph_id", lo.alias("lo")).agg(F.count(F.lit(1)).alias("n"))
+    h = chunk_rows(chunks, False).groupBy("graph_id", lo.alias("lo")).agg(F.count(F.lit(1)).alias("n"))
     return h.select("graph_id", F.concat(F.col("lo").cast("string"), F.lit("-"), (F.col("lo") + width).cast("string")).alias("bucket"), "n")
 
 
 def overlap_lines(chunks: DataFrame) -> DataFrame:
     """Lines that consecutive chunks of a file share, by (start, end) order."""
     w = W.partitionBy("graph_id", "source_file").orderBy("start_line", "end_line", "id")
-    c = chunk_rows(chunks).where("start_line is not null and end_line is not null").withColumn("next", F.lead("start_line").over(w))
+    c = chunk_rows(chunks, False).where("start_line is not null and end_line is not null").withColumn("next", F.lead("start_line").over(w))
     over = F.when(F.col("end_line") >= F.col("next"), F.col("end_line") - F.col("next") + 1).otherwise(0)
     return c.withColumn("over", over).groupBy("graph_id").agg(F.sum("over").cast("long").alias("overlap_lines"), F.count_if(F.col("over") > 0).alias("n_overlaps"))
 
 
 def chunks_per_file(chunks: DataFrame) -> DataFrame:
-    return chunk_rows(chunks).groupBy("graph_id", "source_file").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return chunk_rows(chunks, False).groupBy("graph_id", "source_file").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def whitespace_tokens(chunks: DataFrame) -> DataFrame:
     """Mean number of white-space separated words per chunk."""
     from spanweave.functions.text import word_count
 
-    return chunk_rows(chunks).groupBy("graph_id").agg(F.round(F.avg(word_count(F.coalesce("text", F.lit("")))), 6).alias("avg_words"))
+    return chunk_rows(chunks, False, words=word_count(F.coalesce("text", F.lit("")))).groupBy("graph_id").agg(F.round(F.avg("words"), 6).alias("avg_words"))
 
 
 # ------------------------------------------------------------------------------------------------- entities

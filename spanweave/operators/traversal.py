@@ -27,6 +27,13 @@ def top_called(g: Graph, k: int = 1) -> DataFrame:
     return n.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("n"), "id"))).where(F.col("r") <= k).select("graph_id", "id")
 
 
+def top_calling(g: Graph, k: int = 1) -> DataFrame:
+    """The k functions of each graph that call the most nodes: a start set."""
+    fns = g.nodes.where("entity_type = 'Function'").select("graph_id", "id")
+    n = pairs(g, "CALLS").groupBy("graph_id", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(fns, ["graph_id", "id"], "left_semi")
+    return n.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("n"), "id"))).where(F.col("r") <= k).select("graph_id", "id")
+
+
 def class_methods(g: Graph) -> DataFrame:
     """Every class with its methods."""
     e = pairs(g, "CONTAINS_METHOD")

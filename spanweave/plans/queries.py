@@ -14,22 +14,31 @@ from spanweave.functions import text as X
 from spanweave.functions.similarity import jaro_winkler
 from spanweave.operators import changes, chunking, dedup, evaluation, judge, metrics, store, traversal, vectors
 from spanweave.operators.graph import Graph, build_graph, duplicate_keys, upsert_edges, upsert_nodes, upsert_placeholders
+from spanweave.plans.stargraph import star_graph
 from spanweave.session import cut_lineage, table
 from spanweave.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-_GRAPHS: dict[tuple[str, str], Graph] = {}
+_GRAPHS: dict[tuple[str, str, str], Graph] = {}
 QUESTION = "How does the parser handle a broken registry and the index of tokens?"
 
 
-def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Graph]) -> Graph:
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _GRAPHS:
-        g = build_graph(table(spark, sf_dir, "entities"))
+        g = build()
         _GRAPHS[key] = Graph(cut_lineage(g.nodes), cut_lineage(g.edges))
     return _GRAPHS[key]
 
 
+def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    return _stored(spark, sf_dir, "code", lambda: build_graph(table(spark, sf_dir, "entities")))
+
+
+def star_of(spark: SparkSession, sf_dir: str) -> Graph:
+    return _stored(spark, sf_dir, "star", lambda: star_graph(spark, sf_dir))
+
+
 def _g(run: Callable[[Graph], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(graph_of(spark, sf_dir))
 
@@ -38,10 +47,14 @@ def _t(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(table(spark, sf_dir, name))
 
 
-def _seeds(g: Graph) -> DataFrame:
+def _called(g: Graph) -> DataFrame:
     return traversal.top_called(g, 1)
 
 
+def _movers(g: Graph) -> DataFrame:
+    return traversal.top_calling(g, 1)
+
+
 def _flat_edges(g: Graph) -> DataFrame:
     return g.edges.select("graph_id", "src", "dst", "rel_type", F.col("props.line").alias("line"), F.col("props.is_builtin").alias("is_builtin"))
 
@@ -145,10 +158,6 @@ def _accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.accuracy(got, truth, ["graph_id", "source_file", "entity_type", "name"])
 
 
-def _chunk_text(c: DataFrame) -> DataFrame:
-    return metrics.chunk_rows(c)
-
-
 def _retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval over descriptions: nearest nodes of the question, their neighbourhood and its relations by priority."""
     g = graph_of(spark, sf_dir)
@@ -175,16 +184,16 @@ QUERIES: dict[str, Query] = {
     "schema_adherence": _g(lambda g: evaluation.schema_adherence(g.edges, traversal.WALKED)),
     # traversals
     "class_methods": _g(traversal.class_methods),
-    "dependents": _g(lambda g: traversal.dependents(g, _seeds(g))),
+    "dependents": _g(lambda g: traversal.dependents(g, _called(g))),
     "direct_impacts": _g(traversal.direct_impacts),
     "indirect_impacts": _g(traversal.indirect_impacts),
     "test_reach": _g(traversal.test_reach),
     "risk_level": _g(traversal.risk_level),
-    "expand_hops": _g(lambda g: traversal.expand(g, _seeds(g), 2)),
-    "node_details": _g(lambda g: traversal.node_details(g, traversal.expand(g, _seeds(g), 1))),
-    "induced_edges": _g(lambda g: traversal.induced_edges(g, traversal.expand(g, _seeds(g), 2))),
-    "related_nodes": _g(lambda g: traversal.related_functions(g, _seeds(g))),
-    "similar_names": _g(lambda g: traversal.similar_names(g, _seeds(g))),
+    "expand_hops": _g(lambda g: traversal.expand(g, _movers(g), 2)),
+    "node_details": _g(lambda g: traversal.node_details(g, traversal.expand(g, _movers(g), 1))),
+    "induced_edges": _g(lambda g: traversal.induced_edges(g, traversal.expand(g, _movers(g), 2))),
+    "related_nodes": _g(lambda g: traversal.related_functions(g, _movers(g))),
+    "similar_names": _g(lambda g: traversal.similar_names(g, _movers(g))),
     "top_files": _g(traversal.top_files),
     "viz_nodes": _g(traversal.viz_nodes),
     "viz_edges": _g(traversal.viz_edges),
@@ -215,9 +224,9 @@ QUERIES: dict[str, Query] = {
     "sanitize_ids": _t("entities", lambda e: e.select("rec_id", X.sanitize_id(F.col("name")).alias("id_part"), X.sanitize_name(F.col("name")).alias("name_part"), X.sanitize_path(F.col("source_file")).alias("path_part"), X.sanitize_label(F.col("entity_type")).alias("label"), X.sanitize_relationship(F.col("entity_type")).alias("rel"), X.last_segment(F.col("name")).alias("simple"))),
     "clean_paths": _t("entities", lambda e: e.select("rec_id", X.clean_path(F.col("source_file")).alias("path"), X.module_path(F.col("source_file")).alias("module"))),
     "entity_text": _t("entities", lambda e: e.select("rec_id", X.entity_text(F.col("entity_type"), F.col("name"), F.col("source_file"), F.col("start_line"), F.col("parent_type"), F.col("parent_name"), X.default_description(F.col("description"), F.col("entity_type"), F.col("name"))).alias("text"), X.gated_description(F.col("description"), F.col("entity_type"), F.col("name")).alias("short"))),
-    "naming_vote": _t("chunks", lambda c: changes.naming_votes(_chunk_text(c))),
-    "error_vote": _t("chunks", lambda c: changes.error_votes(_chunk_text(c))),
-    "doc_vote": _t("chunks", lambda c: changes.doc_votes(_chunk_text(c))),
+    "naming_vote": _t("chunks", lambda c: changes.naming_votes(c, key="id")),
+    "error_vote": _t("chunks", lambda c: changes.error_votes(c, key="id")),
+    "doc_vote": _t("chunks", lambda c: changes.doc_votes(c, key="id")),
     "judge_scores": _judge,
     "compare_answers": lambda s, d: judge.compare_answers(_judge(s, d).select(F.concat_ws("/", "conversation_id", F.col("pos").cast("string")).alias("k"), F.concat(F.lit("faithfulness RAG "), F.col("rag").cast("string"), F.lit(" LLM "), F.col("llm").cast("string")).alias("v")), "k", "v", ["faithfulness"]),
     "answer_overlap": _t("conversations", lambda c: evaluation.overlap_scores(_turns(c).select(F.concat_ws("/", "conversation_id", F.col("pos").cast("string")).alias("k"), "user", "assistant"), "k", "assistant", "user")),
@@ -246,6 +255,24 @@ QUERIES: dict[str, Query] = {
     "part_similarity": _t("part", lambda p: p.select("p_partkey", F.round(jaro_winkler("p_name", "p_type"), 9).alias("similarity"))),
 }
 
+#: Queries that also run on the graph over the star schema, whose chains of calls are three long.
+ON_STAR = ["hub_nodes", "centrality_nodes", "node_counts_by_label", "edge_counts_by_type", "graph_density", "class_methods", "dependents", "direct_impacts", "indirect_impacts", "test_reach", "risk_level", "expand_hops", "induced_edges", "related_nodes", "top_files", "viz_edges", "call_coverage"]
+_ON_GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
+    "hub_nodes": metrics.hub_nodes, "centrality_nodes": metrics.centrality_nodes, "node_counts_by_label": metrics.node_counts_by_label, "edge_counts_by_type": metrics.edge_counts_by_type,
+    "graph_density": lambda g: metrics.graph_density(g).select("graph_id", "n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("per_node", 6).alias("per_node")),
+    "connected_components": metrics.component_counts, "class_methods": traversal.class_methods, "dependents": lambda g: traversal.dependents(g, _called(g)), "direct_impacts": traversal.direct_impacts,
+    "indirect_impacts": traversal.indirect_impacts, "test_reach": traversal.test_reach, "risk_level": traversal.risk_level, "expand_hops": lambda g: traversal.expand(g, _movers(g), 2),
+    "induced_edges": lambda g: traversal.induced_edges(g, traversal.expand(g, _movers(g), 2)), "related_nodes": lambda g: traversal.related_functions(g, _movers(g)), "top_files": traversal.top_files,
+    "viz_edges": traversal.viz_edges, "call_coverage": lambda g: evaluation.call_coverage(g.edges),
+}
+
+
+def _star(run: Callable[[Graph], DataFrame]) -> Query:
+    return lambda spark, sf_dir: run(star_of(spark, sf_dir))
+
+
+QUERIES |= {f"star_{k}": _star(_ON_GRAPH[k]) for k in ON_STAR}
+
 # ------------------------------------------------------------------------------------------------------- SQL
 _BUILTIN_LIST = ", ".join(f"'{b}'" for b in X.BUILTINS)
 
@@ -275,6 +302,22 @@ r AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_records, row_number() OVER
         CASE WHEN entity_type IN ('Function', 'Class') THEN -coalesce(length(snippet), 0) ELSE 0 END, seq) AS rn FROM k),
 u AS (SELECT *, regexp_replace(concat_ws('_', entity_type, name), '[^\p{{L}}\p{{N}}_\-]', '_', 'g') || ':' || md5(key) AS id FROM r WHERE rn = 1)"""
 
+#: What traversals read, over CTEs `nodes` and `edges`.
+WALKS = """nb AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges),
+fn AS (SELECT * FROM nodes WHERE entity_type IN ('Function', 'Class')),
+cl AS (SELECT graph_id, src, dst FROM edges WHERE rel_type = 'CALLS'),
+seeds AS (SELECT graph_id, id FROM (SELECT c.graph_id, c.dst AS id, row_number() OVER (PARTITION BY c.graph_id ORDER BY count(*) DESC, c.dst) AS r
+    FROM cl c JOIN nodes n ON n.graph_id = c.graph_id AND n.id = c.dst AND n.entity_type = 'Function' GROUP BY c.graph_id, c.dst) WHERE r = 1),
+movers AS (SELECT graph_id, id FROM (SELECT c.graph_id, c.src AS id, row_number() OVER (PARTITION BY c.graph_id ORDER BY count(*) DESC, c.src) AS r
+    FROM cl c JOIN nodes n ON n.graph_id = c.graph_id AND n.id = c.src AND n.entity_type = 'Function' GROUP BY c.graph_id, c.src) WHERE r = 1),
+wk AS (SELECT DISTINCT graph_id, src, dst FROM edges WHERE rel_type IN ('CONTAINS', 'CONTAINS_METHOD', 'CALLS', 'IMPORTS')),
+x1 AS (SELECT DISTINCT wk.graph_id, wk.dst AS id FROM movers s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
+x2 AS (SELECT DISTINCT wk.graph_id, wk.dst AS id FROM x1 s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
+ex AS (SELECT graph_id, id, min(depth) AS depth FROM (SELECT graph_id, id, 0 AS depth FROM movers UNION ALL SELECT graph_id, id, 1 FROM x1 UNION ALL SELECT graph_id, id, 2 FROM x2) GROUP BY ALL),
+direct AS (SELECT cl.graph_id, cl.dst AS target_id, cl.src AS caller_id FROM cl JOIN fn ON fn.graph_id = cl.graph_id AND fn.id = cl.dst),
+indirect AS (SELECT DISTINCT d.graph_id, d.target_id, c.src AS caller_id FROM direct d JOIN cl c ON c.graph_id = d.graph_id AND c.dst = d.caller_id
+    WHERE NOT EXISTS (SELECT 1 FROM cl x WHERE x.graph_id = d.graph_id AND x.src = c.src AND x.dst = d.target_id))"""
+
 GRAPH = rf"""
 {UNIQUE},
 lk AS (SELECT graph_id, source_file, name, entity_type, count(*) AS n, min(id) AS def_id FROM u WHERE entity_type IN ('Function', 'Class') GROUP BY ALL),
@@ -297,18 +340,25 @@ nodes AS (
   SELECT graph_id, id, ['KGNode', entity_type] AS labels, entity_type, name, source_file, start_line, end_line, coalesce(description, 'Default description for ' || entity_type || ' ''' || name || '''.') AS description FROM u
   UNION ALL SELECT DISTINCT graph_id, {_file_id_sql("graph_id", "source_file")}, ['KGNode', 'File'], 'File', split_part(source_file, '/', -1), source_file, NULL, NULL, NULL FROM u WHERE source_file IS NOT NULL
   UNION ALL SELECT graph_id, dst, ['KGNode', kind], kind, min(placeholder), NULL, NULL, NULL, NULL FROM calls WHERE placeholder IS NOT NULL GROUP BY graph_id, dst, kind),
-nb AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges),
-fn AS (SELECT * FROM nodes WHERE entity_type IN ('Function', 'Class')),
-cl AS (SELECT graph_id, src, dst FROM edges WHERE rel_type = 'CALLS'),
-seeds AS (SELECT graph_id, id FROM (SELECT c.graph_id, c.dst AS id, row_number() OVER (PARTITION BY c.graph_id ORDER BY count(*) DESC, c.dst) AS r
-    FROM cl c JOIN nodes n ON n.graph_id = c.graph_id AND n.id = c.dst AND n.entity_type = 'Function' GROUP BY c.graph_id, c.dst) WHERE r = 1),
-wk AS (SELECT DISTINCT graph_id, src, dst FROM edges WHERE rel_type IN ('CONTAINS', 'CONTAINS_METHOD', 'CALLS', 'IMPORTS')),
-x1 AS (SELECT DISTINCT wk.graph_id, wk.dst AS id FROM seeds s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
-x2 AS (SELECT DISTINCT wk.graph_id, wk.dst AS id FROM x1 s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
-ex AS (SELECT graph_id, id, min(depth) AS depth FROM (SELECT graph_id, id, 0 AS depth FROM seeds UNION ALL SELECT graph_id, id, 1 FROM x1 UNION ALL SELECT graph_id, id, 2 FROM x2) GROUP BY ALL),
-direct AS (SELECT cl.graph_id, cl.dst AS target_id, cl.src AS caller_id FROM cl JOIN fn ON fn.graph_id = cl.graph_id AND fn.id = cl.dst),
-indirect AS (SELECT DISTINCT d.graph_id, d.target_id, c.src AS caller_id FROM direct d JOIN cl c ON c.graph_id = d.graph_id AND c.dst = d.caller_id
-    WHERE NOT EXISTS (SELECT 1 FROM cl x WHERE x.graph_id = d.graph_id AND x.src = c.src AND x.dst = d.target_id))"""
+{WALKS}"""
+
+#: The graph over the star-schema tables (plans/stargraph.py).
+STAR = rf"""
+n AS (SELECT 'File:' || r_regionkey AS id, 'File' AS t, r_name AS name, CAST(NULL AS VARCHAR) AS source_file FROM region
+  UNION ALL SELECT 'Class:' || n_nationkey, 'Class', n_name, 'region_' || n_regionkey FROM nation
+  UNION ALL SELECT 'Function:c' || c_custkey, 'Function', c_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'test_' ELSE '' END || lower(c_mktsegment) FROM customer
+  UNION ALL SELECT 'Function:s' || s_suppkey, 'Function', s_name, 'supplier' FROM supplier
+  UNION ALL SELECT 'Call:' || o_orderkey, 'Call', o_orderpriority, 'orders' FROM orders
+  UNION ALL SELECT 'PotentialFunction:' || p_partkey, 'PotentialFunction', p_name, NULL FROM part),
+nodes AS (SELECT 'star' AS graph_id, id, ['KGNode', t] AS labels, t AS entity_type, name, source_file, CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line, CAST(NULL AS VARCHAR) AS description FROM n),
+w AS (SELECT 'File:' || n_regionkey AS src, 'Class:' || n_nationkey AS dst, 'CONTAINS' AS rel_type FROM nation
+  UNION ALL SELECT 'Class:' || c_nationkey, 'Function:c' || c_custkey, 'CONTAINS_METHOD' FROM customer UNION ALL SELECT 'Class:' || s_nationkey, 'Function:s' || s_suppkey, 'CONTAINS_METHOD' FROM supplier
+  UNION ALL SELECT 'Function:c' || o_custkey, 'Call:' || o_orderkey, 'CALLS' FROM orders
+  UNION ALL SELECT 'Call:' || l_orderkey, 'PotentialFunction:' || l_partkey, 'CALLS' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45
+  UNION ALL SELECT 'PotentialFunction:' || l_partkey, 'Function:s' || l_suppkey, 'CALLS' FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09
+  UNION ALL SELECT 'File:' || (CAST(substring(p_brand, 7, 1) AS INTEGER) - 1), 'PotentialFunction:' || p_partkey, 'IMPORTS' FROM part WHERE p_size = 1),
+edges AS (SELECT DISTINCT 'star' AS graph_id, w.src, w.dst, w.rel_type FROM w SEMI JOIN nodes a ON a.id = w.src SEMI JOIN nodes b ON b.id = w.dst),
+{WALKS}"""
 
 CHUNKS = rf"""
 c0 AS (SELECT graph_id, id, text, {_path_sql("metadata.source_file")} AS source_file, metadata.chunk_index AS chunk_index, metadata.start_line AS start_line, metadata.end_line AS end_line, indexed_at FROM chunks),
@@ -386,10 +436,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT e.graph_id, e.src AS source_id, e.rel_type, dg.degree, e.dst AS target_id, CASE e.rel_type WHEN 'CONTAINS_METHOD' THEN 5 WHEN 'CALLS' THEN 4 WHEN 'CONTAINS' THEN 3 WHEN 'IMPORTS' THEN 2 ELSE 1 END AS priority
         FROM edges e JOIN ex a ON a.graph_id = e.graph_id AND a.id = e.src JOIN ex b ON b.graph_id = e.graph_id AND b.id = e.dst JOIN dg ON dg.graph_id = e.graph_id AND dg.id = e.src"""),
     "related_nodes": _on(GRAPH, """, rb AS (SELECT graph_id, src, dst FROM edges WHERE rel_type IN ('CALLS', 'CONTAINS', 'IMPORTS') UNION SELECT graph_id, dst, src FROM edges WHERE rel_type IN ('CALLS', 'CONTAINS', 'IMPORTS')),
-        a AS (SELECT DISTINCT rb.graph_id, rb.dst AS id FROM seeds s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id), b AS (SELECT DISTINCT rb.graph_id, rb.dst AS id FROM a s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id),
-        i AS (SELECT * FROM (SELECT * FROM a UNION SELECT * FROM b) ANTI JOIN seeds USING (graph_id, id))
+        a AS (SELECT DISTINCT rb.graph_id, rb.dst AS id FROM movers s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id), b AS (SELECT DISTINCT rb.graph_id, rb.dst AS id FROM a s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id),
+        i AS (SELECT * FROM (SELECT * FROM a UNION SELECT * FROM b) ANTI JOIN movers USING (graph_id, id))
         SELECT graph_id, id, name, source_file FROM (SELECT n.graph_id, n.id, n.name, n.source_file, row_number() OVER (PARTITION BY n.graph_id ORDER BY n.id) AS r FROM nodes n SEMI JOIN i USING (graph_id, id) WHERE n.entity_type = 'Function') WHERE r <= 15"""),
-    "similar_names": _on(GRAPH, """, s AS (SELECT n.graph_id AS sg, n.id AS seed_id, n.name AS seed_name, n.entity_type FROM nodes n SEMI JOIN seeds USING (graph_id, id))
+    "similar_names": _on(GRAPH, """, s AS (SELECT n.graph_id AS sg, n.id AS seed_id, n.name AS seed_name, n.entity_type FROM nodes n SEMI JOIN movers USING (graph_id, id))
         SELECT seed_id, seed_name, id, name, entity_type, graph_id FROM (SELECT s.seed_id, s.seed_name, n.id, n.name, n.entity_type, n.graph_id, row_number() OVER (PARTITION BY s.sg, s.seed_id ORDER BY n.id, n.graph_id) AS r
           FROM nodes n JOIN s ON s.entity_type = n.entity_type AND s.seed_id <> n.id WHERE n.name IS NOT NULL AND (contains(n.name, s.seed_name) OR contains(s.seed_name, n.name) OR jaro_winkler_similarity(s.seed_name, n.name) > 0.7)) WHERE r <= 10"""),
     "top_files": _on(GRAPH, """, a AS (SELECT graph_id, src, count(DISTINCT dst) AS n FROM edges WHERE rel_type = 'CONTAINS' GROUP BY ALL)
@@ -469,3 +519,4 @@ ORACLE_SQL: dict[str, str] = {
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total_value FROM events GROUP BY ALL",
     "part_similarity": "SELECT p_partkey, round(jaro_winkler_similarity(p_name, p_type), 9) AS similarity FROM part",
 }
+ORACLE_SQL |= {f"star_{k}": ORACLE_SQL[k].replace(GRAPH.strip(), STAR.strip()) for k in ON_STAR}
