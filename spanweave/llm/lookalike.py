@@ -125,9 +125,12 @@ def consistent_forms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, f, t): 128-bit digests of form and text, so that no text is shuffled."""
+    """(doc_id, f, t): 128-bit digests of form and text, so that no text is shuffled; written once, as several
+    steps read them and DuckDB must not run for each."""
+    from spanweave.session import cut_lineage
+
     forms = consistent_forms(docs.where(F.col(text_col).isNotNull()), id_col, text_col)
-    return forms.select("doc_id", F.unhex(F.md5("form")).alias("f"), F.unhex(F.md5("text")).alias("t"))
+    return cut_lineage(forms.select("doc_id", F.unhex(F.md5("form")).alias("f"), F.unhex(F.md5("text")).alias("t")))
 
 
 def look_alike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
