@@ -307,12 +307,26 @@ def content_nodes(nodes: list[Node]) -> list[Node]:
     return keep
 
 
+def read_turn(text: str | None) -> tuple[list[str], str | None]:
+    """The kinds of markup of a text, in order of name, and its clean text, from one reading."""
+    if not text:
+        return [], text
+    r = Reader(text)
+    return sorted(k for k in r.kinds if k), _joined(content_nodes(r.nodes))
+
+
 def clean_text(text: str | None) -> str | None:
-    if text is None:
-        return None
+    return read_turn(text)[1]
+
+
+def markup_kinds(text: str | None) -> list[str]:
+    return read_turn(text)[0]
+
+
+def _joined(nodes: list[Node]) -> str:
     out: list[str] = []
     last, block_no = "", 0
-    for n in content_nodes(Reader(text).nodes):
+    for n in nodes:
         block = n.role in STRUCTURE or n.role == "rule"
         s = {"code": f"```\n{n.text}\n```", "formula": f"$${n.text}$$" if n.path == "root/formula" else n.text, "rule": ""}.get(n.role, n.text)
         if out and (block or block_no != n.block or last in STRUCTURE):
@@ -323,11 +337,6 @@ def clean_text(text: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", t).strip()
 
 
-def markup_kinds(text: str | None) -> list[str]:
-    """The kinds of markup the reader met, in order of name."""
-    return sorted(k for k in Reader(text).kinds if k) if text else []
-
-
 def turns(conversations: DataFrame) -> DataFrame:
     """(conversation_id, turn, user, assistant); repeated rows of a conversation once."""
     c = conversations.select("conversation_id", "history").where(F.col("history").isNotNull() & (F.size("history") > 0))
@@ -342,8 +351,8 @@ def cleaned(conversations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("assistant").to_pylist()
-            cols = [b.column("conversation_id"), b.column("turn"), pa.array([markup_kinds(t) for t in texts], pa.list_(pa.string())), pa.array([clean_text(t) for t in texts], pa.string())]
+            got = [read_turn(t) for t in b.column("assistant").to_pylist()]
+            cols = [b.column("conversation_id"), b.column("turn"), pa.array([k for k, _ in got], pa.list_(pa.string())), pa.array([t for _, t in got], pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["conversation_id", "turn", "kinds", "text"])
 
     return src.mapInArrow(run, "conversation_id string, turn long, kinds array<string>, text string")
