@@ -21,7 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -79,6 +79,37 @@ MD_DELIM = re.compile(r"^[ ]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\
 HOLD_A, HOLD_B = "\ue000", "\ue001"
 
 
+#: What a text must hold for a pattern to be tried at all.
+TRIGGERS = {
+    FENCE: ('```', '~~~',),
+    PRE: ('<',),
+    WIKICODE: ('<',),
+    LISTING: ('\\begin',),
+    INLINE_CODE: ('`',),
+    DISPLAY: ('$$', '\\[', '\\begin',),
+    INLINE_MATH: ('$', '\\(',),
+    WIKI_TABLE: ('{|',),
+    LATEX_HEAD: ('\\',),
+    LATEX_ENV: ('\\',),
+    LATEX_CMD: ('\\',),
+    WIKI_TEMPLATE: ('{{',),
+    WIKI_LINK: ('[[',),
+    MD_LINK: ('](',),
+    WIKI_EXT: ('[http',),
+    AUTOLINK: ('<',),
+    TAG: ('<',),
+    CLOSING: ('</',),
+    WIKI_BOLD: ("''",),
+    STRONG: ('**', '__', '~~',),
+    EMPH: ('*', '_',),
+    ENTITY: ('&',),
+}
+
+
+def _sub(pattern: re.Pattern, t: str, to: str | Callable) -> str:
+    return pattern.sub(to, t) if any(x in t for x in TRIGGERS[pattern]) else t
+
+
 class Reader:
     """Reads one text into nodes. Content that must not be read as markup (code, formulas) is put aside first."""
 
@@ -97,14 +128,14 @@ class Reader:
 
     def read(self, text: str) -> None:
         t = text.replace("\r\n", "\n").replace(HOLD_A, "").replace(HOLD_B, "")
-        t = FENCE.sub(lambda m: self.hold("markdown", "code", m.group(3).rstrip("\n"), True), t)
-        t = PRE.sub(lambda m: self.hold("html", "code", html.unescape(re.sub(r"</?code\b[^>]*>", "", m.group(1))).strip("\n"), True), t)
-        t = WIKICODE.sub(lambda m: self.hold("wiki", "code", m.group(2).strip("\n"), True), t)
-        t = LISTING.sub(lambda m: self.hold("latex", "code", m.group(2).strip("\n"), True), t)
-        t = INLINE_CODE.sub(lambda m: self.hold("markdown", "inline", m.group(2), False), t)
-        t = DISPLAY.sub(lambda m: self.hold("latex", "formula", (m.group(1) or m.group(2) or m.group(4)).strip(), "\n" in t[max(0, m.start() - 1) : m.start()]), t)
-        t = INLINE_MATH.sub(lambda m: self.hold("latex", "formula", m.group(1) or m.group(2), False) if m.group(2) or MATHLIKE.search(m.group(1)) else m.group(), t)
-        t = WIKI_TABLE.sub(self.wiki_table, t)
+        t = _sub(FENCE, t, lambda m: self.hold("markdown", "code", m.group(3).rstrip("\n"), True))
+        t = _sub(PRE, t, lambda m: self.hold("html", "code", html.unescape(re.sub(r"</?code\b[^>]*>", "", m.group(1))).strip("\n"), True))
+        t = _sub(WIKICODE, t, lambda m: self.hold("wiki", "code", m.group(2).strip("\n"), True))
+        t = _sub(LISTING, t, lambda m: self.hold("latex", "code", m.group(2).strip("\n"), True))
+        t = _sub(INLINE_CODE, t, lambda m: self.hold("markdown", "inline", m.group(2), False))
+        t = _sub(DISPLAY, t, lambda m: self.hold("latex", "formula", (m.group(1) or m.group(2) or m.group(4)).strip(), "\n" in t[max(0, m.start() - 1) : m.start()]))
+        t = _sub(INLINE_MATH, t, lambda m: self.hold("latex", "formula", m.group(1) or m.group(2), False) if m.group(2) or MATHLIKE.search(m.group(1)) else m.group())
+        t = _sub(WIKI_TABLE, t, self.wiki_table)
         t = self.note(MD_REF, "markdown", "", t)
         lines = t.split("\n")
         i = 0
@@ -204,21 +235,21 @@ class Reader:
             self.kinds.add("latex")
             return m.group(2) or ""
 
-        t = LATEX_HEAD.sub(lambda m: (self.kinds.add("latex"), m.group(1))[1], t)
-        t = LATEX_ENV.sub(lambda m: (self.kinds.add("latex"), "")[1], t)
+        t = _sub(LATEX_HEAD, t, lambda m: (self.kinds.add("latex"), m.group(1))[1])
+        t = _sub(LATEX_ENV, t, lambda m: (self.kinds.add("latex"), "")[1])
         for _ in range(3):
-            t = LATEX_CMD.sub(command, t)
-        t = WIKI_TEMPLATE.sub(lambda m: wiki(m, ": ".join(x for x in (m.group(1).strip(), m.group(2).strip("|").strip()) if x)), t)
-        t = WIKI_LINK.sub(lambda m: wiki(m, m.group(2) or m.group(1)), t)
-        t = MD_LINK.sub(link, t)
-        t = WIKI_EXT.sub(lambda m: wiki(m, m.group(2) or m.group(1)), t)
-        t = AUTOLINK.sub(lambda m: (self.kinds.add("markdown"), m.group(1))[1], t)
-        t = TAG.sub(tag, t)
-        t = CLOSING.sub(lambda m: tag(re.match(r"(<)(/?\w*)", m.group())), t)
-        t = WIKI_BOLD.sub(lambda m: wiki(m, m.group(2)), t)
-        t = STRONG.sub(strong, t)
-        t = EMPH.sub(strong, t)
-        return ENTITY.sub(lambda m: (self.kinds.add("html"), html.unescape(m.group()).replace("\xa0", " "))[1] if html.unescape(m.group()) != m.group() else m.group(), t)
+            t = _sub(LATEX_CMD, t, command)
+        t = _sub(WIKI_TEMPLATE, t, lambda m: wiki(m, ": ".join(x for x in (m.group(1).strip(), m.group(2).strip("|").strip()) if x)))
+        t = _sub(WIKI_LINK, t, lambda m: wiki(m, m.group(2) or m.group(1)))
+        t = _sub(MD_LINK, t, link)
+        t = _sub(WIKI_EXT, t, lambda m: wiki(m, m.group(2) or m.group(1)))
+        t = _sub(AUTOLINK, t, lambda m: (self.kinds.add("markdown"), m.group(1))[1])
+        t = _sub(TAG, t, tag)
+        t = _sub(CLOSING, t, lambda m: tag(re.match(r"(<)(/?\w*)", m.group())))
+        t = _sub(WIKI_BOLD, t, lambda m: wiki(m, m.group(2)))
+        t = _sub(STRONG, t, strong)
+        t = _sub(EMPH, t, strong)
+        return _sub(ENTITY, t, lambda m: (self.kinds.add("html"), html.unescape(m.group()).replace("\xa0", " "))[1] if html.unescape(m.group()) != m.group() else m.group())
 
     def restore(self, t: str) -> str:
         def back(m: re.Match) -> str:
