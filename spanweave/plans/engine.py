@@ -4,23 +4,24 @@ Every stage is a DataFrame; one action writes each table. A failing stage raises
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from spanweave.functions.text import change_type, default_description, dynamic_hops, entity_text, gated_description, keyword_intent
-from spanweave.operators import changes, metrics, store, traversal, vectors
+from spanweave.operators import changes, metrics, report, store, traversal, vectors
 from spanweave.operators.chunking import chunk_files
 from spanweave.operators.dedup import unique_entities, valid_entities
 from spanweave.operators.graph import Graph, build_graph
+from spanweave.plans.model import Model, answer, classify, describe, expand
 from spanweave.sources.files import python_files
 from spanweave.sources.parsing import extract_entities
 
-TYPE_PRIORITY = ["Method", "Function", "Class", "Module", "Call", "Import"]
-
-
 @dataclass(frozen=True)
 class Retrieved:
     """Lazy parts of a retrieved context."""
@@ -35,8 +36,12 @@ class Retrieved:
 
 
 class CodeGraphEngine:
-    def __init__(self, spark: SparkSession, root: str, dims: int = 64):
-        self.spark, self.root, self.dims = spark, root.rstrip("/"), dims
+    """`model` answers and describes if given; `embed(rows, id_col, text_col)` gives (id, embedding) and defaults to
+    hashed words of `dims` dimensions."""
+
+    def __init__(self, spark: SparkSession, root: str, dims: int = 64, model: Model | None = None, embed: Callable[[DataFrame, str, str], DataFrame] | None = None):
+        self.spark, self.root, self.dims, self.model = spark, root.rstrip("/"), dims, model
+        self.embed = embed or (lambda rows, i, t: vectors.hash_embedding(rows, i, t, dims))
 
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -57,17 +62,17 @@ class CodeGraphEngine:
         raw = extract_entities(files).withColumn("rec_id", F.col("seq")).withColumn("description", F.lit(None).cast("string"))
         self._write(raw, "entities_raw")
         raw = self.read("entities_raw", graph_id)
-        unique = unique_entities(valid_entities(raw))
+        unique = describe(unique_entities(valid_entities(raw)), self.model)
         self._write(unique, "entities")
         g = build_graph(raw)
         self._write(g.nodes, "nodes")
         self._write(g.edges, "edges")
         self._write(chunk_files(files, token_limit), "chunks")
         c = self.read("chunks", graph_id)
-        self._write(vectors.hash_embedding(c, "id", "text", self.dims).withColumn("graph_id", F.lit(graph_id)), "chunk_vectors")
+        self._write(self.embed(c, "id", "text").withColumn("graph_id", F.lit(graph_id)), "chunk_vectors")
         u = self.read("entities", graph_id)
         text = entity_text(F.col("entity_type"), F.col("name"), F.col("source_file"), F.col("start_line"), F.col("parent_type"), F.col("parent_name"), default_description(F.col("description"), F.col("entity_type"), F.col("name")))
-        self._write(vectors.hash_embedding(u.select("id", text.alias("text")), "id", "text", self.dims).withColumn("graph_id", F.lit(graph_id)), "entity_vectors")
+        self._write(self.embed(u.select("id", text.alias("text")), "id", "text").withColumn("graph_id", F.lit(graph_id)), "entity_vectors")
         row = self.spark.createDataFrame([(graph_id, name, folder, user_id)], "graph_id string, name string, folder_path string, user_id string").withColumn("created_at", F.current_timestamp())
         self._write(row, "graphs")
 
@@ -75,7 +80,7 @@ class CodeGraphEngine:
         return Graph(self.read("nodes", graph_id), self.read("edges", graph_id))
 
     def _nearest(self, table: str, graph_id: str, text: str, k: int) -> DataFrame:
-        q = vectors.hash_embedding(self.spark.createDataFrame([("q", text)], "id string, text string"), "id", "text", self.dims).first()["embedding"]
+        q = self.embed(self.spark.createDataFrame([("q", text)], "id string, text string"), "id", "text").first()["embedding"]
         v = self.read(table, graph_id).select("id", "embedding")
         return vectors.topk_one(v, q, k).withColumnRenamed("vec_id", "id")
 
@@ -83,18 +88,19 @@ class CodeGraphEngine:
         """Nearest entities, their bounded neighbourhood, extras by intent, and the nearest chunks of the question
         and of the best entities' descriptions, each chunk once with its smallest distance."""
         plan = self.spark.createDataFrame([(question,)], "q string").select(keyword_intent(F.col("q")).alias("i"), dynamic_hops(F.col("q"), keyword_intent(F.col("q")), F.lit(hops)).alias("h"), change_type(F.col("q")).alias("c")).first()
+        intent = classify(question, plan["i"], self.model)
         g = self.graph(graph_id)
-        hits = self._nearest("entity_vectors", graph_id, question, k_entities).withColumn("ord", F.row_number().over(W.orderBy("distance", "id")) - 1)
+        hits = self._nearest("entity_vectors", graph_id, expand(question, self.model), k_entities).withColumn("ord", F.row_number().over(W.orderBy("distance", "id")) - 1)
         seeds = hits.select(F.lit(graph_id).alias("graph_id"), "id", "ord")
         ids = traversal.expand(g, seeds, plan["h"])
         extras: dict[str, DataFrame] = {}
-        if plan["i"] in ("change_request", "function_request"):
+        if intent in ("change_request", "function_request"):
             extras["similar"] = traversal.similar_names(g, seeds)
             extras["change_points"] = changes.change_points(g, seeds, plan["c"])
             extras["impact"] = traversal.risk_level(g, seeds)
-            if plan["i"] == "function_request":
+            if intent == "function_request":
                 extras["related"] = traversal.related_functions(g, seeds)
-        elif plan["i"] == "general_question":
+        elif intent == "general_question":
             extras["top_files"] = traversal.top_files(g)
         best = seeds.where("ord < 5").join(g.nodes, ["graph_id", "id"]).orderBy("ord").select(gated_description(F.col("description"), F.col("entity_type"), F.col("name")).alias("t"))
         texts = list(dict.fromkeys([question, *[r["t"] for r in best.collect() if r["t"]]]))[:5]  # five texts at most
@@ -104,19 +110,19 @@ class CodeGraphEngine:
             found = h if found is None else found.unionByName(h)
         merged = vectors.min_merge(found.withColumnRenamed("id", "vec_id")).withColumnRenamed("vec_id", "id")
         chunks = self.read("chunks", graph_id).join(merged, "id").orderBy("distance", "id")
-        if plan["i"] == "general_question" and not hits.limit(1).count():
+        if intent == "general_question" and not hits.limit(1).count():
             extras["keyword_nodes"] = traversal.keyword_search(g.nodes, question, ["name", "description"], "id")
-        return Retrieved(plan["i"], plan["h"], hits, traversal.node_details(g, ids), traversal.induced_edges(g, ids), chunks, extras)
-
-    def context(self, r: Retrieved, max_rels: int = 20, max_chunks: int = 15, max_chars: int = 55_000) -> str:
-        """The context of an answer as text: relations by priority, then chunks, cut to `max_chars`."""
-        names = r.nodes.select("id", "name", "labels")
-        kind = F.coalesce(*[F.when(F.array_contains(F.split("labels", ","), t), t) for t in TYPE_PRIORITY], F.element_at(F.split("labels", ","), 1))
-        names = names.select("id", F.concat(F.coalesce("name", "id"), F.lit(" ("), kind, F.lit(")")).alias("shown"))
-        e = r.relationships.orderBy(F.desc("priority"), "source_id", "target_id", "rel_type").limit(max_rels)
-        e = e.join(names.toDF("source_id", "s"), "source_id").join(names.toDF("target_id", "t"), "target_id").orderBy(F.desc("priority"), "source_id", "target_id", "rel_type")
-        lines = [f"- {x['s']} -[{x['rel_type']}]-> {x['t']}" for x in e.collect()]
-        parts = ["Relations", *lines, "Code"] + [f"# {c['source_file']}:{c['start_line']}-{c['end_line']}\n{c['text']}" for c in r.chunks.limit(max_chunks).collect()]
+        return Retrieved(intent, plan["h"], hits, traversal.node_details(g, ids), traversal.induced_edges(g, ids), chunks, extras)
+
+    def context(self, r: Retrieved, graph_id: str, max_rels: int = 20, max_chunks: int = 15, max_chars: int = 55_000) -> str:
+        """The context of an answer as text: relations by priority, change points, then chunks, cut to `max_chars`."""
+        g = self.graph(graph_id)
+        inside = g.edges.join(r.relationships.select("graph_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "rel_type"), ["graph_id", "src", "dst", "rel_type"], "left_semi")
+        lines = [x["line"] for x in report.relation_lines(g, inside, max_rels).orderBy("ord").collect()]
+        parts = ["Relations", *lines]
+        if "change_points" in r.extras:
+            parts += ["Change points"] + [f"- {c['change']} in {c['name']} ({c['source_file']}:{c['line']})" for c in r.extras["change_points"].limit(5).collect()]
+        parts += ["Code"] + [f"# {c['source_file']}:{c['start_line']}-{c['end_line']}\n{c['text']}" for c in r.chunks.limit(max_chunks).collect()]
         return "\n".join(parts)[:max_chars]
 
     def evaluate(self, graph_id: str) -> dict[str, DataFrame]:
@@ -136,6 +142,40 @@ class CodeGraphEngine:
         g = self.graph(graph_id)
         return traversal.viz_nodes(g, limit), traversal.viz_edges(g, limit)
 
+    def graph_row(self, user_id: str, graph_id: str) -> DataFrame:
+        return store.graphs_of(self.read("graphs", graph_id), user_id)
+
+    def start_chat(self, user_id: str, graph_id: str, question: str, name: str = "") -> tuple[str, str]:
+        """Opens a conversation on a graph of the user and answers its first question: (conversation id, answer)."""
+        conversation_id = uuid.uuid4().hex
+        return conversation_id, self._turn(user_id, graph_id, conversation_id, question, name, None)
+
+    def send_message(self, user_id: str, conversation_id: str, question: str) -> str:
+        row = self.conversations(user_id).where(F.col("conversation_id") == conversation_id).limit(1).collect()
+        if not row:
+            raise KeyError(f"no conversation {conversation_id} of {user_id}")
+        return self._turn(user_id, row[0]["graph_id"], conversation_id, question, row[0]["name"], row[0])
+
+    def _turn(self, user_id: str, graph_id: str, conversation_id: str, question: str, name: str, before: Row | None) -> str:
+        if not self.graph_row(user_id, graph_id).limit(1).count():
+            raise KeyError(f"no graph {graph_id} of {user_id}")
+        said = answer(question, self.context(self.retrieve(question, graph_id), graph_id), self.model)
+        turn = (question, said, datetime.now(UTC).isoformat())
+        history = [*((tuple(t) for t in before["history"]) if before else ()), turn]
+        created = before["created_at"] if before else datetime.now(UTC).replace(tzinfo=None)
+        ddl = "graph_id string, user_id string, name string, history array<struct<user:string,assistant:string,timestamp:string>>, created_at timestamp, conversation_id string"
+        row = self.spark.createDataFrame([(graph_id, user_id, name, history, created, conversation_id)], ddl)
+        # one partition per conversation: a turn rewrites its own conversation only
+        row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("conversation_id").parquet(self._path("conversations"))
+        return said
+
+    def conversations(self, user_id: str, graph_id: str | None = None) -> DataFrame:
+        c = self.read("conversations", graph_id)
+        return c.where(F.col("user_id") == user_id)
+
+    def history(self, conversation_id: str) -> DataFrame:
+        return store.conversation_history(self.read("conversations").where(F.col("conversation_id") == conversation_id))
+
     def delete(self, graph_id: str) -> None:
         """Removes the partitions of a graph from every table."""
         jvm = self.spark.sparkContext._jvm

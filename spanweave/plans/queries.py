@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import text as X
 from spanweave.functions.similarity import jaro_winkler
-from spanweave.operators import changes, chunking, dedup, evaluation, judge, metrics, store, traversal, vectors
+from spanweave.operators import changes, chunking, dedup, evaluation, judge, metrics, report, store, traversal, vectors
 from spanweave.operators.graph import Graph, build_graph, duplicate_keys, upsert_edges, upsert_nodes, upsert_placeholders
 from spanweave.plans.stargraph import star_graph
 from spanweave.session import cut_lineage, table
@@ -200,6 +200,10 @@ QUERIES: dict[str, Query] = {
     "keyword_search": _g(lambda g: traversal.keyword_search(g.nodes, QUESTION, ["name", "description"], "id").select("graph_id", "id", "name")),
     "random_edges": _g(traversal.random_edges),
     "insertion_points": _g(changes.insertion_points),
+    "relation_lines": _g(lambda g: report.relation_lines(g, g.edges)),
+    "schema_probe": _g(report.schema_probe),
+    "largest_types": _g(lambda g: report.largest(metrics.entity_distribution(g.nodes), "entity_type", "n", 3)),
+    "summary_lines": lambda s, d: report.summary_lines(graph_of(s, d), table(s, d, "chunks")),
     # building the graph
     "entity_dedup": _t("entities", lambda e: dedup.unique_entities(dedup.valid_entities(e)).select("graph_id", "entity_type", "name", "source_file", "id", "seq", "n_records")),
     "entity_dedup_reference": _t("entities", lambda e: dedup.dedup_counts(dedup.valid_entities(e), "reference")),
@@ -451,6 +455,15 @@ ORACLE_SQL: dict[str, str] = {
     "random_edges": _on(GRAPH, """, s AS (SELECT graph_id, id FROM (SELECT graph_id, id, row_number() OVER (PARTITION BY graph_id ORDER BY md5(concat_ws('#', '7', id)), id) AS r FROM nodes) WHERE r <= 100),
         d AS (SELECT DISTINCT e.graph_id, e.src, e.dst FROM edges e JOIN s ON s.graph_id = e.graph_id AND s.id = e.src)
         SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) AS r FROM d) WHERE r <= 500"""),
+    "relation_lines": _on(GRAPH, """, ee AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY CASE rel_type WHEN 'CONTAINS_METHOD' THEN 5 WHEN 'CALLS' THEN 4 WHEN 'CONTAINS' THEN 3 WHEN 'IMPORTS' THEN 2 ELSE 1 END DESC, src, dst, rel_type) AS ord FROM edges),
+        s AS (SELECT graph_id, id, coalesce(name, id) || ' (' || CASE WHEN entity_type IN ('Function', 'Class', 'Call', 'Import') THEN entity_type ELSE 'KGNode' END || ')' AS shown FROM nodes)
+        SELECT e.graph_id, CAST(ord AS INTEGER) AS ord, '- ' || a.shown || ' -[' || rel_type || CASE WHEN rel_type = 'CONTAINS_METHOD' THEN CASE WHEN e.p.line IS NULL THEN '' ELSE ' {line: ' || e.p.line || '}' END
+          WHEN rel_type = 'CALLS' THEN CASE WHEN e.p.line IS NULL AND e.p.b IS NULL THEN '' ELSE ' {' || concat_ws(', ', 'line: ' || e.p.line, 'is_builtin: ' || e.p.b) || '}' END
+          WHEN rel_type = 'CONTAINS' THEN CASE WHEN x.start_line IS NULL AND x.end_line IS NULL THEN '' ELSE ' {' || concat_ws(', ', 'start: ' || x.start_line, 'end: ' || x.end_line) || '}' END
+          ELSE ' {' || concat_ws(', ', 'line: ' || x.start_line, 'module: ' || CASE WHEN length(coalesce(x.module_name, x.name)) > 50 THEN substring(coalesce(x.module_name, x.name), 1, 50) || '...' ELSE coalesce(x.module_name, x.name) END, 'items: ' || CASE WHEN length(substring(CAST(to_json(x.imported_items) AS VARCHAR), 1, 1000)) > 50 THEN substring(substring(CAST(to_json(x.imported_items) AS VARCHAR), 1, 1000), 1, 50) || '...' ELSE substring(CAST(to_json(x.imported_items) AS VARCHAR), 1, 1000) END) || '}' END || ']-> ' || b.shown AS line
+        FROM ee e LEFT JOIN u x ON x.id = e.dst JOIN s a ON a.graph_id = e.graph_id AND a.id = e.src JOIN s b ON b.graph_id = e.graph_id AND b.id = e.dst WHERE ord <= 15"""),
+    "schema_probe": _on(GRAPH, "SELECT graph_id, array_to_string(labels, ',') AS labels, CAST(max((name IS NOT NULL)::INT + (source_file IS NOT NULL)::INT + (start_line IS NOT NULL)::INT + (end_line IS NOT NULL)::INT + (description IS NOT NULL)::INT) AS INTEGER) AS n_properties FROM nodes GROUP BY ALL"),
+    "largest_types": _on(GRAPH, "SELECT graph_id, entity_type, n FROM (SELECT graph_id, entity_type, count(*) AS n, row_number() OVER (PARTITION BY graph_id ORDER BY count(*) DESC, entity_type) AS r FROM nodes GROUP BY graph_id, entity_type) WHERE r <= 3"),
     "insertion_points": _on(GRAPH, """, m AS (SELECT e.graph_id, e.src AS class_id, count(*) AS n, arg_max(struct_pack(method := n.name, el := n.end_line), struct_pack(a := coalesce(n.start_line, -1), b := e.dst)) AS m FROM edges e JOIN nodes n ON n.graph_id = e.graph_id AND n.id = e.dst WHERE e.rel_type = 'CONTAINS_METHOD' GROUP BY ALL)
         SELECT c.graph_id, c.id AS class_id, c.name, CASE WHEN m.m IS NOT NULL THEN 'after_method' ELSE 'end_of_class' END AS place, m.m.method AS after, coalesce(m.m.el, c.end_line) AS line, coalesce(m.n, 0) AS n_methods FROM nodes c LEFT JOIN m ON m.graph_id = c.graph_id AND m.class_id = c.id WHERE c.entity_type = 'Class'"""),
     "entity_dedup": _on(UNIQUE, "SELECT graph_id, entity_type, name, source_file, id, seq, n_records FROM u"),

@@ -126,9 +126,16 @@ def test_engine_end_to_end(spark, tmp_path):
     assert e.graphs("u").count() == 2 and e.graph("g1").nodes.where("name = 'Loader'").count() == 1
     r = e.retrieve("How does the Loader load its rows?", "g1")
     assert r.intent == "code_explanation" and r.entities.count() > 0 and r.chunks.count() > 0
-    assert "Relations" in e.context(r) and "def helper" in e.context(r)
+    assert "Relations" in e.context(r, "g1") and "def helper" in e.context(r, "g1")
     assert e.retrieve("Add a function to drop rows", "g1").extras["impact"].count() > 0
     assert {k: v.count() for k, v in e.evaluate("g1").items()}["density"] == 1
+    cid, said = e.start_chat("u", "g1", "Where is helper called?", "talk")
+    assert "helper" in said
+    e.model = type("Echo", (), {"invoke": lambda self, prompt: "change_request: echo"})()
+    assert e.send_message("u", cid, "Change function helper") == "change_request: echo"
+    assert [r["user"] for r in e.history(cid).orderBy("pos").collect()] == ["Where is helper called?", "Change function helper"]
+    with pytest.raises(KeyError):
+        e.send_message("someone", cid, "x")
     e.delete("g2")
     assert e.read("nodes").select("graph_id").distinct().count() == 1
     with pytest.raises(ValueError):
