@@ -53,12 +53,14 @@ def centrality_nodes(g: Graph, k: int = 10, heavy: int = HEAVY_DEGREE) -> DataFr
     Two-step neighbours through nodes of up to `heavy` neighbours are joined and made distinct. Through heavier
     ones nothing is paired: all nodes that touch the same set of heavy nodes share one union of their neighbours,
     counted once per such set; what light paths add is what stands next to none of the set."""
-    n = neighbours(g)
+    from spanweave.session import cut_lineage
+
+    n = cut_lineage(neighbours(g))  # read by every step below
     start = g.nodes.where("entity_type in ('Function', 'Class')").select("graph_id", "id")
     degree = n.groupBy("graph_id", F.col("src").alias("u")).agg(F.count(F.lit(1)).alias("deg"))
     first = n.select("graph_id", F.col("src").alias("id"), F.col("dst").alias("u")).join(start, ["graph_id", "id"], "left_semi")
     one = first.groupBy("graph_id", "id").agg(F.count(F.lit(1)).alias("n_one"))
-    typed = first.join(degree, ["graph_id", "u"])
+    typed = cut_lineage(first.join(degree, ["graph_id", "u"]))
     steps = n.select("graph_id", F.col("src").alias("u"), F.col("dst").alias("w"))
     light = typed.where(F.col("deg") <= heavy).select("graph_id", "id", "u").join(steps, ["graph_id", "u"]).where("w <> id").select("graph_id", "id", "w").distinct()
     by_heavy = typed.where(F.col("deg") > heavy).select("graph_id", "id", F.col("u").alias("h"))

@@ -91,13 +91,13 @@ def risk_level(g: Graph, targets: DataFrame | None = None) -> DataFrame:
 def expand(g: Graph, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(graph_id, id, depth): the start set and all that outgoing edges of the walked types reach within `hops`."""
     e = pairs(g, *WALKED)
-    seen = seeds.select("graph_id", "id").distinct().withColumn("depth", F.lit(0))
-    front = seen.select("graph_id", "id")
+    front = seeds.select("graph_id", "id").distinct()
+    reached = front.withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
+        # distinct per step bounds the frontier; a node met again keeps its smallest depth in the end
         front = front.select("graph_id", F.col("id").alias("src")).join(e, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id")).distinct()
-        front = front.join(seen.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
-        seen = seen.unionByName(front.withColumn("depth", F.lit(depth)))
-    return seen
+        reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
+    return reached.groupBy("graph_id", "id").agg(F.min("depth").alias("depth"))
 
 
 def node_details(g: Graph, ids: DataFrame) -> DataFrame:

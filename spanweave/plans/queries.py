@@ -191,7 +191,7 @@ QUERIES: dict[str, Query] = {
     "risk_level": _g(traversal.risk_level),
     "expand_hops": _g(lambda g: traversal.expand(g, _movers(g), 2)),
     "node_details": _g(lambda g: traversal.node_details(g, traversal.expand(g, _movers(g), 1))),
-    "induced_edges": _g(lambda g: traversal.induced_edges(g, traversal.expand(g, _movers(g), 2))),
+    "induced_edges": _g(lambda g: traversal.induced_edges(g, cut_lineage(traversal.expand(g, _movers(g), 2)))),
     "related_nodes": _g(lambda g: traversal.related_functions(g, _movers(g))),
     "similar_names": _g(lambda g: traversal.similar_names(g, _movers(g))),
     "top_files": _g(traversal.top_files),
@@ -266,7 +266,7 @@ _ON_GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "graph_density": lambda g: metrics.graph_density(g).select("graph_id", "n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("per_node", 6).alias("per_node")),
     "connected_components": metrics.component_counts, "class_methods": traversal.class_methods, "dependents": lambda g: traversal.dependents(g, _called(g)), "direct_impacts": traversal.direct_impacts,
     "indirect_impacts": traversal.indirect_impacts, "test_reach": traversal.test_reach, "risk_level": traversal.risk_level, "expand_hops": lambda g: traversal.expand(g, _movers(g), 2),
-    "induced_edges": lambda g: traversal.induced_edges(g, traversal.expand(g, _movers(g), 2)), "related_nodes": lambda g: traversal.related_functions(g, _movers(g)), "top_files": traversal.top_files,
+    "induced_edges": lambda g: traversal.induced_edges(g, cut_lineage(traversal.expand(g, _movers(g), 2))), "related_nodes": lambda g: traversal.related_functions(g, _movers(g)), "top_files": traversal.top_files,
     "viz_edges": traversal.viz_edges, "call_coverage": lambda g: evaluation.call_coverage(g.edges),
 }
 
