@@ -106,7 +106,11 @@ def duplicate_keys(nodes: DataFrame) -> DataFrame:
 
 def build_graph(entities: DataFrame, mode: str = "clean") -> Graph:
     """Nodes and edges of all graphs in `entities` (any records with the entity columns)."""
-    unique = unique_entities(valid_entities(entities), mode)
+    return graph_of_unique(unique_entities(valid_entities(entities), mode))
+
+
+def graph_of_unique(unique: DataFrame) -> Graph:
+    """Nodes and edges of deduplicated entities; they are read by many steps and are best a written table."""
     calls = call_edges(unique)
     label = sanitize_label(F.col("entity_type"))
     own = unique.select("graph_id", "id", F.array(F.lit("KGNode"), label).alias("labels"), "entity_type", "name", "source_file", "start_line", "end_line",

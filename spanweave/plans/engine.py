@@ -17,7 +17,7 @@ from spanweave.functions.text import change_type, default_description, dynamic_h
 from spanweave.operators import changes, metrics, report, store, traversal, vectors
 from spanweave.operators.chunking import chunk_files
 from spanweave.operators.dedup import unique_entities, valid_entities
-from spanweave.operators.graph import Graph, build_graph
+from spanweave.operators.graph import Graph, graph_of_unique
 from spanweave.plans.model import Model, answer, classify, describe, expand
 from spanweave.sources.files import python_files
 from spanweave.sources.parsing import extract_entities
@@ -64,7 +64,7 @@ class CodeGraphEngine:
         raw = self.read("entities_raw", graph_id)
         unique = describe(unique_entities(valid_entities(raw)), self.model)
         self._write(unique, "entities")
-        g = build_graph(raw)
+        g = graph_of_unique(self.read("entities", graph_id))
         self._write(g.nodes, "nodes")
         self._write(g.edges, "edges")
         self._write(chunk_files(files, token_limit), "chunks")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanweave.functions import text as X
 from spanweave.functions.similarity import jaro_winkler
 from spanweave.operators import changes, chunking, dedup, evaluation, judge, metrics, report, store, traversal, vectors
-from spanweave.operators.graph import Graph, build_graph, duplicate_keys, upsert_edges, upsert_nodes, upsert_placeholders
+from spanweave.operators.graph import Graph, build_graph, duplicate_keys, graph_of_unique, upsert_edges, upsert_nodes, upsert_placeholders
 from spanweave.plans.stargraph import star_graph
 from spanweave.session import cut_lineage, table
 from spanweave.streaming import streams
@@ -32,7 +32,7 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Gra
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    return _stored(spark, sf_dir, "code", lambda: build_graph(table(spark, sf_dir, "entities")))
+    return _stored(spark, sf_dir, "code", lambda: graph_of_unique(cut_lineage(dedup.unique_entities(dedup.valid_entities(table(spark, sf_dir, "entities"))))))
 
 
 def star_of(spark: SparkSession, sf_dir: str) -> Graph:
