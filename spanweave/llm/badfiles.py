@@ -41,15 +41,17 @@ class Stop(Exception):
 
 # --------------------------------------------------------------------------------------------------- Python
 PY_TOKEN = re.compile(
-    r"""(?P<skip>[ \t\f\\]*\\\r?\n|[ \t\f]+|\#[^\n]*)
-      |(?P<nl>\r?\n|\r)
+    r"""(?:[ \t\f]+|\\\r?\n|\#[^\n]*)*+
+      (?:(?P<nl>\r?\n|\r)
       |(?P<str>(?:[rRbBuUfFtT]{1,2})?(?:'''|\"\"\"|'|\"))
       |(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*)?\.?\d[\d_]*\.?(?:[eE][+-]?\d+)?)[jJ]?)
       |(?P<name>[^\W\d]\w*)
       |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|[-+*/%@&|^=<>!]=|\*\*|//|>>|<<|[-+*/%@&|^~<>=.,:;])
-      |(?P<open>[\(\[\{])|(?P<close>[\)\]\}])""",
+      |(?P<open>[\(\[\{])|(?P<close>[\)\]\}])
+      |(?P<end>\Z))""",
     re.X,
 )
+PY_LEAD = re.compile(r"[ \t\f]*")
 PY_WORDS = frozenset("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split())
 PY_SOFT = frozenset(("match", "case", "type"))
 PY_BLOCK = frozenset("class def elif else except finally for if try while with".split())
@@ -86,7 +88,7 @@ def scan_python(text: str) -> Defect | None:
     try:
         while i < n:
             if line_start and not stack:
-                m = re.compile(r"[ \t\f]*").match(text, i)
+                m = PY_LEAD.match(text, i)
                 lead = len(m.group().expandtabs(8))
                 j = m.end()
                 if j < n and text[j] not in "#\r\n":
@@ -109,10 +111,10 @@ def scan_python(text: str) -> Defect | None:
             m = PY_TOKEN.match(text, i)
             if not m:
                 raise Stop("foreign character", i)
-            kind, tok = m.lastgroup, m.group()
-            at, i = i, m.end()
-            if kind == "skip":
-                continue
+            kind = m.lastgroup
+            tok, at, i = m.group(kind), m.start(kind), m.end()
+            if kind == "end":
+                break
             if kind == "nl":
                 if not stack:
                     line_start = True
