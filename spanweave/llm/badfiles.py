@@ -321,6 +321,7 @@ class _TypeScript:
         self.start = True  # at the start of a statement
         self.words: list[str] = []  # the tokens of the statement, outside brackets
         self.header = 0  # position of a declaration that still needs its body, plus 1
+        self.generic = False  # its head has type parameters
         self.resume = self.pending_template = False
         self.resume_at = 0
 
@@ -446,12 +447,13 @@ class _TypeScript:
             self.fail("tokens that cannot meet", at)
         # declarations need a body
         if self.header:
-            if tok == ";" or kind == "close" or kind == "op" and tok in (":", "=>", "="):
+            self.generic = self.generic or tok == "<"
+            if tok == ";" or kind == "close" or kind == "op" and tok in (":", "=>", "=") and not self.generic:
                 self.fail("tokens that cannot meet", at)
             if tok == "{":
                 self.header = 0
         elif pk == "name" and prev in ("class", "interface", "enum") and word and self.before not in (".", "?.") and tok not in ("extends", "implements"):
-            self.header = at + 1
+            self.header, self.generic = at + 1, False
         # a colon outside brackets belongs to a label, a case, a conditional or a declared name
         if tok == ":" and not self.stack and len(self.words) != 1 and self.words and self.words[0] not in TS_DECLARED and "?" not in self.words:
             self.fail("tokens that cannot meet", at)

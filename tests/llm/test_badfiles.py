@@ -56,3 +56,102 @@ def test_files_from_chunks(spark):
     assert got == {"repos/g/A.PY": None, "repos/g/b.json": "premature end", "repos/g/e.json": "premature end", "repos/n.toml": None}
     assert {(r["language"], r["files"], r["rejected"]) for r in B.rates(spark.createDataFrame(data, ddl)).collect()} == {("python", 1, 0), ("json", 2, 2), ("toml", 1, 0)}
     assert B.judged_files(spark.createDataFrame([], ddl)).count() == 0
+
+
+VALID_TS = r"""
+const a = foo<Bar>(x);
+const f = <T,>(x: T): T => x;
+abstract class A { abstract run(): void; protected constructor(private readonly x: number, public y?: string) { super(); } }
+class B2 { get x(): number { return this._x; } set x(v: number) { this._x = v; } static async *gen() { yield* other(); } }
+@Component({ selector: 'app', template: `<div>{{ x }}</div>` }) export class C3 { @Input() name!: string; @Output() go = new EventEmitter<string>(); }
+const v = a?.b?.[0]?.(c) ?? d!;
+const t = ['a', 'b'] as const;
+const cfg = { a: 1, b: { c: 2 }, ...rest, [key]: 3, 'quoted-key': 4, method() { return 1; }, get z() { return 2; }, async go() {} } satisfies Cfg;
+const enum E1 { A = 1, B = A << 1, C = 'x'.length }
+declare const enum E2 { A }
+namespace N.M { export const x = 1; }
+declare module 'x' { export function f(a: string): void; }
+function isS(x: unknown): x is string { return typeof x === 'string'; }
+function assertS(x: unknown): asserts x is string {}
+function over(a: string): string; function over(a: number): number; function over(a: any) { return a; }
+type M1<T> = { readonly [K in keyof T]?: T[K] };
+type Cond<T> = T extends (infer U)[] ? U : never;
+type L = `a-${string}`;
+interface I1 { [key: string]: number; (x: number): string; new (x: string): I1; readonly a: string; b?(): void; 'quoted': string; }
+import type { A5 } from 'b';
+import D5, { type E5, F5 as G5 } from './m';
+import * as ns from "ns";
+import './side';
+import x6 = require('y');
+export * from './x';
+export * as q from './y';
+export { a, b as c } from './z';
+export default class { x = 1; }
+export default function () { return 1; }
+export = foo;
+outer: for (let i = 0; i < 10; i++) { if (i > 5) continue outer; else break outer; }
+const g = () => ({ a: 1 });
+const re = s.replace(/[/"'`]/g, '').split(/\s+/);
+if (a) return b; else c();
+do { x++; } while (x < 5);
+for await (const x of y) { await z(x); }
+for (const [k, v2] of Object.entries(o)) console.log(k, v2);
+let u: typeof y, w: keyof Foo, z: unique symbol;
+const n = new Map<string, Array<{ a: number }>>();
+try { a(); } catch { b(); } finally { c(); }
+try { a(); } catch (e: unknown) { throw new Error(`x ${e}`); }
+switch (x) { case 'a': case "b": y(); break; default: z(); }
+const big = 1_000n, hex = 0xff, fl = .5e-3, oct = 0o17;
+let x7: string | undefined = undefined, y7 = a ? b : c ? d : e;
+const long = a
+  ? b
+  : c;
+const chain = foo
+  .bar()
+  .baz(x => x.y)
+  .map(async ({ id, name = 'x' }) => { await go(id); });
+let a8 = b8, c8
+let d8 = 1
+a8 = <any>b8;
+var fn = function named(a = {}, { b, c } = {}, ...rest) { };
+label: { break label; }
+async function af() { await Promise.all([a(), b()]); return; }
+let tpl = tag`x ${1}`;
+export type Fn = (a: string, b?: number) => Promise<void>;
+export abstract class Q9<T extends object = {}> implements I1, I2<T> { declare x: number; accessor y = 1; override z(): void {} #priv = 1; static { init(); } }
+type Rec = Record<string, { a: string; b: number[] }>;
+let opt = obj!.a!.b;
+const o2 = { if: 1, class: 2, import: 3, new: 4, default: 5, for: 6 }; o2.class; o2.if; o2.import;
+if (x) { } else if (y) { } else { }
+while (true) { break; }
+const s2 = 'it\'s', s3 = "a\
+b";
+let neg = -1, not = !a, bit = ~b, vd = void 0, ty = typeof x === 'a', inn = 'k' in o, ins = a instanceof B;
+delete o.a; throw new Error('x');
+enum Color { Red = 'RED', Green = 'GREEN' }
+let a10 = b10 as unknown as string[];
+let x11 = y11 < z11 && a11 > b11;
+function f12(this: Window, cb: (err: Error | null, data?: Buffer) => void): void {}
+const { a: a13, b: { c: c13 }, ...r13 } = obj13;
+let tuple: [string, number?, ...boolean[]] = ['a'];
+export const routes: Routes = [{ path: '', component: Home }, { path: '**', redirectTo: '' }];
+let getset = { get: 1, set: 2, of: 3, type: 4 }; const type = 5; let of = 1; type;
+"""
+
+
+def test_valid_typescript_constructs_raise_no_alarm():
+    blocks, current = [], ""
+    for line in VALID_TS.strip("\n").split("\n"):
+        if line.startswith("  ") or current.endswith("\\"):
+            current += "\n" + line
+        else:
+            blocks.append(current)
+            current = line
+    blocks.append(current)
+    assert [b for b in blocks if B.scan_typescript(b)] == []
+    assert B.scan_typescript("\n".join(blocks)) is None
+    # any of them cut off inside a bracket, a string or a comment is found
+    for b in blocks:
+        opened = max(b.rfind("{"), b.rfind("("), b.rfind("["))
+        if opened > 0 and b.endswith(("}", ")", ";")) and b.count("{") > 0 and not b.startswith(("const re", "const f =")):
+            assert B.scan_typescript(b[: b.find("{") + 1]) is not None, b
