@@ -18,7 +18,7 @@ from spanweave.operators import changes, metrics, report, store, traversal, vect
 from spanweave.operators.chunking import chunk_files
 from spanweave.operators.dedup import unique_entities, valid_entities
 from spanweave.operators.graph import Graph, graph_of_unique
-from spanweave.plans.model import Model, answer, classify, describe, expand
+from spanweave.plans.model import Model, answer, classify, describe, expand, rerank_order
 from spanweave.sources.files import python_files
 from spanweave.sources.parsing import extract_entities
 
@@ -26,6 +26,7 @@ from spanweave.sources.parsing import extract_entities
 class Retrieved:
     """Lazy parts of a retrieved context."""
 
+    question: str
     intent: str
     hops: int
     entities: DataFrame
@@ -112,7 +113,7 @@ class CodeGraphEngine:
         chunks = self.read("chunks", graph_id).join(merged, "id").orderBy("distance", "id")
         if intent == "general_question" and not hits.limit(1).count():
             extras["keyword_nodes"] = traversal.keyword_search(g.nodes, question, ["name", "description"], "id")
-        return Retrieved(intent, plan["h"], hits, traversal.node_details(g, ids), traversal.induced_edges(g, ids), chunks, extras)
+        return Retrieved(question, intent, plan["h"], hits, traversal.node_details(g, ids), traversal.induced_edges(g, ids), chunks, extras)
 
     def context(self, r: Retrieved, graph_id: str, max_rels: int = 20, max_chunks: int = 15, max_chars: int = 55_000) -> str:
         """The context of an answer as text: relations by priority, change points, then chunks, cut to `max_chars`."""
@@ -122,7 +123,9 @@ class CodeGraphEngine:
         parts = ["Relations", *lines]
         if "change_points" in r.extras:
             parts += ["Change points"] + [f"- {c['change']} in {c['name']} ({c['source_file']}:{c['line']})" for c in r.extras["change_points"].limit(5).collect()]
-        parts += ["Code"] + [f"# {c['source_file']}:{c['start_line']}-{c['end_line']}\n{c['text']}" for c in r.chunks.limit(max_chunks).collect()]
+        rows = r.chunks.limit(max_chunks).collect()
+        rows = [rows[i] for i in rerank_order(r.question, [c["text"] or "" for c in rows], self.model)]
+        parts += ["Code"] + [f"# {c['source_file']}:{c['start_line']}-{c['end_line']}\n{c['text']}" for c in rows]
         return "\n".join(parts)[:max_chars]
 
     def evaluate(self, graph_id: str) -> dict[str, DataFrame]:
@@ -134,6 +137,14 @@ class CodeGraphEngine:
             "components": metrics.component_counts(g), "tokens": metrics.token_stats(chunks), "histogram": metrics.token_histogram(chunks), "overlap": metrics.overlap_lines(chunks), "score": metrics.quality_score(g, chunks),
         }
 
+    def evaluate_retrieval(self, graph_id: str, questions: list[str], k: int = 5) -> DataFrame:
+        """The k nearest entities of each question: (question, rank, id, distance)."""
+        out = None
+        for q in questions:
+            h = self._nearest("entity_vectors", graph_id, q, k).withColumn("rank", F.row_number().over(W.orderBy("distance", "id"))).select(F.lit(q).alias("question"), "rank", "id", "distance")
+            out = h if out is None else out.unionByName(h)
+        return out
+
     # ------------------------------------------------------------------------------------ service methods
     def graphs(self, user_id: str) -> DataFrame:
         return store.graphs_of(self.read("graphs"), user_id)

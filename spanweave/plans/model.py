@@ -5,6 +5,7 @@ rows; without a model every step has a rule."""
 
 from __future__ import annotations
 
+import re
 from typing import Protocol
 
 from pyspark.sql import DataFrame
@@ -50,3 +51,23 @@ def describe(entities: DataFrame, model: Model | None, most: int = 200) -> DataF
 def answer(question: str, context: str, model: Model | None) -> str:
     """The model's answer from the context; the context itself without a model."""
     return context if model is None else model.invoke(f"Answer from the context only.\n\nContext:\n{context}\n\nQuestion: {question}")
+
+
+def rerank_order(question: str, texts: list[str], model: Model | None) -> list[int]:
+    """The order of at most ten texts by a model's scores, falling, equal ones as they were; unchanged without a model
+    or if it does not score every text."""
+    plain = list(range(len(texts)))
+    if model is None or not texts:
+        return plain
+    shown = "\n\n".join(f"Text {i}:\n{t[:500]}" for i, t in enumerate(texts[:10]))
+    scores = [int(x) for x in re.findall(r"score\s*:\s*(\d+)", model.invoke(f"Give each text a line `Score: n` (0-10) for the question.\nQuestion: {question}\n\n{shown}"), re.I)]
+    if len(scores) != len(texts[:10]):
+        return plain
+    return sorted(plain[:10], key=lambda i: (-scores[i], i)) + plain[10:]
+
+
+def judge_answer(question: str, context: str, answered: str, metrics: list[str], model: Model) -> dict[str, int]:
+    """A model's score of each metric; 0 where it gives none."""
+    said = model.invoke(f"Score the answer, one line `Metric (1-10): n` for each of {', '.join(metrics)}.\nQuestion: {question}\nContext: {context[:4000]}\nAnswer: {answered}")
+    got = {m: re.search(rf"{re.escape(m)}\s*\(?1-10\)?\s*:\s*(\d+)", said, re.I) for m in metrics}
+    return {m: int(x.group(1)) if x else 0 for m, x in got.items()}

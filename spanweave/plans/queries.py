@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanweave.functions import collections as C
 from spanweave.functions import text as X
 from spanweave.functions.similarity import jaro_winkler
 from spanweave.operators import changes, chunking, dedup, evaluation, judge, metrics, report, store, traversal, vectors
@@ -235,6 +236,8 @@ QUERIES: dict[str, Query] = {
     "compare_answers": lambda s, d: judge.compare_answers(_judge(s, d).select(F.concat_ws("/", "conversation_id", F.col("pos").cast("string")).alias("k"), F.concat(F.lit("faithfulness RAG "), F.col("rag").cast("string"), F.lit(" LLM "), F.col("llm").cast("string")).alias("v")), "k", "v", ["faithfulness"]),
     "answer_overlap": _t("conversations", lambda c: evaluation.overlap_scores(_turns(c).select(F.concat_ws("/", "conversation_id", F.col("pos").cast("string")).alias("k"), "user", "assistant"), "k", "assistant", "user")),
     "exact_match": _t("conversations", lambda c: _turns(c).select("conversation_id", "pos", evaluation.exact_match(F.col("user"), F.col("assistant")).alias("same"))),
+    "property_bag": _t("entities", lambda e: e.select("rec_id", F.size(C.property_bag(e, "id", "snippet")).alias("n_properties"), C.lookup(C.property_bag(e, "id", "snippet"), "name", "none").alias("name"), C.lookup(C.property_bag(e, "id", "snippet"), "imported_items", "[]").alias("items"))),
+    "zipped_turns": _t("conversations", lambda c: C.zipped_rows(store.unique_rows(c, "conversation_id").select("conversation_id", F.col("history.user").alias("u"), F.col("history.assistant").alias("a")), "u", "a").withColumn("ord", F.col("ord").cast("long"))),
     # chunks and entities
     "token_stats": _t("chunks", metrics.token_stats),
     "token_histogram": _t("chunks", metrics.token_histogram),
@@ -512,6 +515,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT w.k, round(coalesce(CASE WHEN h1 > 0 AND h2 > 0 THEN exp((ln(CAST(h1 AS DOUBLE) / len(c)) + ln(CAST(h2 AS DOUBLE) / (len(c) - 1))) / 2) * CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - CAST(len(r) AS DOUBLE) / len(c)) END END, 0.0), 6) AS bleu,
           round(coalesce(2.0 * CAST(h1 AS DOUBLE) / nullif(len(c) + len(r), 0), 0.0), 6) AS rouge_1 FROM w LEFT JOIN s USING (k)"""),
     "exact_match": _on(TURNS, r"""SELECT conversation_id, pos, list_filter(regexp_split_to_array(lower(coalesce("user", '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') = list_filter(regexp_split_to_array(lower(coalesce(assistant, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS same FROM t"""),
+    "property_bag": """SELECT rec_id, CAST((rec_id IS NOT NULL)::INT + (graph_id IS NOT NULL)::INT + (entity_type IS NOT NULL)::INT + (name IS NOT NULL)::INT + (source_file IS NOT NULL)::INT + (start_line IS NOT NULL)::INT + (end_line IS NOT NULL)::INT + (start_byte IS NOT NULL)::INT + (end_byte IS NOT NULL)::INT
+        + (parent_type IS NOT NULL)::INT + (parent_name IS NOT NULL)::INT + (module_name IS NOT NULL)::INT + (imported_items IS NOT NULL)::INT + (description IS NOT NULL)::INT + (indexed_at IS NOT NULL)::INT AS INTEGER) AS n_properties,
+        coalesce(name, 'none') AS name, coalesce(CAST(to_json(imported_items) AS VARCHAR), '[]') AS items FROM entities""",
+    "zipped_turns": "WITH h AS (SELECT conversation_id, min(history) AS history FROM conversations WHERE history IS NOT NULL AND conversation_id IS NOT NULL GROUP BY 1), i AS (SELECT *, unnest(generate_series(1, len(history))) AS i FROM h) SELECT conversation_id, CAST(i - 1 AS BIGINT) AS ord, history[i].\"user\" AS u, history[i].assistant AS a FROM i",
     "token_stats": _on(CHUNKS, "SELECT graph_id, count(*) AS n_chunks, min(tokens) AS min_tokens, max(tokens) AS max_tokens, round(avg(tokens), 6) AS avg_tokens, list_sort(list(tokens))[CAST(floor(count(*) / 2) AS INTEGER) + 1] AS median_tokens FROM c GROUP BY 1"),
     "token_histogram": _on(CHUNKS, "SELECT graph_id, CAST(tokens // 100 * 100 AS VARCHAR) || '-' || CAST(tokens // 100 * 100 + 100 AS VARCHAR) AS bucket, count(*) AS n FROM c GROUP BY ALL"),
     "chunks_per_file": _on(CHUNKS, "SELECT graph_id, source_file, count(*) AS n_chunks FROM c GROUP BY ALL"),

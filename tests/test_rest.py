@@ -75,6 +75,27 @@ def test_judging(spark):
     assert [tuple(x)[1:] for x in got] == [("a/b.py", 3, 5, "x = 1", "x = 2", "because"), ("c.py", 7, 7, None, None, "other")]
 
 
+def test_model_seam():
+    from spanweave.plans import model
+
+    say = lambda text: type("Fixed", (), {"invoke": lambda self, prompt: text})()
+    assert model.rerank_order("q", ["a", "b", "c"], say("Score: 1\nScore: 9\nscore: 5")) == [1, 2, 0]
+    assert model.rerank_order("q", ["a", "b"], say("Score: 1")) == [0, 1] == model.rerank_order("q", ["a", "b"], None)
+    assert model.judge_answer("q", "c", "a", ["Depth", "Accuracy"], say("depth (1-10): 7")) == {"Depth": 7, "Accuracy": 0}
+    assert model.classify("q", "code_explanation", say("it is a change_request")) == "change_request" and model.classify("q", "code_explanation", None) == "code_explanation"
+    assert model.expand("q", say("more words\nrest")) == "q more words" and model.expand("q", None) == "q"
+
+
+def test_collections(spark):
+    from spanweave.functions import collections as C
+
+    d = spark.createDataFrame([(1, None, ["a"], {"k": "v"})], "i int, s string, l array<string>, m map<string,string>")
+    r = d.select(C.property_bag(d, "i").alias("b"), C.lookup(F.col("m"), "x", "none").alias("x"), C.merged(F.col("m"), F.create_map(F.lit("k"), F.lit("w"))).alias("mm")).first()
+    assert r["b"] == {"l": '["a"]', "m": '{"k":"v"}'} and r["x"] == "none" and r["mm"] == {"k": "w"}
+    z = spark.createDataFrame([("q", ["a", "b"], [1.0])], "q string, ids array<string>, d array<double>")
+    assert [tuple(x) for x in C.zipped_rows(z, "ids", "d").collect()] == [("q", 0, "a", 1.0), ("q", 1, "b", None)]
+
+
 def test_overlap_scores(spark):
     d = spark.createDataFrame([(1, "the cat sat on the mat", "the cat sat on the mat"), (2, "the the the", "the cat"), (3, None, "x"), (4, "a b", "c d")], "k int, c string, r string")
     got = {r["k"]: (r["bleu"], r["rouge_1"]) for r in evaluation.overlap_scores(d, "k", "c", "r").collect()}
@@ -129,6 +150,7 @@ def test_engine_end_to_end(spark, tmp_path):
     assert "Relations" in e.context(r, "g1") and "def helper" in e.context(r, "g1")
     assert e.retrieve("Add a function to drop rows", "g1").extras["impact"].count() > 0
     assert {k: v.count() for k, v in e.evaluate("g1").items()}["density"] == 1
+    assert e.evaluate_retrieval("g1", ["load rows", "helper"], 2).count() == 4
     cid, said = e.start_chat("u", "g1", "Where is helper called?", "talk")
     assert "helper" in said
     e.model = type("Echo", (), {"invoke": lambda self, prompt: "change_request: echo"})()
