@@ -135,7 +135,8 @@ def keywords(query: Column) -> Column:
 
 def expanded_query(query: Column, answer: Column) -> Column:
     """The question and the first line of a model's expansion."""
-    first = F.trim(F.substring_index(F.trim(F.coalesce(answer, F.lit(""))), "\n", 1))
+    strip = lambda c: F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    first = strip(F.substring_index(strip(F.coalesce(answer, F.lit(""))), "\n", 1))
     return F.when(first == "", query).otherwise(F.concat_ws(" ", query, first))
 
 

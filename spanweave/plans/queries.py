@@ -536,6 +536,9 @@ ORACLE_SQL: dict[str, str] = {
     "conversation_append": "SELECT conversation_id, CAST(max(coalesce(len(history), 0)) + 1 AS BIGINT) AS n_turns, 'next?' AS last_user FROM conversations WHERE conversation_id IS NOT NULL GROUP BY 1",
     "accessible_conversations": "SELECT DISTINCT c.conversation_id, c.graph_id FROM conversations c JOIN graphs g ON g.graph_id = c.graph_id AND g.user_id = c.user_id",
     "graphs_by_user": "SELECT user_id, count(*) AS n_graphs, max(strftime(created_at, '%d/%m/%Y')) AS a_day FROM graphs GROUP BY 1",
+    "expanded_query": _on(TURNS, r""", a AS (SELECT *, regexp_replace(split_part(regexp_replace(coalesce(assistant, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), chr(10), 1), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS f FROM t) SELECT conversation_id, pos, CASE WHEN f = '' THEN "user" ELSE concat_ws(' ', "user", f) END AS q FROM a"""),
+    "event_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)
+        SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM b GROUP BY user_id, s""",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total_value FROM events GROUP BY ALL",
     "part_similarity": "SELECT p_partkey, round(jaro_winkler_similarity(p_name, p_type), 9) AS similarity FROM part",
 }
