@@ -16,11 +16,12 @@ from spanweave.functions.similarity import jaro_winkler
 from spanweave.operators import changes, chunking, dedup, evaluation, judge, metrics, report, store, traversal, vectors
 from spanweave.operators.graph import Graph, build_graph, duplicate_keys, graph_of_unique, upsert_edges, upsert_nodes, upsert_placeholders
 from spanweave.plans.stargraph import star_graph
-from spanweave.session import cut_lineage, table
+from spanweave.session import _ON_RELEASE, cut_lineage, table
 from spanweave.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _GRAPHS: dict[tuple[str, str, str], Graph] = {}
+_ON_RELEASE.append(_GRAPHS.clear)
 QUESTION = "How does the parser handle a broken registry and the index of tokens?"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +46,35 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Tables written by this session, for release().
+_WRITTEN: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back: survives lost executors, unlike localCheckpoint."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that cut_lineage wrote in this session and tells how many there were. Call it between jobs:
+    frames that read from them, and graphs kept by the queries, cannot be read afterwards."""
+    n = 0
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    for forget in _ON_RELEASE:
+        forget()
+    return n
+
+
+#: What else must be forgotten when written tables go.
+_ON_RELEASE: list[Callable[[], None]] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

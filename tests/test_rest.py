@@ -75,6 +75,17 @@ def test_judging(spark):
     assert [tuple(x)[1:] for x in got] == [("a/b.py", 3, 5, "x = 1", "x = 2", "because"), ("c.py", 7, 7, None, None, "other")]
 
 
+def test_written_tables_are_released(spark, small):
+    from spanweave.plans.queries import QUERIES
+    from spanweave.session import cut_lineage, release
+
+    release(spark)
+    df = cut_lineage(spark.range(5))
+    assert df.count() == 5 and QUERIES["edge_counts_by_type"](spark, small).count() > 0
+    assert release(spark) == 4 and release(spark) == 0
+    assert QUERIES["edge_counts_by_type"](spark, small).count() > 0
+
+
 def test_model_seam():
     from spanweave.plans import model
 
