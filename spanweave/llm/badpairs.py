@@ -1,8 +1,9 @@
 """Problem 3: flag broken question and answer pairs with their defect.
 
-Method. A multi-label linear classifier over hashed word n-grams and features of the pair. Its training rows are
-made from the corpus itself: a bounded sample of turns that pass a strict screen serves as sound pairs, and
-defects are made from them: answers cut off inside a sentence or a code block, questions copied with variations,
+Method. A multi-label linear classifier over hashed word n-grams of the whole answer (those of its head and tail
+once more, marked by position; names and code blocks masked) and features of the pair. Its training rows are made
+from the corpus itself: a bounded sample of turns that pass a strict screen serves as sound pairs, and defects are
+made from them: answers cut off inside a sentence or a code block, questions copied with variations,
 answers swapped with ones in another language, refusals composed from phrases, and answers that quote such phrases
 and still say something (sound). One logistic model per defect is fitted; each threshold is calibrated on held-out
 made pairs. The defect with the largest margin over its threshold is reported.
@@ -31,7 +32,7 @@ from spanweave.llm.markup import turns
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "wrong_language")
 #: Rows of the training sample, buckets of the n-gram hash, longest text taken into the sample.
-SAMPLE_TURNS, BUCKETS, SAMPLE_CHARS = 2000, 2048, 12_000
+SAMPLE_TURNS, BUCKETS, SAMPLE_CHARS = 3000, 2048, 12_000
 
 #: Frequent function words of the languages told apart by words (fixed values).
 FUNCTION_WORDS = {
@@ -263,17 +264,21 @@ def pair_features(question: str | None, answer: str | None) -> dict[str, float]:
     return f
 
 
-def ngrams(answer: str | None) -> Iterator[str]:
-    """Word 1- to 3-grams of the first 40 words, names masked, and 1- to 2-grams of the last 6."""
-    t = NAMES.sub(" NAME ", FENCED.sub(" CODE ", (answer or "")[:4000]))
-    words = [w if w in ("NAME", "CODE") else w.lower() for w in re.findall(r"[^\W\d]+(?:['’][^\W\d]+)?|\d+|[.!?,;:]", t)][:40]
+def ngrams(answer: str | None) -> tuple[list[str], list[str]]:
+    """Word 1- to 3-grams of the whole answer, names and code blocks masked; and, marked by position, those of its
+    first 40 words and the 1- to 2-grams of its last 6 tokens."""
+    t = NAMES.sub(" NAME ", FENCED.sub(" CODE ", answer or ""))
+    words = [w if w in ("NAME", "CODE") else w.lower() for w in re.findall(r"[^\W\d]+(?:['’][^\W\d]+)?|\d+|[.!?,;:]", t)]
+    whole: list[str] = []
+    ends: list[str] = []
     for n in (1, 2, 3):
-        for i in range(len(words) - n + 1):
-            yield f"h{n} " + " ".join(words[i : i + n])
+        grams = [" ".join(g) for g in zip(*(words[i:] for i in range(n)))]
+        whole += grams
+        ends += [f"h{n} {g}" for g in grams[: max(0, 41 - n)]]
     end = re.findall(r"\w+|[^\w\s]", (answer or "")[-120:].lower())[-6:]
     for n in (1, 2):
-        for i in range(len(end) - n + 1):
-            yield f"t{n} {len(end) - i} " + " ".join(end[i : i + n])
+        ends += [f"t{n} {len(end) - i} " + " ".join(end[i : i + n]) for i in range(len(end) - n + 1)]
+    return whole, ends
 
 
 NAMED_FEATURES = (
@@ -285,17 +290,21 @@ INDEX = {k: i for i, k in enumerate(NAMED_FEATURES)}
 
 
 def vector(question: str | None, answer: str | None, buckets: int) -> tuple[list[int], list[float]]:
-    """Sparse features: the named ones, then the hashed n-grams scaled to a small norm."""
+    """Sparse features: the named ones, then `buckets` of the marked n-grams and as many of the whole answer's, each
+    of the two scaled to one small norm whatever the answer's length."""
     at: list[int] = []
     val: list[float] = []
     for k, v in pair_features(question, answer).items():
         at.append(INDEX[k])
         val.append(v)
-    grams = [zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in ngrams(answer)] if visible(answer) else []
-    if grams:
-        w = 0.5 / np.sqrt(len(grams))
-        at += [len(NAMED_FEATURES) + g for g in grams]
-        val += [w] * len(grams)
+    whole, ends = ngrams(answer) if visible(answer) else ([], [])
+    for start, grams in ((len(NAMED_FEATURES), ends), (len(NAMED_FEATURES) + buckets, whole)):
+        if grams:
+            counts = np.bincount([zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams], minlength=buckets)
+            filled = counts.nonzero()[0]
+            counts = counts[filled].astype(np.float64)
+            at += (filled + start).tolist()
+            val += (counts * (0.5 / np.sqrt(counts @ counts))).tolist()
     return at, val
 
 
@@ -416,7 +425,7 @@ class Model:
 
 
 def _matrix(pairs: list[tuple[str, str | None]], buckets: int) -> np.ndarray:
-    x = np.zeros((len(pairs), len(NAMED_FEATURES) + buckets), dtype=np.float32)
+    x = np.zeros((len(pairs), len(NAMED_FEATURES) + 2 * buckets), dtype=np.float32)
     for i, (q, a) in enumerate(pairs):
         at, val = vector(q, a, buckets)
         np.add.at(x[i], at, np.array(val, dtype=np.float32))

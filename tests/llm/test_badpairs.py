@@ -39,3 +39,11 @@ def test_tables(spark):
     c = spark.createDataFrame(rows, ddl)
     assert [tuple(r) for r in B.found(c).collect()] == [("a", 0, "empty")]
     assert B.found(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_ngrams_cover_the_whole_answer():
+    """Far from both ends, beyond 40 words and 4000 characters, a wording still counts."""
+    long = "The reader opens the file and returns the rows in order. " * 100
+    a, b = (f"{long}{says} {long}" for says in ("Nobody will ever hear that from this side.", "It then writes them to the table."))
+    assert "nobody will ever" in B.ngrams(a)[0]
+    assert dict(zip(*B.vector("Why does f fail?", a, B.BUCKETS))) != dict(zip(*B.vector("Why does f fail?", b, B.BUCKETS)))
