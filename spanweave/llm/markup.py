@@ -311,31 +311,29 @@ class Reader:
 
 
 def content_nodes(nodes: list[Node]) -> list[Node]:
-    """The nodes whose path is content: fused, smoothed text and punctuation per path against the turn's mean."""
-    if not nodes:
-        return []
+    """The structure, and the text nodes whose path is content: fused, smoothed text and punctuation per path against
+    the mean of the turn's text. Structure nodes, one each however long, enter neither sums, smoothing nor mean."""
+    nodes = [n for n in nodes if not BOILER & set(n.path.split("/"))]
+    texts = [n for n in nodes if n.role not in STRUCTURE and n.text.strip()]
+    if not texts:
+        return nodes
     size: dict[str, list[float]] = {}
-    for n in nodes:
+    for n in texts:
         s = size.setdefault(n.path, [0, 0, 0])
         s[0] += len(n.text.strip())
         s[1] += len(re.findall(r"[.,;:!?。、！？]", n.text))
         s[2] += 1
-    fused = [size[n.path][0] / size[n.path][2] * math.log(2.0 + size[n.path][1] / size[n.path][2]) for n in nodes]
+    fused = [size[n.path][0] / size[n.path][2] * math.log(2.0 + size[n.path][1] / size[n.path][2]) for n in texts]
     smooth = []
-    for i in range(len(nodes)):
-        window = [(w, fused[i + d]) for d, w in zip((-1, 0, 1), KERNEL) if 0 <= i + d < len(nodes)]
+    for i in range(len(texts)):
+        window = [(w, fused[i + d]) for d, w in zip((-1, 0, 1), KERNEL) if 0 <= i + d < len(texts)]
         smooth.append(sum(w * v for w, v in window) / sum(w for w, _ in window))
     per_path: dict[str, list[float]] = {}
-    for n, v in zip(nodes, smooth):
+    for n, v in zip(texts, smooth):
         per_path.setdefault(n.path, []).append(v)
-    ratio = {p: sum(v) / len(v) for p, v in per_path.items()}
-    mean = sum(smooth) / len(smooth)
-    keep = []
-    for n in nodes:
-        boiler = bool(BOILER & set(n.path.split("/")))
-        if n.role in STRUCTURE and not boiler or not boiler and ratio[n.path] >= LEAST_SHARE * mean:
-            keep.append(n)
-    return keep
+    least = LEAST_SHARE * sum(smooth) / len(smooth)
+    content = {p for p, v in per_path.items() if sum(v) / len(v) >= least}
+    return [n for n in nodes if n.role in STRUCTURE or not n.text.strip() or n.path in content]
 
 
 def read_turn(text: str | None) -> tuple[list[str], str | None]:

@@ -43,3 +43,10 @@ def test_tables(spark):
     assert sorted(tuple(r) for r in M.found(c).collect()) == [("a", 0, "html"), ("a", 0, "markdown")]
     assert {(r["conversation_id"], r["turn"], r["text"]) for r in M.cleaned(c).collect()} == {("a", 0, "x and y z"), ("a", 2, None), (None, 0, "x")}
     assert M.found(spark.createDataFrame([], ddl)).count() == 0
+
+
+def test_prose_beside_long_structure_stays():
+    says = "This is the sentence that says what the list below is for."
+    code = "x = [(a, b), c.d];" * 60
+    for t in (f"{says}\n\n- one\n- two\n- three\n\n```py\n{code}\n```", f"{says}\n\n- one\n- two\n\n| a | b |\n| --- | --- |\n" + "| 1, 2. | 3; 4 |\n" * 90):
+        assert says in M.clean_text(t)
