@@ -2,9 +2,9 @@
 
 Method. Subset-sum budget fitting. Documents are counted by exact token length per source; the largest total
 that every source can serve with its allowed repeats fixes the budgets; whole passes over a source are taken
-first. What remains of a budget is fitted on the length histogram alone: a seeded, proportional draw per length,
-then a bounded-knapsack dynamic program over the last lengths closes the gap to the budget exactly where any
-subset can. Documents are then selected per length by seeded hash rank.
+first. What remains of a budget is fitted on the length histogram alone: a proportional draw per length, rounded by
+seeded hash, then a bounded-knapsack dynamic program over lengths in seeded order trades documents until the gap to
+the budget is closed exactly where any subset can, and otherwise no subset is closer. Documents are then selected per length by seeded hash rank.
 
 Scale. The histogram is a partial aggregate with one row per (source, length); one task per source solves its
 program over it. Selection never sorts a whole length: hash slices of each (source, length) are counted, whole
@@ -18,6 +18,10 @@ shares; repeated rows of one id are one document.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ from spanweave.llm.bpe import count_tokens
 
 #: Hash slices of each (source, length); of one slice at most is ranked.
 SLICES = 1024
-#: The dynamic program closes at most this many tokens, after the proportional draw.
+#: Width in tokens of the program's first try, after the proportional draw.
 CLOSE_TOKENS = 65_536
 
 
@@ -61,54 +65,88 @@ def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     return b.withColumn("rest", F.when(F.col("passes") < F.col("max_repeats"), F.col("budget") - F.col("passes") * F.col("available")).otherwise(F.lit(0).cast("long")))
 
 
-def fit_lengths(counts: dict[int, int], rest: int, close: int = CLOSE_TOKENS) -> dict[int, int]:
+def _unit(seed: int, n: int) -> float:
+    """A number in [0, 1) by hash."""
+    return int.from_bytes(hashlib.blake2b(f"{seed} {n}".encode(), digest_size=7).digest()) / (1 << 56)
+
+
+def _trade(items: list[tuple[int, int]], gap: int, room: int) -> tuple[int, list[int]]:
+    """The largest sum not above `gap` of a subset of the signed items (length, how many of it), over partial sums of
+    at most `room` either way, and the items that make it. Per sum only the first item that reaches it is kept."""
+    first = np.full(2 * room + 1, -1, dtype=np.int32)  # -1: not reached
+    reached = np.zeros(2 * room + 1, dtype=bool)
+    reached[room] = True
+    for i, (n, k) in enumerate(items):
+        if reached[room + gap]:
+            break
+        w, new = n * k, np.zeros_like(reached)
+        if abs(w) > 2 * room:
+            continue
+        if w > 0:
+            new[w:] = reached[:-w]
+        else:
+            new[:w] = reached[-w:]
+        new &= ~reached
+        first[new] = i
+        reached |= new
+    best = at = int(np.flatnonzero(reached[: room + gap + 1])[-1])
+    chosen = []
+    while at != room:
+        i = int(first[at])
+        chosen.append(i)
+        at -= items[i][0] * items[i][1]
+    return best - room, chosen
+
+
+def fit_lengths(counts: dict[int, int], rest: int, close: int = CLOSE_TOKENS, seed: int = 7) -> dict[int, int]:
     """How many documents of each length to take so that the sum comes as close to `rest` as possible, not above.
 
-    A proportional draw takes most of it; a bounded-knapsack program (binary-split counts on a bit set, one layer
-    kept per item for reading the choice back) then closes the gap exactly if a subset of what it may use can."""
+    A proportional draw, rounded up or down by seeded hash per length, takes most of it; lengths visited in seeded
+    order then bring it within a document of `rest`, and a bounded-knapsack program trades drawn documents for others
+    until the sum is exact. It starts with sums of up to `close` either way and widens fourfold while a sum beyond
+    could still come closer: an exchange needs no more documents than there are different sums within a longest
+    document of its way, so (2 longest + gap + 1) * longest is wide enough for every exchange."""
     total = sum(n * c for n, c in counts.items())
     if rest <= 0 or total == 0:
         return {}
     if rest >= total:
         return dict(counts)
-    lengths = sorted(counts)
-    take = {n: counts[n] * rest // total for n in lengths}
+    unit = math.gcd(*counts)
+    counts, rest, total = {n // unit: c for n, c in counts.items()}, rest // unit, total // unit
+    order = sorted(counts, key=lambda n: (_unit(seed, n * unit), n))
+    take = {}
+    for n in order:
+        whole, part = divmod(counts[n] * rest, total)
+        take[n] = whole + (_unit(seed + 1, n * unit) < part / total)
     gap = rest - sum(n * k for n, k in take.items())
-    # greedy from the longest, until the gap is within the program's reach
-    for n in reversed(lengths):
-        if gap <= close:
-            break
-        k = min(counts[n] - take[n], (gap - close) // n)
-        take[n] += k
-        gap -= n * k
-    # give the program slack: put back documents of the commonest lengths, so that it can trade them
-    for n in sorted(lengths, key=lambda n: -counts[n])[:64]:
-        k = min(take[n], max(0, (close - gap) // max(1, 64 * n)))
-        take[n] -= k
-        gap += n * k
-    gap_room = min(gap, close)
-    held = gap - gap_room
-    mask = (1 << (gap_room + 1)) - 1
-    reach, layers = 1, []
-    for n in lengths:
-        free, unit = min(counts[n] - take[n], gap_room // n), 1
-        while free > 0:
-            k = min(unit, free)
-            layers.append((n, k, reach))
-            reach |= (reach << (n * k)) & mask
-            free -= k
-            unit *= 2
-        if reach >> gap_room & 1:
+    moved = True
+    while moved:  # one document of a length at a time, so that no length is preferred
+        moved = False
+        for n in order:
+            if gap >= n and take[n] < counts[n]:
+                take[n], gap, moved = take[n] + 1, gap - n, True
+            elif gap < 0 and take[n] > 0:
+                take[n], gap, moved = take[n] - 1, gap + n, True
+    longest = max(counts)
+    widest = min(total, (2 * longest + abs(gap) + 1) * longest)
+    room = min(widest, max(close, 2 * longest + abs(gap)))
+    while gap > 0:
+        items = []
+        for n in order:
+            for free, sign in ((counts[n] - take[n], 1), (take[n], -1)):
+                free, k = min(free, 2 * room // n), 1
+                while free > 0:
+                    items.append((sign * n, min(k, free)))
+                    free -= k
+                    k *= 2
+        got, chosen = _trade(items, gap, room)
+        if got == gap or room >= widest:
+            for i in chosen:
+                n, k = items[i]
+                take[abs(n)] += k if n > 0 else -k
             break
-    best = reach.bit_length() - 1
-    at = best
-    for n, k, before in reversed(layers):
-        if before >> at & 1:
-            continue
-        take[n] += k
-        at -= n * k
-    assert at == 0 and held >= 0
-    return {n: k for n, k in take.items() if k}
+        room = min(widest, 4 * room)
+    return {n * unit: k for n, k in take.items() if k}
 
 
 def _choose(sizes: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
@@ -136,7 +174,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, total_tokens: int |
     hist = hist.join(b.where("rest > 0").select("source", "rest"), "source")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        take = fit_lengths(dict(zip(pdf["n_tokens"].tolist(), pdf["n"].tolist())), int(pdf["rest"].iloc[0]))
+        take = fit_lengths(dict(zip(pdf["n_tokens"].tolist(), pdf["n"].tolist())), int(pdf["rest"].iloc[0]), seed=seed)
         return pd.DataFrame({"source": pdf["source"].iloc[0], "n_tokens": list(take), "take": list(take.values())}).astype({"n_tokens": "int64", "take": "int64"})
 
     plan = hist.groupBy("source").applyInPandas(solve, "source string, n_tokens long, take long")

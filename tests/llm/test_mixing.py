@@ -61,3 +61,27 @@ def test_empty_tables(spark):
     assert out.count() == 0 and shares.count() == 1
     out, shares = M.mix(docs, spark.createDataFrame([], MIX))
     assert out.count() == 0 and shares.count() == 0
+
+
+def test_fit_is_never_behind_another_subset():
+    assert sum(n * k for n, k in M.fit_lengths({40000: 1, 50000: 1, 60000: 1}, 90000).items()) == 90000
+    rng = random.Random(3)
+    for i in range(150):
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 9))]
+        rest = rng.randint(1, sum(sizes))
+        take = M.fit_lengths({n: sizes.count(n) for n in set(sizes)}, rest, close=4, seed=i)
+        assert all(0 < k <= sizes.count(n) for n, k in take.items())
+        assert sum(n * k for n, k in take.items()) == max(sum(c) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if sum(c) <= rest)
+
+
+@pytest.mark.parametrize("top", [400, 4000])
+def test_single_lengths_are_drawn_at_any_size(top):
+    """Neither the shortest nor the longest first, and by the seed."""
+    counts = {n: 1 for n in range(2, top)}
+    rest = sum(counts) // 3
+    got = [M.fit_lengths(counts, rest, seed=s) for s in (1, 2)]
+    assert got[0] != got[1]
+    for take in got:
+        assert sum(take) == rest and 0.4 < sum(take) / len(take) / (top / 2) < 1.6
+        thirds = [sum(lo * top <= 3 * n < (lo + 1) * top for n in take) / (top / 3) for lo in range(3)]
+        assert min(thirds) > 0.15 and max(thirds) < 0.55
