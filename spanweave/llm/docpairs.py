@@ -7,7 +7,7 @@ the nearest documentation resolves to them. What no round resolves is dropped.
 
 Defined cases: a null, cut off or unparsable snippet gives no pair; null name, description, parent or graph
 never fail (a method without class inherits nothing); repeated records each count; the snippet decides where
-both docstring and description say something; a cycle in the hierarchy ends with the last round.
+both docstring and description say something; a cycle in the hierarchy ends where nothing new is met.
 """
 
 from __future__ import annotations
@@ -151,21 +151,90 @@ def documented(entities: DataFrame) -> DataFrame:
     return src.mapInArrow(run, schema)
 
 
+#: String literals and comments of a header; the pieces of a base list; what opens a class.
+LITERAL = re.compile(r"\"\"\".*?\"\"\"|\'\'\'.*?\'\'\'|\"(?:\\.|[^\"\\\n])*\"|\'(?:\\.|[^\'\\\n])*\'|#[^\n]*", re.S)
+CLASS_HEAD = re.compile(r"^\s*(?:@[^\n]*\n\s*)*class\s+(\w+)\s*")
+
+
+def base_names(snippet: str | None) -> tuple[str, list[str]]:
+    """The class name of a header and the names of its bases, in order: a balanced scan, so that a header of a cut-off
+    class counts too. with_metaclass(M, Base), under any name that begins so, gives the bases after M; what another
+    call returns is unknown and gives none; a subscript gives the name before it, keywords none. A list that doesn't
+    close gives none."""
+    m = CLASS_HEAD.match(snippet or "")
+    if not m:
+        return "", []
+    text = LITERAL.sub(lambda x: " " if x.group()[0] == "#" else "0", snippet[m.end() :])
+    if text[:1] == "[":  # type parameters
+        depth = 0
+        for i, c in enumerate(text):
+            depth += (c in "([{") - (c in ")]}")
+            if not depth:
+                text = text[i + 1 :].lstrip()
+                break
+    if text[:1] != "(":
+        return m.group(1), []
+    depth, parts, closed = 0, [""], False
+    for c in text:
+        depth -= c in ")]}"
+        if not depth and c == ")":
+            closed = True
+            break
+        if c == "," and depth == 1:
+            parts.append("")
+        elif depth:
+            parts[-1] += c
+        depth += c in "([{"
+    names: list[str] = []
+
+    def read(part: str) -> None:
+        part = part.strip()
+        if re.match(r"\w+\s*=(?!=)|\*", part):
+            return
+        name = re.match(r"(?:\w+\s*\.\s*)*([^\W\d]\w*)\s*", part)
+        if not name:
+            return
+        rest = part[name.end() :]
+        if rest[:1] != "(":
+            names.append(name.group(1))
+        elif re.match(r"with_?meta", name.group(1), re.I) and rest.endswith(")"):
+            depth, inner = 0, [""]
+            for c in rest[1:-1]:
+                depth += (c in "([{") - (c in ")]}")
+                if c == "," and not depth:
+                    inner.append("")
+                else:
+                    inner[-1] += c
+            for x in inner[1:]:
+                read(x)
+
+    for part in parts if closed else []:
+        read(part)
+    return m.group(1), list(dict.fromkeys(names))
+
+
 def class_bases(entities: DataFrame) -> DataFrame:
     """(graph_id, class_name, base, ord): the direct bases in the headers of Class records, each once."""
-    c = entities.where((F.col("entity_type") == "Class") & F.col("snippet").isNotNull() & F.col("graph_id").isNotNull())
-    head = F.regexp_extract("snippet", r"^\s*class\s+\w+\s*(?:\[[^\]]*\]\s*)?\(([^()]*)\)", 1)
-    bases = F.filter(F.transform(F.split(head, ","), lambda x: F.regexp_extract(F.trim(x), r"^([\w.]*\.)?(\w+)(?:\[.*)?$", 2)), lambda x: x != "")
-    c = c.select("graph_id", F.regexp_extract("snippet", r"^\s*class\s+(\w+)", 1).alias("class_name"), F.posexplode(bases).alias("ord", "base"))
+    c = entities.where((F.col("entity_type") == "Class") & F.col("snippet").isNotNull() & F.col("graph_id").isNotNull()).select("graph_id", "snippet").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [base_names(s) for s in b.column("snippet").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("graph_id"), pa.array([n for n, _ in got], pa.string()), pa.array([x for _, x in got], pa.list_(pa.string()))], names=["graph_id", "class_name", "bases"])
+
+    c = c.mapInArrow(run, "graph_id string, class_name string, bases array<string>")
+    c = c.select("graph_id", "class_name", F.posexplode("bases").alias("ord", "base"))
     return c.where("class_name <> '' and base <> class_name").groupBy("graph_id", "class_name", "base").agg(F.min("ord").alias("ord"))
 
 
-def documentation_pairs(entities: DataFrame, rounds: int = 6) -> DataFrame:
+def documentation_pairs(entities: DataFrame) -> DataFrame:
     """(rec_id, name, entity_type, snippet, documentation, doc_from, doc_class): whole functions with documentation
     of their own (docstring or description) or inherited from the nearest class above that documents the method.
 
     Each round is one join of the shrinking unresolved methods with the bases and with one documentation per
-    (graph, class, method); per step up the first base in the header wins. Lineage is cut after each round."""
+    (graph, class, method); per step up the first base in the header wins. Rounds go on until no unresolved method
+    comes to a class it has not been at, so a hierarchy of any height is climbed and a cycle ends. Lineage is cut
+    after each round."""
     from spanweave.session import cut_lineage
 
     own = cut_lineage(documented(entities).where("whole"))
@@ -175,8 +244,9 @@ def documentation_pairs(entities: DataFrame, rounds: int = 6) -> DataFrame:
     known = method.where("documentation is not null").groupBy("graph_id", "cls", "m").agg(F.min_by("documentation", F.struct(F.col("doc_from") != "docstring", "rec_id")).alias("inherited"))
     bases = cut_lineage(class_bases(entities))
     todo = method.where("documentation is null").select("rec_id", "graph_id", "m", F.col("cls").alias("at"))
+    seen = todo = cut_lineage(todo)
     solved = None
-    for _ in range(rounds):
+    while True:
         # one row per (graph, class, base): a hot class meets its few bases, not other rows of its own
         up = todo.join(bases.select("graph_id", F.col("class_name").alias("at"), "base", "ord"), ["graph_id", "at"])
         up = up.join(known.withColumnRenamed("cls", "base"), ["graph_id", "base", "m"], "left")
@@ -184,8 +254,10 @@ def documentation_pairs(entities: DataFrame, rounds: int = 6) -> DataFrame:
         hit = step.where("inherited is not null").groupBy("rec_id").agg(F.min_by(F.struct("inherited", "base"), F.struct("ord", "base")).alias("h"))
         solved = hit if solved is None else solved.unionByName(hit)
         todo = step.join(hit, "rec_id", "left_anti").select("rec_id", "graph_id", "m", F.col("base").alias("at")).distinct()
-        if not step.where("inherited is null").limit(1).count():
+        todo = cut_lineage(todo.join(seen.select("rec_id", "at"), ["rec_id", "at"], "left_anti"))
+        if todo.isEmpty():
             break
+        seen = seen.unionByName(todo)
     got = method.where("documentation is null").join(solved, "rec_id")
     got = got.select("rec_id", "name", "entity_type", "snippet", F.col("h.inherited").alias("documentation"), F.lit("inherited").alias("doc_from"), F.col("h.base").alias("doc_class"))
     return pairs.select(got.columns).unionByName(got)

@@ -56,3 +56,21 @@ def test_empty_table_and_cycle(spark):
     assert D.found(e).count() == 0 and D.documentation_pairs(e).count() == 0
     loop = spark.createDataFrame(rows(dict(name="A", entity_type="Class", snippet="class A(B): pass"), dict(name="B", entity_type="Class", snippet="class B(A): pass"), dict(name="m", parent_type="Class", parent_name="A", snippet="def m(self): pass")), DDL)
     assert D.documentation_pairs(loop).count() == 0
+
+
+def test_bases_of_headers_with_brackets():
+    for header, bases in (
+        ("class A(Base, metaclass=make()): pass", ["Base"]), ("class A(with_meta(M), Base): pass", ["Base"]), ("class A(six.with_metaclass(M, m.Base, Other)): pass", ["Base", "Other"]), ("class A[T: (int, str)](Base[T], x.Other): pass", ["Base", "Other"]),
+        ("class A(\n    Base,  # the (old) one\n    Generic[Map(K, V)], key='a)b', **kw\n):\n    x = (", ["Base", "Generic"]), ("class A(make(B), C): pass", ["C"]), ("class A(B, C", []), ("class A: pass", []), ("class A(B, B): pass", ["B"]),
+    ):
+        assert D.base_names(header) == ("A", bases), header
+    assert D.base_names(None) == ("", []) and D.base_names("def f(): pass") == ("", [])
+
+
+def test_documentation_nine_classes_up(spark):
+    data = rows(
+        *(dict(name=f"K{i}", entity_type="Class", snippet=f"class K{i}(K{i + 1}, metaclass=make()):\n    pass") for i in range(9)), dict(name="K9", entity_type="Class", snippet="class K9:\n    pass"),
+        dict(name="run", parent_type="Class", parent_name="K9", snippet='def run(self):\n    """Starts the engine slowly."""'), dict(name="run", parent_type="Class", parent_name="K0", snippet="def run(self):\n    return 1"),
+    )
+    got = [r for r in D.documentation_pairs(spark.createDataFrame(data, DDL)).collect() if r["doc_from"] == "inherited"]
+    assert [(r["documentation"], r["doc_class"]) for r in got] == [("Starts the engine slowly.", "K9")]
