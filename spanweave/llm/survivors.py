@@ -1,10 +1,10 @@
 """Problem 4: one surviving record per group of records of one definition, field by field.
 
 Method. Consistent bundles: fields that depend on each other (the four positions; the code; the description) are
-taken whole from one record. Candidate values of each bundle carry a trust; a branch-and-bound search picks one
-candidate per bundle, maximising the trust bundle by bundle in a fixed order, under functional dependencies
-between bundles. Candidates that agree in every field a dependency names are interchangeable, so only the most
-trusted of them is kept, by a partial aggregate, before the search.
+taken whole from one record. Candidate values of each bundle carry a trust, and the most trusted one of each bundle
+is taken by a partial aggregate. No functional dependency between bundles is stated, so choose_bundles, a
+branch-and-bound search under such dependencies, gets one candidate per bundle and decides nothing; code and
+positions of a built record can come from different states of a file.
 
 Grouping. Records are blocked by graph, file, type, parent and name, spellings aside. Within a block records
 with the same code (white space aside) are one definition; a cut-off code belongs to a code that continues it,
