@@ -29,15 +29,20 @@ FILLER = frozenset("the a an this that function method will does is it of to for
 TYPE_WORDS = frozenset("int str float bool list dict tuple set bytes none any optional object callable self cls type".split())
 INHERIT = re.compile(r"\{@inheritDoc\}|:inherit(?:ed)?-?doc:|@inheritdoc|^\s*(?:see|inherited from) (?:the )?(?:base|parent|super)\s?class\.?\s*$|^\s*inherited\.?\s*$", re.I)
 WORD = re.compile(r"[^\W_]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 SECTION = re.compile(r"^\s*(?:args|arguments|parameters|params|returns?|raises|yields|keyword arguments|other parameters|rtype|attributes)\s*:?\s*$", re.I)
 RULE = re.compile(r"^\s*[-=~^]{3,}\s*$")
 FIELD = re.compile(r"^\s*[:@](?:param|parameter|arg|argument|type|key|keyword|return|returns|rtype|raise|raises|yield|yields)\b\s*([\w*]*)\s*(?:\w+\s*)?:?(.*)$", re.I)
 ENTRY = re.compile(r"^\s*\*{0,2}(\w+)\s*(?:\(([^)]*)\))?\s*:(.*)$")
 
 
+def plain_words(text: str) -> list[str]:
+    """The words in lower case; a name in mixed case counts as the words it is put together from."""
+    return [w.lower() for w in WORD.findall(HUMP.sub(" ", text))]
+
+
 def own_words(name: str | None) -> set[str]:
-    n = re.sub(r"\(.*$", "", (name or "").strip()).rpartition(".")[2]
-    return {w.lower() for w in WORD.findall(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", n))}
+    return set(plain_words(re.sub(r"\(.*$", "", (name or "").strip()).rpartition(".")[2]))
 
 
 def _adds_nothing(words: list[str], own: set[str]) -> bool:
@@ -49,16 +54,15 @@ def says_nothing(text: str | None, name: str | None) -> bool:
     """Null, blank, punctuation, a placeholder or notice, the function's own name, or an empty parameter form."""
     if text is None:
         return True
-    words = [w.lower() for w in WORD.findall(text)]
+    words = plain_words(text)
     if not words:
         return True
     own = own_words(name)
-    if len(words) <= 60 and _adds_nothing(words, own):
+    if _adds_nothing(words, own):
+        return True
+    joined = ["na" if re.fullmatch(r"\W*n\s*/\s*a\W*", text, re.I) else ""] + words
+    if any(w in NOTICE for w in joined) and all(w in NOTICE or w in NOTICE_FILL or w == "" or w in own for w in joined):
         return True
-    if len(words) <= 14:
-        joined = ["na" if re.fullmatch(r"\W*n\s*/\s*a\W*", text, re.I) else ""] + words
-        if any(w in NOTICE for w in joined) and all(w in NOTICE or w in NOTICE_FILL or w == "" or w in own for w in joined):
-            return True
     if ":" not in text and "@" not in text and "---" not in text and "===" not in text:
         return False
     # without the lines of an empty form nothing may remain
@@ -73,16 +77,16 @@ def says_nothing(text: str | None, name: str | None) -> bool:
         m = FIELD.match(line)
         if m or in_form and (m := ENTRY.match(line)):
             in_form = True
-            subject = {w.lower() for w in WORD.findall(m.group(1) or "")}
-            said = [w.lower() for w in WORD.findall(m.group(m.lastindex or 1) if m.lastindex and m.lastindex > 1 else "")]
+            subject = set(plain_words(m.group(1) or ""))
+            said = plain_words(m.group(m.lastindex or 1) if m.lastindex and m.lastindex > 1 else "")
             left += [w for w in said if w not in subject and w not in TYPE_WORDS and w not in FILLER]
             continue
         head = re.match(r"^\s*(?:args|arguments|parameters|params|returns?)\s*:(.*)$", line, re.I)
         if head:
             in_form = True
-            left += [w.lower() for w in WORD.findall(head.group(1))]
+            left += plain_words(head.group(1))
             continue
-        left += [w.lower() for w in WORD.findall(line)]
+        left += plain_words(line)
     return not left or _adds_nothing(left, own)
 
 

@@ -1,10 +1,11 @@
 """Problem 4: one surviving record per group of records of one definition, field by field.
 
-Method. Consistent bundles: fields that depend on each other (the four positions; the code; the description) are
-taken whole from one record. Candidate values of each bundle carry a trust, and the most trusted one of each bundle
-is taken by a partial aggregate. No functional dependency between bundles is stated, so choose_bundles, a
-branch-and-bound search under such dependencies, gets one candidate per bundle and decides nothing; code and
-positions of a built record can come from different states of a file.
+Method. Consistent bundles: fields that depend on each other are taken whole from one record: the code with the
+extent it takes up, the start, the description, and the place (lines, extent and end at that start). A
+branch-and-bound search over the candidates of all bundles of a group maximises their trust under the functional
+dependencies code -> extent and code -> lines: the chosen place must have an extent and a number of lines that the
+chosen code is recorded with. The trust of code, start and description comes before that of the place, so these three
+are always the best members'; which extent the code is taken with and which place goes with it is the search's choice.
 
 Grouping. Records are blocked by graph, file, type, parent and name, spellings aside. Within a block records
 with the same code (white space aside) are one definition; a cut-off code belongs to a code that continues it,
@@ -35,26 +36,29 @@ from spanweave.llm.docpairs import parse_definition, says_nothing, simple_name
 
 #: Records of one file written within this time are of one state of it.
 STATE_SECONDS = 10
-Candidate = tuple[tuple, dict[str, Any]]  # trust, fields
+Candidate = tuple[tuple, dict[str, Any]]  # trust by level, fields
 
 
 def choose_bundles(bundles: Sequence[Sequence[Candidate]], dependencies: Sequence[tuple[Sequence[str], str]] = ()) -> list[Candidate | None]:
-    """One candidate per bundle (None for a bundle left empty) with the largest trust, bundle by bundle.
+    """One candidate per bundle (None for a bundle left empty) with the largest trust.
 
-    A dependency (determinants, field) forbids choices whose determinants agree with another chosen candidate's
-    while the field differs. Branch and bound: candidates in falling trust; the bound of a branch is its trust so
-    far and the best trust of every bundle to come; a branch whose bound does not beat the best found is cut.
-    Leaving a bundle empty is the last branch."""
+    A trust is a tuple; the trusts of a choice are compared level by level, on each level bundle by bundle, and a
+    filled bundle beats an empty one on every level it has. A dependency (determinants, field) forbids choices whose
+    determinants agree with another chosen candidate's while the field differs. Branch and bound: candidates in falling
+    trust; the bound of a branch is its trust so far and the best trust of every bundle to come; a branch whose bound
+    does not beat the best found is cut. Leaving a bundle empty is the last branch."""
     order = [sorted(b, key=lambda c: c[0], reverse=True) for b in bundles]
-    tops = [((1, o[0][0]) if o else (0, ())) for o in order]
+    depth = max((len(c[0]) for b in order for c in b), default=0)
+    filled = lambda t: (1, t)
+    tops = [[max((filled(c[0][k]) for c in b if len(c[0]) > k), default=EMPTY) for b in order] for k in range(depth)]
     best_value: list | None = None
     best: list[Candidate | None] = [None] * len(order)
 
     def consistent(fields: dict[str, Any], chosen: list[Candidate | None]) -> bool:
+        facts = [c[1] for c in chosen if c] + [fields]
         for determinants, field in dependencies:
-            if field not in fields and not any(d in fields for d in determinants):
+            if field not in fields:
                 continue
-            facts = [c[1] for c in chosen if c] + [fields]
             seen: dict[tuple, Any] = {}
             for f in facts:
                 if field in f and all(d in f for d in determinants):
@@ -63,22 +67,34 @@ def choose_bundles(bundles: Sequence[Sequence[Candidate]], dependencies: Sequenc
                         return False
         return True
 
-    def visit(k: int, value: list, chosen: list[Candidate | None]) -> None:
+    def bound(chosen: list[Candidate | None]) -> list:
+        k = len(chosen)
+        return [[filled(c[0][i]) if c and len(c[0]) > i else EMPTY for c in chosen] + tops[i][k:] for i in range(depth)]
+
+    def visit(chosen: list[Candidate | None]) -> None:
         nonlocal best_value, best
-        if best_value is not None and value + tops[k:] <= best_value:
+        value = bound(chosen)
+        if best_value is not None and value <= best_value:
             return
+        k = len(chosen)
         if k == len(order):
-            best_value, best = list(value), list(chosen)
+            best_value, best = value, chosen
             return
         for c in order[k]:
             if consistent(c[1], chosen):
-                visit(k + 1, [*value, (1, c[0])], [*chosen, c])
-        visit(k + 1, [*value, (0, ())], [*chosen, None])
+                visit([*chosen, c])
+        visit([*chosen, None])
 
-    visit(0, [], [])
+    visit([])
     return best
 
 
+#: The trust of an empty bundle.
+EMPTY: tuple = (0,)
+#: What the chosen code says of the place it may stand at.
+DEPENDENCIES = ((("code",), "extent"), (("code",), "lines"))
+
+
 @F.pandas_udf(T.BooleanType())
 def _speaks(desc: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([d is not None and not says_nothing(d, n) for d, n in zip(desc, name)], dtype=bool)
@@ -105,20 +121,25 @@ def _members(entities: DataFrame) -> DataFrame:
     e = e.where("graph_id is not null and file <> '' and simple <> ''")
     key = F.md5(F.concat_ws("\u0001", "graph_id", "file", "entity_type", F.coalesce("parent_type", F.lit("")), F.coalesce(simple_name(F.col("parent_name")), F.lit("")), "simple"))
     at = F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(1 << 60)).cast("bigint"))
-    r = e.select(F.unhex(key).alias("b"), "rec_id", "start_byte", "snippet", at.alias("at"), "description", "simple")
+    r = e.select(F.unhex(key).alias("b"), "rec_id", "start_byte", "end_byte", "start_line", "end_line", "snippet", at.alias("at"), "description", "simple")
     several = r.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
     r = r.join(several, "b", "left_semi").withColumn("c", F.unhex(F.md5(_code())))
     speaks = F.when(F.col("description").isNull(), F.lit(False)).otherwise(_speaks("description", "simple"))
-    return r.select("b", "c", "rec_id", "start_byte", "at", "snippet", speaks.alias("speaks"))
+    return r.select("b", "c", "rec_id", "start_byte", "end_byte", "start_line", "end_line", "at", "snippet", speaks.alias("speaks"))
 
 
 def _collapsed(members: DataFrame) -> DataFrame:
-    """One row per (block, code, start)."""
+    """One row per (block, code, start), with the different places recorded for it. Equal rows fall together first."""
     r = members.withColumn("best", F.struct("at", (-F.col("rec_id")).alias("neg")))
-    return r.groupBy("b", "c", "start_byte").agg(
+    r = r.groupBy("b", "c", "start_byte", "end_byte", "start_line", "end_line").agg(
         F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("rec_id"), F.min_by("snippet", "rec_id").alias("snippet"),
         F.max("best").alias("best"), F.max(F.when(F.col("speaks"), F.col("best"))).alias("best_desc"),
     )
+    place = F.when(F.col("start_byte").isNotNull(), F.struct("best", "c", "start_line", "end_line", (F.col("end_byte") - F.col("start_byte")).alias("extent"), (F.col("end_line") - F.col("start_line")).alias("lines")))
+    return r.groupBy("b", "c", "start_byte").agg(
+        F.sum("n").alias("n"), F.min("rec_id").alias("rec_id"), F.min_by("snippet", "rec_id").alias("snippet"),
+        F.max("best").alias("best"), F.max("best_desc").alias("best_desc"), F.collect_list(place).alias("places"),
+    )
 
 
 def _places(members: DataFrame) -> DataFrame:
@@ -173,46 +194,74 @@ def _clusters(entities: DataFrame) -> DataFrame:
 
 
 def survivors(entities: DataFrame, find: Callable[[DataFrame], DataFrame] = _clusters) -> DataFrame:
-    """One row per group of two or more records: rec_id (the smallest), members, and the record that supplies each
-    bundle (snippet_rec_id, start_byte_rec_id, description_rec_id; -1 where no record has a value).
+    """One row per group of two or more records: rec_id (the smallest), members, the record that supplies each
+    bundle (snippet_rec_id, start_byte_rec_id, description_rec_id, place_rec_id; -1 where no record has a value), and
+    the place's start_line, end_line and extent (null without a place).
 
     Trust: most characters of code other than white space, latest indexed_at, smallest rec_id for the snippet; the
-    latter two for positions and description, which must say something."""
+    latter two for start, place and description, which must say something. Of a group only what can be chosen comes
+    together: the best code, the best start with the different places recorded there, the best description."""
     m = find(entities)
     size = F.length(_code())
-    code = F.when(F.col("c").isNotNull(), F.struct(size.alias("size"), F.col("best.at").alias("at"), F.col("best.neg").alias("neg")))
-    g = m.groupBy("b", "g").agg(
+    code = F.when(F.col("c").isNotNull(), F.struct(size.alias("size"), F.col("best.at").alias("at"), F.col("best.neg").alias("neg"), "c", "places"))
+    # first by start, so that the places at one start are together; then the best of each bundle carries its own along
+    g = m.groupBy("b", "g", "start_byte").agg(
         F.min("rec_id").alias("rec_id"), F.sum("n").alias("members"), F.max(code).alias("code"),
-        F.max(F.when(F.col("start_byte").isNotNull(), F.col("best"))).alias("pos"), F.max("best_desc").alias("des"),
-    ).where("members > 1")
-    g = g.select("rec_id", "members", "code", "pos", "des")
+        F.max("best").alias("best"), F.flatten(F.collect_list("places")).alias("places"), F.max("best_desc").alias("des"),
+    )
+    g = g.groupBy("b", "g").agg(
+        F.min("rec_id").alias("rec_id"), F.sum("members").alias("members"), F.max("code").alias("code"),
+        F.max(F.when(F.col("start_byte").isNotNull(), F.struct("best", "places"))).alias("pos"), F.max("des").alias("des"),
+    ).where("members > 1").select("rec_id", "members", "code", "pos", "des")
+    out_names = ["snippet_rec_id", "start_byte_rec_id", "description_rec_id", "place_rec_id", "start_line", "end_line", "extent"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[int]] = [[], [], []]
-            for code, pos, des in zip(*(b.column(c).to_pylist() for c in ("code", "pos", "des"))):
-                bundles = [
-                    [((code["size"], code["at"], code["neg"]), {"snippet": -code["neg"]})] if code else [],
-                    [((pos["at"], pos["neg"]), {"start_byte": -pos["neg"]})] if pos else [],
-                    [((des["at"], des["neg"]), {"description": -des["neg"]})] if des else [],
-                ]
-                for k, c in enumerate(choose_bundles(bundles)):
-                    out[k].append(-c[0][-1] if c else -1)
-            cols = [b.column("rec_id"), b.column("members"), *(pa.array(x, pa.int64()) for x in out)]
-            yield pa.RecordBatch.from_arrays(cols, names=["rec_id", "members", "snippet_rec_id", "start_byte_rec_id", "description_rec_id"])
-
-    return g.mapInArrow(run, "rec_id long, members long, snippet_rec_id long, start_byte_rec_id long, description_rec_id long")
+            rows = [chosen_record(c, p, d) for c, p, d in zip(*(b.column(c).to_pylist() for c in ("code", "pos", "des")))]
+            cols = [b.column("rec_id"), b.column("members"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(out_names)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["rec_id", "members", *out_names])
+
+    return g.mapInArrow(run, "rec_id long, members long, " + ", ".join(f"{n} long" for n in out_names))
+
+
+def chosen_record(code: dict | None, pos: dict | None, des: dict | None) -> tuple[int | None, ...]:
+    """The search of one group: ids of the records that supply code, start, description and place, then start_line,
+    end_line and extent of the place. The code is a candidate with each extent it is recorded with, at its own start or
+    at the chosen one, and last with none; the places at the chosen start are candidates with theirs."""
+    places = pos["places"] if pos else []
+    codes: list[Candidate] = []
+    if code:
+        trust = (code["size"], code["at"], code["neg"])
+        known = {(p["extent"], p["lines"]): max((q["best"]["at"], q["best"]["neg"]) for q in [*code["places"], *places] if (q["c"], q["extent"], q["lines"]) == (code["c"], p["extent"], p["lines"]))
+                 for p in [*code["places"], *places] if p["c"] == code["c"] and p["extent"] is not None}
+        codes = [((trust, (), (1, *t)), {"code": code["c"], "extent": e, **({"lines": n} if n is not None else {})}) for (e, n), t in known.items()]
+        codes.append(((trust, (), (0,)), {"code": code["c"]}))
+    where: list[Candidate] = []
+    for p in places:
+        fields = {k: p[k] for k in ("extent", "lines") if p[k] is not None} | ({"code": code["c"]} if code else {})
+        where.append((((), (p["extent"] is not None, p["lines"] is not None, p["best"]["at"], p["best"]["neg"])), fields | {"place": p}))
+    starts = [(((pos["best"]["at"], pos["best"]["neg"]),), {})] if pos else []
+    speaking = [(((des["at"], des["neg"]),), {})] if des else []
+    c, s, d, w = choose_bundles([codes, starts, speaking, where], DEPENDENCIES)
+    last = lambda x: -x[0][0][-1] if x else -1
+    p = w[1]["place"] if w else None
+    return last(c), last(s), last(d), -p["best"]["neg"] if p else -1, p and p["start_line"], p and p["end_line"], p and p["extent"]
 
 
 def surviving_records(entities: DataFrame) -> DataFrame:
-    """The built records: the bundles' fields taken from the records that supply them."""
+    """The built records: code, start and description from the records that supply them, lines and end from the chosen
+    place. Every supplier is looked up by one join."""
     s = survivors(entities)
-    e = entities.select("rec_id", "graph_id", "source_file", "entity_type", "name", "snippet", "start_byte", "end_byte", "start_line", "end_line", "description")
-    out = s.join(e.select("rec_id", "graph_id", clean_path(F.col("source_file")).alias("source_file"), "entity_type", simple_name(F.col("name")).alias("name")), "rec_id")
-    out = out.join(e.select(F.col("rec_id").alias("snippet_rec_id"), "snippet"), "snippet_rec_id", "left")
-    out = out.join(e.select(F.col("rec_id").alias("start_byte_rec_id"), "start_byte", "end_byte", "start_line", "end_line"), "start_byte_rec_id", "left")
-    return out.join(e.select(F.col("rec_id").alias("description_rec_id"), "description"), "description_rec_id", "left").select(
-        "rec_id", "members", "graph_id", "source_file", "entity_type", "name", "snippet", "start_byte", "end_byte", "start_line", "end_line", "description"
+    roles = {"own": "rec_id", "code": "snippet_rec_id", "start": "start_byte_rec_id", "des": "description_rec_id"}
+    wanted = s.withColumn("role", F.explode(F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("of")) for r, c in roles.items()))))
+    wanted = wanted.select("rec_id", "members", "start_line", "end_line", "extent", F.col("role.role").alias("role"), F.col("role.of").alias("of"))
+    e = entities.select(F.col("rec_id").alias("of"), "graph_id", clean_path(F.col("source_file")).alias("source_file"), "entity_type", simple_name(F.col("name")).alias("name"), "snippet", "start_byte", "description")
+    got = wanted.join(e, "of", "left")
+    by = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c))).alias(c)
+    out = got.groupBy("rec_id").agg(*(F.first(c).alias(c) for c in ("members", "start_line", "end_line", "extent")), *(by("own", c) for c in ("graph_id", "source_file", "entity_type", "name")), by("code", "snippet"), by("start", "start_byte"), by("des", "description"))
+    return out.select(
+        "rec_id", "members", "graph_id", "source_file", "entity_type", "name", "snippet", "start_byte", (F.col("start_byte") + F.col("extent")).cast("int").alias("end_byte"),
+        F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "description",
     )
 
 

@@ -98,3 +98,33 @@ def test_chains_of_cuts_lead_to_the_whole_code(spark):
     cuts = [whole[:k] for k in (8, 11, 20, 24)]
     df = frame(spark, [dict(rec_id=9, snippet=whole, start_byte=5)] + [dict(rec_id=i, snippet=c, start_byte=None if i == 2 else 100 + i) for i, c in enumerate(cuts)])
     assert [(r[0], r[1]) for r in out(df)] == [(0, 9)]
+
+
+def test_search_changes_the_choice(spark):
+    """The code is recorded with two extents; the latest record of it has one that no place at the chosen start has, so
+    taking each bundle's best in turn would leave the record without a place."""
+    d = lambda k: T0 + dt.timedelta(days=k)
+    df = frame(spark, [
+        dict(rec_id=1, start_byte=10, end_byte=40, start_line=2, end_line=3, indexed_at=d(1)),
+        dict(rec_id=2, start_byte=10, end_byte=77, start_line=2, end_line=9, indexed_at=d(6), snippet=None),
+        dict(rec_id=3, start_byte=5, end_byte=99, start_line=1, end_line=2, indexed_at=d(3)),
+        dict(rec_id=4, start_byte=10, end_byte=None, start_line=None, end_line=None, indexed_at=d(7), snippet=None),
+    ])
+    r = S.surviving_records(df).collect()
+    assert [(x["rec_id"], x["start_byte"], x["end_byte"], x["start_line"], x["end_line"]) for x in r] == [(1, 10, 40, 2, 3)]
+    assert out(df) == [(1, 3, 4, -1)]
+    place = lambda at, neg, c, extent, lines: {"best": {"at": at, "neg": neg}, "c": c, "start_line": 1, "end_line": 1 + lines, "extent": extent, "lines": lines}
+    pos = {"best": {"at": 7, "neg": -4}, "places": [place(6, -2, None, 67, 7), place(1, -1, b"k", 30, 1)]}
+    code = {"size": 9, "at": 8, "neg": -3, "c": b"k", "places": [place(8, -3, b"k", 94, 1)]}
+    assert S.chosen_record(code, pos, None) == (3, 4, -1, 1, 1, 2, 30)
+    assert S.chosen_record(None, pos, None)[3] == 2  # without a code nothing forbids the latest place
+    assert S.chosen_record(code, None, None) == (3, -1, -1, -1, None, None, None)
+
+
+def test_names_in_mixed_case_describe_nothing(spark):
+    for text in ("Function LocalPlannerWalker.", "The LocalPlannerWalker function", "local planner walker", "This description is missing and not yet available, please add the documentation here later, it could not be generated, TODO"):
+        assert says_nothing(text, "LocalPlannerWalker"), text
+    for text in ("LocalPlannerWalker walks rows.", "Plans routes"):
+        assert not says_nothing(text, "LocalPlannerWalker"), text
+    df = frame(spark, [dict(rec_id=1, entity_type="Class", name="RowCache", description="Keeps rows.", snippet="class RowCache:\n    x = 1"), dict(rec_id=2, entity_type="Class", name="RowCache", description="Function RowCache.", indexed_at=T0 + dt.timedelta(days=2), snippet="class RowCache:\n    x = 1")])
+    assert out(df) == [(1, 2, 2, 1)]
