@@ -61,7 +61,7 @@ def says_nothing(text: str | None, name: str | None) -> bool:
     if _adds_nothing(words, own):
         return True
     joined = ["na" if re.fullmatch(r"\W*n\s*/\s*a\W*", text, re.I) else ""] + words
-    if any(w in NOTICE for w in joined) and all(w in NOTICE or w in NOTICE_FILL or w == "" or w in own for w in joined):
+    if any(w in NOTICE for w in joined) and all(w in NOTICE or w in NOTICE_FILL or w in FILLER or w == "" or w in own for w in joined):
         return True
     if ":" not in text and "@" not in text and "---" not in text and "===" not in text:
         return False

@@ -227,7 +227,8 @@ def survivors(entities: DataFrame, find: Callable[[DataFrame], DataFrame] = _clu
 def chosen_record(code: dict | None, pos: dict | None, des: dict | None) -> tuple[int | None, ...]:
     """The search of one group: ids of the records that supply code, start, description and place, then start_line,
     end_line and extent of the place. The code is a candidate with each extent it is recorded with, at its own start or
-    at the chosen one, and last with none; the places at the chosen start are candidates with theirs."""
+    at the chosen one; the places at the chosen start are candidates with theirs. Where no place recorded there agrees with
+    the code, the place is built: the line of the latest one, the extent and lines of the code."""
     places = pos["places"] if pos else []
     codes: list[Candidate] = []
     if code:
@@ -235,7 +236,7 @@ def chosen_record(code: dict | None, pos: dict | None, des: dict | None) -> tupl
         known = {(p["extent"], p["lines"]): max((q["best"]["at"], q["best"]["neg"]) for q in [*code["places"], *places] if (q["c"], q["extent"], q["lines"]) == (code["c"], p["extent"], p["lines"]))
                  for p in [*code["places"], *places] if p["c"] == code["c"] and p["extent"] is not None}
         codes = [((trust, (), (1, *t)), {"code": code["c"], "extent": e, **({"lines": n} if n is not None else {})}) for (e, n), t in known.items()]
-        codes.append(((trust, (), (0,)), {"code": code["c"]}))
+        codes = codes or [((trust, (), (0,)), {"code": code["c"]})]
     where: list[Candidate] = []
     for p in places:
         fields = {k: p[k] for k in ("extent", "lines") if p[k] is not None} | ({"code": code["c"]} if code else {})
@@ -244,8 +245,12 @@ def chosen_record(code: dict | None, pos: dict | None, des: dict | None) -> tupl
     speaking = [(((des["at"], des["neg"]),), {})] if des else []
     c, s, d, w = choose_bundles([codes, starts, speaking, where], DEPENDENCIES)
     last = lambda x: -x[0][0][-1] if x else -1
-    p = w[1]["place"] if w else None
-    return last(c), last(s), last(d), -p["best"]["neg"] if p else -1, p and p["start_line"], p and p["end_line"], p and p["extent"]
+    if w or not places:
+        p = w[1]["place"] if w else {"start_line": None, "end_line": None, "extent": None}
+        return last(c), last(s), last(d), -p["best"]["neg"] if w else -1, p["start_line"], p["end_line"], p["extent"]
+    line = max((q["best"]["at"], q["best"]["neg"], q["start_line"]) for q in places if q["start_line"] is not None)[2] if any(q["start_line"] is not None for q in places) else None
+    lines = c[1].get("lines")
+    return last(c), last(s), last(d), -1, line, None if line is None or lines is None else line + lines, c[1].get("extent")
 
 
 def surviving_records(entities: DataFrame) -> DataFrame:

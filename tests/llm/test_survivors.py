@@ -117,6 +117,7 @@ def test_search_changes_the_choice(spark):
     pos = {"best": {"at": 7, "neg": -4}, "places": [place(6, -2, None, 67, 7), place(1, -1, b"k", 30, 1)]}
     code = {"size": 9, "at": 8, "neg": -3, "c": b"k", "places": [place(8, -3, b"k", 94, 1)]}
     assert S.chosen_record(code, pos, None) == (3, 4, -1, 1, 1, 2, 30)
+    assert S.chosen_record(code, pos | {"places": pos["places"][:1]}, None) == (3, 4, -1, -1, 1, 2, 94)  # built
     assert S.chosen_record(None, pos, None)[3] == 2  # without a code nothing forbids the latest place
     assert S.chosen_record(code, None, None) == (3, -1, -1, -1, None, None, None)
 
