@@ -60,3 +60,12 @@ def test_long_text_and_repeated_rows(spark):
     p = S.split_items(S.oversized(c, i))
     assert p.agg(F.sum(F.length("text") - F.col("n_overlap"))).first()[0] == len("some words here. ") * 40_000
     assert S.found(c, i).count() == 1
+
+
+def test_offsets_and_lookback_of_many_pieces(spark):
+    """More pieces than RUN * RUN would need one level less; overlaps longer than a core and across blocks."""
+    t = "".join(f"{i} " for i in range(20_000))
+    for limit, overlap in ((3, 2), (90, 80)):
+        got, found = pieces(spark, [t], limit, overlap)
+        check([t], limit, overlap, got)
+        assert found == [0] and [r["start"] for r in got[0]][:2] == [0, len(got[0][0]["text"])]
