@@ -51,13 +51,13 @@ ORACLE_SQL: dict[str, str] = {
     "p6_found": """
         SELECT DISTINCT c.id FROM chunks c JOIN index_metadata i ON c.graph_id = i.index_id
         WHERE length(c.text) // 4 > i.token_limit_per_chunk""",
-    "p9_forms": f"SELECT doc_id, {lookalike.form_sql()} AS form FROM documents",
+    "p9_forms": f"WITH {lookalike.check_sql()} SELECT doc_id, form FROM forms",
     "p9_found": f"""
-        WITH f AS (SELECT doc_id, text, md5({lookalike.form_sql()}) AS form FROM documents WHERE text IS NOT NULL)
+        WITH {lookalike.check_sql()}, f AS (SELECT doc_id, text, md5(form) AS form FROM forms WHERE text IS NOT NULL)
         SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b
         FROM f a JOIN f b ON a.form = b.form AND a.text <> b.text AND a.doc_id < b.doc_id""",
     "p9_classes": f"""
-        WITH f AS (SELECT doc_id, text, {lookalike.form_sql()} AS form FROM documents WHERE text IS NOT NULL),
+        WITH {lookalike.check_sql()}, f AS (SELECT doc_id, text, form FROM forms WHERE text IS NOT NULL),
              t AS (SELECT form, text, count(*) AS n FROM f GROUP BY ALL),
              g AS (SELECT form, count(*) AS n_texts, sum(n) AS n_docs FROM t GROUP BY form)
         SELECT f.doc_id, g.n_texts, CAST(g.n_docs - t.n AS BIGINT) AS n_links
