@@ -3,7 +3,12 @@
 Method. Each function record is parsed: its docstring, or failing that its description, documents it unless it
 says nothing. Class headers give the hierarchy; methods left without documentation, or whose docstring only
 carries an inheritance tag, are joined round by round with the method they override in the classes above, and
-the nearest documentation resolves to them. What no round resolves is dropped.
+the nearest documentation resolves to them. What no round resolves is dropped. One operator, `pairs`, gives all rows:
+its pairs of own documentation are what p1_found asks for, its pairs of any are p1_pairs.
+
+Classes are told apart by file. A base is the class of that name in the same file; else the one that the file imports
+under the name, from the file of the module; else, if the file imports no such name, the only class of that name in the
+graph. A base of several possible files is the first by path; one that is none of these is outside.
 
 Defined cases: a null, cut off or unparsable snippet gives no pair; null name, description, parent or graph
 never fail (a method without class inherits nothing); repeated records each count; the snippet decides where
@@ -15,12 +20,14 @@ from __future__ import annotations
 import ast
 import re
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanweave.llm.badfiles import clean_path
+
 #: Words of notices and placeholders (fixed values). One of the first kind must occur.
 NOTICE = frozenset("description descriptions docstring docstrings documentation doc docs documented undocumented todo tbd fixme xxx placeholder stub summary na none llm unavailable missing null nil empty wip tba".split())
 NOTICE_FILL = frozenset("no not n a the this is yet add here goes write later available provided given error could generate generated generating generation failed request timed out be was for to of and please fill in auto automatically long short extended timeout none exist exists found model response document describe me your text function method".split())
@@ -122,11 +129,12 @@ def simple_name(c: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(F.trim(c), r"\s*\(.*$", ""), r"([^.]*)$", 1)
 
 
-def documented(entities: DataFrame) -> DataFrame:
+def documented(entities: DataFrame, keep: Sequence[str] = ("name", "entity_type", "snippet")) -> DataFrame:
     """Every Function record with: whole (bool), documentation (null if nothing says anything), doc_from
-    (docstring, description or null), inherits (the docstring only refers to the base). A narrow map; only the
+    (docstring, description or null), inherits (the docstring only refers to the base), and `keep`. A narrow map; only the
     function rows and the columns named here are read."""
-    src = entities.where(F.col("entity_type") == "Function").select("rec_id", "graph_id", "name", "entity_type", "parent_type", "parent_name", "snippet", "description")
+    src = entities.where(F.col("entity_type") == "Function").select("rec_id", "graph_id", clean_path(F.col("source_file")).alias("file"), "name", "entity_type", "parent_type", "parent_name", "snippet", "description")
+    back = [c for c in src.columns if c in keep or c in ("rec_id", "graph_id", "file", "name", "parent_type", "parent_name")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,10 +156,10 @@ def documented(entities: DataFrame) -> DataFrame:
                 docs.append(got[0])
                 whence.append(got[1])
                 tags.append(tag)
-            cols = [b.column(i) for i in range(b.num_columns)] + [pa.array(whole, pa.bool_()), pa.array(docs, pa.string()), pa.array(whence, pa.string()), pa.array(tags, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, "whole", "documentation", "doc_from", "inherits"])
+            cols = [b.column(c) for c in back] + [pa.array(whole, pa.bool_()), pa.array(docs, pa.string()), pa.array(whence, pa.string()), pa.array(tags, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*back, "whole", "documentation", "doc_from", "inherits"])
 
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in src.schema)}, whole boolean, documentation string, doc_from string, inherits boolean"
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in src.schema if f.name in back)}, whole boolean, documentation string, doc_from string, inherits boolean"
     return src.mapInArrow(run, schema)
 
 
@@ -161,7 +169,7 @@ CLASS_HEAD = re.compile(r"^\s*(?:@[^\n]*\n\s*)*class\s+(\w+)\s*")
 
 
 def base_names(snippet: str | None) -> tuple[str, list[str]]:
-    """The class name of a header and the names of its bases, in order: a balanced scan, so that a header of a cut-off
+    """The class name of a header and the names of its bases, dotted as they stand there, in order: a balanced scan, so that a header of a cut-off
     class counts too. with_metaclass(M, Base), under any name that begins so, gives the bases after M; what another
     call returns is unknown and gives none; a subscript gives the name before it, keywords none. A list that doesn't
     close gives none."""
@@ -195,13 +203,13 @@ def base_names(snippet: str | None) -> tuple[str, list[str]]:
         part = part.strip()
         if re.match(r"\w+\s*=(?!=)|\*", part):
             return
-        name = re.match(r"(?:\w+\s*\.\s*)*([^\W\d]\w*)\s*", part)
+        name = re.match(r"((?:\w+\s*\.\s*)*)([^\W\d]\w*)\s*", part)
         if not name:
             return
         rest = part[name.end() :]
         if rest[:1] != "(":
-            names.append(name.group(1))
-        elif re.match(r"with_?meta", name.group(1), re.I) and rest.endswith(")"):
+            names.append(re.sub(r"\s", "", name.group(1)) + name.group(2))
+        elif re.match(r"with_?meta", name.group(2), re.I) and rest.endswith(")"):
             depth, inner = 0, [""]
             for c in rest[1:-1]:
                 depth += (c in "([{") - (c in ")]}")
@@ -217,56 +225,94 @@ def base_names(snippet: str | None) -> tuple[str, list[str]]:
     return m.group(1), list(dict.fromkeys(names))
 
 
-def class_bases(entities: DataFrame) -> DataFrame:
-    """(graph_id, class_name, base, ord): the direct bases in the headers of Class records, each once."""
-    c = entities.where((F.col("entity_type") == "Class") & F.col("snippet").isNotNull() & F.col("graph_id").isNotNull()).select("graph_id", "snippet").distinct()
+def classes(entities: DataFrame) -> DataFrame:
+    """(graph_id, file, class_name, bases): the Class records by file, with the bases of their headers as they stand
+    there. A row per different header."""
+    c = entities.where((F.col("entity_type") == "Class") & F.col("graph_id").isNotNull() & F.col("source_file").isNotNull())
+    c = c.select("graph_id", clean_path(F.col("source_file")).alias("file"), simple_name(F.col("name")).alias("name"), "snippet").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [base_names(s) for s in b.column("snippet").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("graph_id"), pa.array([n for n, _ in got], pa.string()), pa.array([x for _, x in got], pa.list_(pa.string()))], names=["graph_id", "class_name", "bases"])
-
-    c = c.mapInArrow(run, "graph_id string, class_name string, bases array<string>")
-    c = c.select("graph_id", "class_name", F.posexplode("bases").alias("ord", "base"))
-    return c.where("class_name <> '' and base <> class_name").groupBy("graph_id", "class_name", "base").agg(F.min("ord").alias("ord"))
-
-
-def documentation_pairs(entities: DataFrame) -> DataFrame:
-    """(rec_id, name, entity_type, snippet, documentation, doc_from, doc_class): whole functions with documentation
-    of their own (docstring or description) or inherited from the nearest class above that documents the method.
+            names = [n or own for (n, _), own in zip(got, b.column("name").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("graph_id"), b.column("file"), pa.array(names, pa.string()), pa.array([x for _, x in got], pa.list_(pa.string()))], names=["graph_id", "file", "class_name", "bases"])
+
+    return c.mapInArrow(run, "graph_id string, file string, class_name string, bases array<string>").where("class_name <> ''")
+
+
+def imported_names(entities: DataFrame) -> DataFrame:
+    """(graph_id, file, local, original, module): what `from module import original as local` gives a file."""
+    i = entities.where("entity_type = 'ImportFrom' and graph_id is not null and source_file is not null and imported_items is not null")
+    i = i.select("graph_id", clean_path(F.col("source_file")).alias("file"), F.coalesce("module_name", "name").alias("module"), F.explode("imported_items").alias("item"))
+    parts = F.split(F.trim("item"), r"\s+(?:as\s+)?")
+    return i.select("graph_id", "file", F.get(parts, F.size(parts) - 1).alias("local"), F.get(parts, F.lit(0)).alias("original"), F.regexp_replace("module", r"^\.+", "").alias("module")).distinct()
+
+
+def resolved_bases(found_classes: DataFrame, imports: DataFrame) -> DataFrame:
+    """(graph_id, file, class_name, ord, base_file, base): the direct bases that are classes of the graph, each once."""
+    known = found_classes.select("graph_id", "file", "class_name").distinct()
+    b = found_classes.select("graph_id", "file", "class_name", F.posexplode("bases").alias("ord", "full"))
+    b = b.groupBy("graph_id", "file", "class_name", "full").agg(F.min("ord").alias("ord"))
+    b = b.withColumn("base", F.substring_index("full", ".", -1)).withColumn("via", F.when(F.contains("full", F.lit(".")), F.substring_index(F.substring_index("full", ".", -2), ".", 1)))
+    target = known.select("graph_id", F.col("file").alias("base_file"), F.col("class_name").alias("base"))
+    # in the same file
+    here = b.where("via is null and base <> class_name").join(known.select("graph_id", "file", F.col("class_name").alias("base")), ["graph_id", "file", "base"])
+    here = here.select("graph_id", "file", "class_name", "ord", "full", F.col("file").alias("base_file"), "base")
+    away = b.join(here.select("graph_id", "file", "class_name", "full"), ["graph_id", "file", "class_name", "full"], "left_anti")
+    # imported, or written with its module: the last step of the module is the file's name, the rest its folders
+    stem = F.regexp_replace(F.regexp_replace("base_file", r"(?i)\.py$", ""), "/__init__$", "")
+    at = target.withColumn("dotted", F.translate(stem, "/", ".")).withColumn("step", F.substring_index("dotted", ".", -1))
+    named = away.where("via is null").join(imports.withColumnRenamed("local", "base"), ["graph_id", "file", "base"])
+    wanted = named.select("graph_id", "file", "class_name", "ord", "full", F.col("original").alias("base"), "module").unionByName(away.where("via is not null").select("graph_id", "file", "class_name", "ord", "full", "base", F.col("via").alias("module")))
+    met = wanted.withColumn("step", F.substring_index("module", ".", -1)).join(at, ["graph_id", "base", "step"])
+    met = met.where((F.col("dotted") == F.col("module")) | F.endswith("dotted", F.concat(F.lit("."), F.col("module"))))
+    # neither: the only class of the name
+    only = target.groupBy("graph_id", "base").agg(F.min("base_file").alias("base_file"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    rest = away.where("via is null and base <> class_name").join(named.select("graph_id", "file", "base").distinct(), ["graph_id", "file", "base"], "left_anti").join(only, ["graph_id", "base"])
+    every = here.unionByName(met.select(here.columns)).unionByName(rest.select(here.columns)).where("not (base_file = file and base = class_name)")
+    return every.groupBy("graph_id", "file", "class_name", "base_file", "base").agg(F.min("ord").alias("ord"))
+
+
+def pairs(entities: DataFrame, keep: Sequence[str] = ("name", "entity_type", "snippet")) -> DataFrame:
+    """(rec_id, `keep`, documentation, doc_from, doc_class): whole functions with documentation of their own (docstring
+    or description) or inherited from the nearest class above that documents the method.
 
     Each round is one join of the shrinking unresolved methods with the bases and with one documentation per
-    (graph, class, method); per step up the first base in the header wins. Rounds go on until no unresolved method
+    (graph, file, class, method); per step up the first base in the header wins. Rounds go on until no unresolved method
     comes to a class it has not been at, so a hierarchy of any height is climbed and a cycle ends. Lineage is cut
     after each round."""
     from spanweave.session import cut_lineage
 
-    own = cut_lineage(documented(entities).where("whole"))
-    pairs = own.where("documentation is not null").withColumn("doc_class", F.lit(None).cast("string"))
-    method = own.where((F.col("parent_type") == "Class") & F.col("parent_name").isNotNull() & F.col("graph_id").isNotNull() & F.col("name").isNotNull())
-    method = method.withColumn("cls", simple_name(F.col("parent_name"))).withColumn("m", simple_name(F.col("name")))
-    known = method.where("documentation is not null").groupBy("graph_id", "cls", "m").agg(F.min_by("documentation", F.struct(F.col("doc_from") != "docstring", "rec_id")).alias("inherited"))
-    bases = cut_lineage(class_bases(entities))
-    todo = method.where("documentation is null").select("rec_id", "graph_id", "m", F.col("cls").alias("at"))
+    own = documented(entities, keep).where("whole").select("rec_id", *keep, "documentation", "doc_from", "graph_id", "file", F.col("parent_type") == "Class", simple_name(F.col("parent_name")).alias("cls"), simple_name(F.col("name")).alias("m"))
+    own = cut_lineage(own.toDF("rec_id", *keep, "documentation", "doc_from", "graph_id", "file", "of_class", "cls", "m"))
+    got = own.where("documentation is not null").select("rec_id", *keep, "documentation", "doc_from", F.lit(None).cast("string").alias("doc_class"))
+    bases = cut_lineage(resolved_bases(cut_lineage(classes(entities)), imported_names(entities)))
+    method = own.where("of_class and cls is not null and m is not null and graph_id is not null and file is not null")
+    key = ["graph_id", "file", "cls"]
+    # only methods of classes with a base in the graph climb
+    todo = method.where("documentation is null").select("rec_id", "m", *key).join(bases.select("graph_id", "file", F.col("class_name").alias("cls")), key, "left_semi")
     seen = todo = cut_lineage(todo)
+    known = method.where("documentation is not null").groupBy(*key, "m").agg(F.min_by("documentation", F.struct(F.col("doc_from") != "docstring", "rec_id")).alias("inherited"))
     solved = None
-    while True:
-        # one row per (graph, class, base): a hot class meets its few bases, not other rows of its own
-        up = todo.join(bases.select("graph_id", F.col("class_name").alias("at"), "base", "ord"), ["graph_id", "at"])
-        up = up.join(known.withColumnRenamed("cls", "base"), ["graph_id", "base", "m"], "left")
-        step = cut_lineage(up.select("rec_id", "graph_id", "m", "base", "ord", "inherited"))
-        hit = step.where("inherited is not null").groupBy("rec_id").agg(F.min_by(F.struct("inherited", "base"), F.struct("ord", "base")).alias("h"))
+    while not todo.isEmpty():
+        # one row per (class, base): a hot class meets its few bases, not other rows of its own
+        up = todo.join(bases.withColumnRenamed("class_name", "cls"), key).select("rec_id", "m", "graph_id", F.col("base_file").alias("file"), F.col("base").alias("cls"), "ord")
+        step = cut_lineage(up.join(known, [*key, "m"], "left"))
+        hit = step.where("inherited is not null").groupBy("rec_id").agg(F.min_by(F.struct("inherited", "cls"), F.struct("ord", "cls", "file")).alias("h"))
         solved = hit if solved is None else solved.unionByName(hit)
-        todo = step.join(hit, "rec_id", "left_anti").select("rec_id", "graph_id", "m", F.col("base").alias("at")).distinct()
-        todo = cut_lineage(todo.join(seen.select("rec_id", "at"), ["rec_id", "at"], "left_anti"))
-        if todo.isEmpty():
-            break
+        todo = step.join(hit, "rec_id", "left_anti").select("rec_id", "m", *key).distinct()
+        todo = cut_lineage(todo.join(seen.select("rec_id", *key), ["rec_id", *key], "left_anti"))
         seen = seen.unionByName(todo)
-    got = method.where("documentation is null").join(solved, "rec_id")
-    got = got.select("rec_id", "name", "entity_type", "snippet", F.col("h.inherited").alias("documentation"), F.lit("inherited").alias("doc_from"), F.col("h.base").alias("doc_class"))
-    return pairs.select(got.columns).unionByName(got)
+    if solved is None:
+        return got
+    more = own.join(solved, "rec_id").select("rec_id", *keep, F.col("h.inherited").alias("documentation"), F.lit("inherited").alias("doc_from"), F.col("h.cls").alias("doc_class"))
+    return got.unionByName(more)
+
+
+def documentation_pairs(entities: DataFrame) -> DataFrame:
+    return pairs(entities)
 
 
 def found(entities: DataFrame) -> DataFrame:
-    """(rec_id) of the records whose own documentation makes a pair."""
-    return documented(entities).where("whole and documentation is not null").select("rec_id")
+    """(rec_id) of the pairs whose documentation is the record's own."""
+    return pairs(entities, ()).where("doc_from <> 'inherited'").select("rec_id")

@@ -4,13 +4,13 @@ import pytest
 
 from spanweave.llm import docpairs as D
 
-DDL = "rec_id long, graph_id string, id string, entity_type string, name string, source_file string, start_byte int, snippet string, parent_type string, parent_name string, description string, indexed_at timestamp, extra string, whole string"
+DDL = "rec_id long, graph_id string, id string, entity_type string, name string, source_file string, start_byte int, snippet string, parent_type string, parent_name string, description string, indexed_at timestamp, extra string, whole string, module_name string, imported_items array<string>"
 
 
 def rows(*xs):
     out = []
     for i, x in enumerate(xs):
-        base = dict(rec_id=i, graph_id="g", id=str(i), entity_type="Function", name="f", source_file="repos/a.py", start_byte=0, snippet=None, parent_type=None, parent_name=None, description=None, indexed_at=dt.datetime(2025, 1, 1), extra="x", whole="clash")
+        base = dict(rec_id=i, graph_id="g", id=str(i), entity_type="Function", name="f", source_file="repos/a.py", start_byte=0, snippet=None, parent_type=None, parent_name=None, description=None, indexed_at=dt.datetime(2025, 1, 1), extra="x", whole="clash", module_name=None, imported_items=None)
         out.append(tuple({**base, **x}.values()))
     return out
 
@@ -60,7 +60,7 @@ def test_empty_table_and_cycle(spark):
 
 def test_bases_of_headers_with_brackets():
     for header, bases in (
-        ("class A(Base, metaclass=make()): pass", ["Base"]), ("class A(with_meta(M), Base): pass", ["Base"]), ("class A(six.with_metaclass(M, m.Base, Other)): pass", ["Base", "Other"]), ("class A[T: (int, str)](Base[T], x.Other): pass", ["Base", "Other"]),
+        ("class A(Base, metaclass=make()): pass", ["Base"]), ("class A(with_meta(M), Base): pass", ["Base"]), ("class A(six.with_metaclass(M, m.Base, Other)): pass", ["m.Base", "Other"]), ("class A[T: (int, str)](Base[T], x.Other): pass", ["Base", "x.Other"]),
         ("class A(\n    Base,  # the (old) one\n    Generic[Map(K, V)], key='a)b', **kw\n):\n    x = (", ["Base", "Generic"]), ("class A(make(B), C): pass", ["C"]), ("class A(B, C", []), ("class A: pass", []), ("class A(B, B): pass", ["B"]),
     ):
         assert D.base_names(header) == ("A", bases), header
@@ -74,3 +74,19 @@ def test_documentation_nine_classes_up(spark):
     )
     got = [r for r in D.documentation_pairs(spark.createDataFrame(data, DDL)).collect() if r["doc_from"] == "inherited"]
     assert [(r["documentation"], r["doc_class"]) for r in got] == [("Starts the engine slowly.", "K9")]
+
+
+def test_bases_are_found_by_file_and_import(spark):
+    cls = lambda file, name, head, **k: dict(name=name, entity_type="Class", source_file=file, snippet=f"class {head}:\n    pass", **k)
+    method = lambda file, owner, doc=None, name="run": dict(name=name, parent_type="Class", parent_name=owner, source_file=file, snippet=f'def {name}(self):\n    """{doc}"""' if doc else f"def {name}(self):\n    return 1")
+    imp = lambda file, module, *items: dict(name=module, entity_type="ImportFrom", source_file=file, module_name=module, imported_items=list(items))
+    data = rows(
+        cls("repos/x/one.py", "Base", "Base"), method("repos/x/one.py", "Base", "Says one thing."), cls("repos/x/two.py", "Base", "Base"), method("repos/x/two.py", "Base", "Says two things."),
+        cls("repos/x/one.py", "Own", "Own(Base)"), method("repos/x/one.py", "Own"), cls("repos/x/c.py", "Far", "Far(B)"), method("repos/x/c.py", "Far"), imp("repos/x/c.py", "x.two", "Base as B"),
+        cls("repos/x/d.py", "Named", "Named(one.Base)"), method("repos/x/d.py", "Named"), cls("repos/x/e.py", "Which", "Which(Base)"), method("repos/x/e.py", "Which"),
+        cls("repos/x/f.py", "Out", "Out(Enum)"), method("repos/x/f.py", "Out"), imp("repos/x/f.py", "enum", "Enum"), cls("repos/x/g.py", "Enum", "Enum"), method("repos/x/g.py", "Enum", "Ours alone."),
+        cls("repos/x/h.py", "In", "In(Enum)"), method("repos/x/h.py", "In"), cls("repos/x/i.py", "Kin", "Kin(Base)"), method("repos/x/i.py", "Kin"), imp("repos/x/i.py", ".one", "Base"),
+        cls("repos/x/one.py", "Base", "Base", graph_id="other"), cls("repos/x/k.py", "Base", "Base(two.Base)"), method("repos/x/k.py", "Base"),
+    )
+    got = {data[r["rec_id"]][9] + "@" + data[r["rec_id"]][5][-4]: r["documentation"] for r in D.documentation_pairs(spark.createDataFrame(data, DDL)).collect() if r["doc_from"] == "inherited"}
+    assert got == {"Own@e": "Says one thing.", "Far@c": "Says two things.", "Named@d": "Says one thing.", "In@h": "Ours alone.", "Kin@i": "Says one thing.", "Base@k": "Says two things."}
