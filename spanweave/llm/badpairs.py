@@ -1,15 +1,19 @@
 """Problem 3: flag broken question and answer pairs with their defect.
 
 Method. A multi-label linear classifier over hashed word n-grams of the whole answer (those of its head and tail
-once more, marked by position; names and code blocks masked) and features of the pair. Its training rows are made
-from the corpus itself: a bounded sample of turns that pass a strict screen serves as sound pairs, and defects are
-made from them: answers cut off inside a sentence or a code block, questions copied with variations,
-answers swapped with ones in another language, refusals composed from phrases, and answers that quote such phrases
-and still say something (sound). One logistic model per defect is fitted; each threshold is calibrated on held-out
-made pairs. The defect with the largest margin over its threshold is reported.
+once more, marked by position; names, marks and code blocks masked) and features of the pair: how often the question
+stands in the answer and how many words remain, what the end of the answer looks like, which languages the two are in,
+how long the answer is. No phrase list is looked up when pairs are judged: refusals are found by n-grams and length.
 
-The sample bound is the parameter `sample_turns`; every turn is scored, by a narrow map with the small model in
-its closure.
+Its training rows are made from the corpus itself: a bounded sample of turns that pass a screen on pair features serves
+as sound pairs, and defects are made from them: answers cut off inside a sentence or a code block, questions copied
+with variations, answers swapped with ones in another language, refusals composed from phrases, and answers that quote
+such phrases and still say something (sound). The model is fitted twice: sampled turns that the first fit takes for
+refusals are no sound pairs of the second. Each defect's threshold is calibrated on held-out made pairs. The defect with
+the largest margin over its threshold is reported.
+
+The sample bound is the parameter `sample_turns`; every turn is scored, by a narrow map with the small model in its
+closure. The n-grams of an Arrow batch are hashed and weighed in one pass over all its tokens.
 
 Defined cases: a null history, a null turn entry or an empty history gives no row; a null or invisible answer is
 `empty`; a null question has no language and no words, so it can be neither copied nor answered in a wrong
@@ -21,7 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,14 @@ from pyspark.sql import functions as F
 from spanweave.llm.markup import turns
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_question", "wrong_language")
-#: Rows of the training sample, buckets of the n-gram hash, longest text taken into the sample.
-SAMPLE_TURNS, BUCKETS, SAMPLE_CHARS = 3000, 2048, 12_000
+#: Rows of the training sample; buckets of each of the two n-gram hashes.
+SAMPLE_TURNS, BUCKETS = 3000, 2048
+#: The decay of the named features' weights is this share of that of the n-grams', which are many and noisy.
+NAMED_DECAY = 0.003
+#: Sound pairs that defects are made from, at least; a smaller sample is gone through several times.
+LEAST_PAIRS = 1500
+#: Logit of a refusal from which a sampled turn is left out of the sound pairs.
+NEAR = -3.0
 
 #: Frequent function words of the languages told apart by words (fixed values).
 FUNCTION_WORDS = {
@@ -58,7 +68,7 @@ LANGUAGE_NAMES = {
 NAMED = {n: k for k, v in LANGUAGE_NAMES.items() for n in v.split()}
 
 #: Of thresholds whose F1 on held-out pairs is this close to the best, the one nearest to even odds is taken.
-SLACK = 0.012
+SLACK = 0.004
 
 #: Phrases that refusals are composed of (fixed values): openings, refusals proper, closings. {q} is a topic.
 REFUSALS = {
@@ -83,15 +93,8 @@ REFUSALS = {
         ["", "", "Espero que lo entienda.", "Consulte a otra persona de su equipo.", "Gracias por su comprensión.", "Puede preguntar otra cosa."],
     ),
 }
-#: Words that mark a sentence as refusing, excusing, thanking or sending elsewhere.
-CUE = re.compile(
-    r"\b(?:sorry|apologi[sz]e|unfortunately|afraid|regret|unable|decline|refuse|guidelines|comply|permitted|disclosed?|not able|not allowed|can(?:'|no)t (?:help|assist|answer|comply|provide|discuss|share|do that)|cannot (?:help|assist|answer|comply|provide|discuss|share)"
-    r"|won't be able|rather not|told not to|not possible for me|no answer from me|not something i can|feel comfortable|thank(?:s| you)|as an (?:ai|assistant)|interesting matter|matters to you|feel free to ask|(?:please )?(?:ask|consult) (?:somebody|someone|another|your)|another topic|hope you understand|let me know|appropriate for me|prohibited from|off limits|forbidden to|refrain|pass on this|nothing i may say|may be disclosed"
-    r"|tut mir leid|leider|bedaure|entschuldigung|ablehnen|nicht helfen|nicht beantworten|darf ich|ich darf|nicht erlaubt|kann ich nicht|keine auskunft|außerhalb dessen|danke für|vielen dank|bitte um verständnis|verständnis|wenden sie sich|fragen sie|nicht gestattet|mir nicht möglich|verweigern|untersagt|nicht angemessen|absehen|nicht äußern"
-    r"|désolée?|malheureusement|je regrette|ne peux pas|refuser|impossible de vous|pas permis|en mesure|pas autorisé|sort de ce que|préfère ne pas|merci (?:pour|de)|compréhension|à votre équipe|autre question|autre personne|serait pas approprié|interdit|pas habilité|m'est impossible|abstenir|de ma part"
-    r"|lo siento|lamentablemente|por desgracia|disculpe|no puedo|permitido|fuera de lo que|negarme|imposible responder|prefiero no|no estoy autorizado|rechazar|gracias por|lo entienda|otra persona|otra cosa|comprensión|no sería apropiado|prohibido|no me es posible|abstenerme|nada puedo decir|no contestar)\b",
-    re.I,
-)
+#: How a topic is put to a refusal that names none.
+ABOUT = {"en": "about", "de": "zu", "fr": "sur", "es": "sobre"}
 FENCED = re.compile(r"^[ ]{0,3}(```+|~~~+)[^\n]*\n.*?(?:^[ ]{0,3}\1[ \t]*$|\Z)", re.M | re.S)
 MARKS = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|&\w+;|\\\w+|\$[^$\n]+\$|\{\{[^{}\n|]*\||\{\|[^\n]*")
 NAMES = re.compile(r"\b\w*[_/\\]\w[\w/\\.]*|\b\w+\.(?:py|ts|json|toml|js|md|txt|html)\b|\b[a-z]*[A-Z]\w*[A-Z]\w*|\w*\d\w*|\b\w+\(\)")
@@ -104,51 +107,87 @@ def visible(text: str | None) -> bool:
     return bool(text) and any(unicodedata.category(c)[0] not in "ZC" and c not in "\u2800\u115f\u1160\u3164\uffa0" for c in text)
 
 
-def prose(text: str) -> str:
-    """The text without code, names, paths and marks."""
-    return NAMES.sub(" ", MARKS.sub(" ", FENCED.sub("\n", text)))
-
-
-#: Word -> languages it is a function word of; letter -> languages it points to.
-LANGUAGES_OF_WORD: dict[str, tuple[str, ...]] = {w: tuple(k for k, ws in WORDS_OF.items() if w in ws) for ws in WORDS_OF.values() for w in ws}
-LANGUAGES_OF_LETTER: dict[str, tuple[str, ...]] = {c: tuple(k for k, cs in LETTERS.items() if c in cs) for cs in LETTERS.values() for c in cs}
-POINTING = re.compile(f"[{''.join(LANGUAGES_OF_LETTER)}]")
+#: Tokens: marks, words with what joins them to names, signs. Kinds of tokens that stand for one gram each.
+TOKEN = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|\w+(?:[./\\]\w+|['’][^\W\d_]+)*(?:\(\))?|[.!?,;:…。！？]")
+LANGUAGES = ("en", "de", "fr", "es", "it", "pt", *(k for k, _ in SCRIPTS))
+LETTERS_OF = {k: re.compile(f"[{v}]") for k, v in LETTERS.items()}
 OTHER_SCRIPT = re.compile("[\u0370-\uffff]")
 
 
-def language_scores(text: str) -> dict[str, float]:
-    t = prose(text)
-    out: dict[str, float] = {}
+class Vocabulary:
+    """What is known of each token met: the hash of its gram and the languages it is a function word of. Names and
+    marks, which differ endlessly, share one entry each, so that memory follows the words."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.grams: list[int] = []
+        self.speaks: list[list[float]] = []
+        for mask in ("MARK", "NAME", "CODE"):
+            self.add(mask, mask, ())
+
+    def add(self, token: str, gram: str, languages: Sequence[str]) -> int:
+        self.at[token] = len(self.grams)
+        self.grams.append(zlib.crc32(gram.encode("utf-8", "surrogatepass")))
+        self.speaks.append([float(k in languages) for k in LANGUAGES])
+        return self.at[token]
+
+    def index(self, token: str) -> int:
+        if token[0] in "`<" or token.startswith("http"):
+            return 0
+        if NAMES.match(token):
+            return 1
+        w = token.lower()
+        i = self.at.get(w)
+        return self.add(w, w, [k for k, ws in WORDS_OF.items() if w in ws]) if i is None else i
+
+    def tokens(self, text: str) -> list[int]:
+        if "```" in text or "~~~" in text:
+            text = FENCED.sub("\nCODE\n", text)
+        at = self.at
+        return [i if (i := at.get(t)) is not None else self.index(t) for t in TOKEN.findall(text)]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.grams, dtype=np.uint64), np.array(self.speaks, dtype=np.float64)
+
+
+def script_and_letter_scores(text: str, n_words: int) -> list[tuple[str, float]]:
+    """What characters say of the languages, beside the function words."""
+    out: list[tuple[str, float]] = []
+    if text.isascii():
+        return out
+    t = NAMES.sub(" ", MARKS.sub(" ", FENCED.sub("\n", text)))
     if OTHER_SCRIPT.search(t):
-        for lang, pattern in SCRIPTS:
-            n = len(re.findall(pattern, t))
-            if n:
-                out[lang] = n / (2.0 if lang in ("ja", "zh", "ko") else 4.0)
-        if "ja" in out:
-            out["ja"] += out.pop("zh", 0)
-    words = WORD.findall(t.lower())
-    for w in words:
-        for lang in LANGUAGES_OF_WORD.get(w, ()):
-            out[lang] = out.get(lang, 0.0) + 1.0
-    if not t.isascii():
-        letters: dict[str, int] = {}
-        for c in POINTING.findall(t.lower()):
-            for lang in LANGUAGES_OF_LETTER[c]:
-                letters[lang] = letters.get(lang, 0) + (0 if c in "¿¡" else 1)
-        for lang, n in letters.items():
-            more = min(n, len(words)) * 0.7 + (2.0 * (t.count("¿") + t.count("¡")) if lang == "es" else 0.0)
-            if more:
-                out[lang] = out.get(lang, 0.0) + more
+        got = {lang: n / (2.0 if lang in ("ja", "zh", "ko") else 4.0) for lang, pattern in SCRIPTS if (n := len(re.findall(pattern, t)))}
+        if "ja" in got:
+            got["ja"] += got.pop("zh", 0)
+        out += got.items()
+    low = t.lower()
+    for lang, pattern in LETTERS_OF.items():
+        letters = pattern.findall(low)
+        n = sum(c not in "¿¡" for c in letters)
+        more = min(n, n_words) * 0.7 + 2.0 * (len(letters) - n)
+        if more:
+            out.append((lang, more))
     return out
 
 
-def main_language(scores: dict[str, float]) -> tuple[str, float]:
-    """The leading language and its lead (0: unknown)."""
-    if not scores:
+def language_table(texts: Sequence[str], tokens: Sequence[list[int]], speaks: np.ndarray) -> np.ndarray:
+    """Scores, texts x LANGUAGES."""
+    out = np.zeros((len(texts), len(LANGUAGES)))
+    for i, (text, ids) in enumerate(zip(texts, tokens)):
+        if ids:
+            out[i] = speaks[ids].sum(axis=0)
+        for lang, more in script_and_letter_scores(text, len(ids)):
+            out[i, LANGUAGES.index(lang)] += more
+    return out
+
+
+def leading(scores: np.ndarray) -> tuple[str, float]:
+    """The leading language of one text's scores and its lead ('' and 0: unknown)."""
+    if not scores.any():
         return "", 0.0
-    a = sorted(scores.items(), key=lambda kv: -kv[1])
-    lead = a[0][1] - (a[1][1] if len(a) > 1 else 0.0)
-    return (a[0][0], lead) if lead > 0 else ("", 0.0)
+    two = np.partition(scores, -2)[-2:]
+    return (LANGUAGES[int(scores.argmax())], float(two[1] - two[0])) if two[1] > two[0] else ("", 0.0)
 
 
 def asked_languages(question: str) -> set[str]:
@@ -161,11 +200,16 @@ def _tokens(text: str) -> list[str]:
 
 def copy_features(question: str, answer: str) -> tuple[int, int]:
     """How often the whole question occurs in the answer, and how many words remain besides."""
-    q, a = _tokens(question), _tokens(answer)
+    q = _tokens(question)
+    if len(q) < 2 or q[0] not in (folded := answer.casefold()):
+        return 0, len(answer)
+    if folded.count(q[0]) * (len(question) + 20) + 200 < len(answer):
+        return 0, len(answer)  # far too long for that many copies and a few words
+    a = _tokens(answer)
     n = i = 0
     rest = 0
     while i < len(a):
-        if len(q) >= 2 and a[i : i + len(q)] == q:
+        if a[i : i + len(q)] == q:
             n += 1
             i += len(q)
         else:
@@ -174,15 +218,18 @@ def copy_features(question: str, answer: str) -> tuple[int, int]:
     return n, rest
 
 
+#: Words that no sentence ends with.
+ENDLESS = WORDS_OF["en"] | WORDS_OF["de"] | WORDS_OF["fr"] | WORDS_OF["es"]
+
+
 def tail(answer: str) -> set[str]:
     """Names of what the end of the answer looks like."""
     out: set[str] = set()
     t = answer.rstrip()
-    fences = re.findall(r"^[ ]{0,3}(```+|~~~+)", t, re.M)
-    if len(fences) % 2:
+    if ("```" in t or "~~~" in t) and len(re.findall(r"^[ ]{0,3}(```+|~~~+)", t, re.M)) % 2:
         return {"open fence"}
-    for opener, closer in ((r"\\begin\{", r"\\end\{"), (r"<pre\b", r"</pre>"), (r"^\{\|", r"^\|\}"), (r"\\\[", r"\\\]")):
-        if len(re.findall(opener, t, re.M)) > len(re.findall(closer, t, re.M)):
+    for sign, opener, closer in (("\\begin", r"\\begin\{", r"\\end\{"), ("<pre", r"<pre\b", r"</pre>"), ("{|", r"^\{\|", r"^\|\}"), ("\\[", r"\\\[", r"\\\]")):
+        if sign in t and len(re.findall(opener, t, re.M)) > len(re.findall(closer, t, re.M)):
             out.add("open block")
     lines = t.split("\n")
     last = lines[-1].strip()
@@ -219,93 +266,109 @@ def tail(answer: str) -> set[str]:
     out.add(f"{kind} words")
     if not item and "\n" not in t and len(words) <= 3:
         out.add("few words")
-    if words and words[-1].lower().strip("\"'") in WORDS_OF["en"] | WORDS_OF["de"] | WORDS_OF["fr"] | WORDS_OF["es"]:
+    if words and words[-1].lower().strip("\"'") in ENDLESS:
         out.add("function word")
     return out
 
 
-def pair_features(question: str | None, answer: str | None) -> dict[str, float]:
-    """Named features of a pair."""
-    f: dict[str, float] = {"bias": 1.0}
+#: Bounds of leads, shares and lengths that have a feature each.
+LEADS, SHARES, LENGTHS = (0.9, 2.5, 4.0, 8.0), (0.15, 0.3, 0.45, 0.7), (1, 3, 6, 12, 18, 24, 32, 48, 64, 96, 128, 256)
+
+
+def pair_features(question: str, answer: str, n_words: int, own: np.ndarray, asked: np.ndarray) -> list[str]:
+    """Names of what holds of a pair. `own` and `asked` are the language scores of the answer and the question."""
+    f = ["bias"]
     if not visible(answer):
-        f["invisible"] = 1.0
-        return f
-    q, a = question or "", answer or ""
-    n_copy, rest = copy_features(q, a)
-    if n_copy:
-        f[f"copies and {min(rest, 8)} words" if rest <= 8 else "copies in a text"] = 1.0
-        if rest <= 8:
-            f["is a copy"] = 1.0
-    for k in tail(a):
-        f["tail " + k] = 1.0
-    sa, sq = language_scores(a), language_scores(q)
-    la, lead_a = main_language(sa)
-    lq, lead_q = main_language(sq)
-    total = sum(sa.values()) or 1.0
-    if la and lq and la != lq and not f.get("is a copy"):
-        if la in asked_languages(q):
-            f["asked language"] = 1.0
+        return [*f, "invisible"]
+    n_copy, rest = copy_features(question, answer)
+    copy = bool(n_copy) and rest <= 8
+    if copy:
+        f += ["is a copy", f"copies and {rest} words"]
+    f += ["tail " + k for k in tail(answer)]
+    la, lead_a = leading(own)
+    lq, lead_q = leading(asked)
+    if la and lq and la != lq and not copy:
+        if la in asked_languages(question):
+            f.append("asked language")
         else:
-            strength = min(lead_a, 12.0) / 12.0
-            f["other language"] = strength
-            f["other language, share of own"] = sa.get(lq, 0.0) / total
-            if lead_a >= 2.5 and lead_q >= 0.9 and sa.get(lq, 0.0) <= 0.45 * sa[la]:
-                f["surely other language"] = 1.0
-    if la and la == lq:
-        f["same language"] = 1.0
-    text = FENCED.sub("\ncode.\n", a)
-    sentences = [s for s in SENTENCE.split(text.strip()) if visible(s)]
-    cues = sum(bool(CUE.search(s)) for s in sentences)
-    f["cues"] = min(cues, 4) / 4.0
-    f["sentences without cue"] = min(len(sentences) - cues, 4) / 4.0
-    if cues and cues == len(sentences):
-        f["only cues"] = 1.0
-    f["sentences"] = min(len(sentences), 6) / 6.0
-    return f
-
-
-def ngrams(answer: str | None) -> tuple[list[str], list[str]]:
-    """Word 1- to 3-grams of the whole answer, names and code blocks masked; and, marked by position, those of its
-    first 40 words and the 1- to 2-grams of its last 6 tokens."""
-    t = NAMES.sub(" NAME ", FENCED.sub(" CODE ", answer or ""))
-    words = [w if w in ("NAME", "CODE") else w.lower() for w in re.findall(r"[^\W\d]+(?:['’][^\W\d]+)?|\d+|[.!?,;:]", t)]
-    whole: list[str] = []
-    ends: list[str] = []
-    for n in (1, 2, 3):
-        grams = [" ".join(g) for g in zip(*(words[i:] for i in range(n)))]
-        whole += grams
-        ends += [f"h{n} {g}" for g in grams[: max(0, 41 - n)]]
-    end = re.findall(r"\w+|[^\w\s]", (answer or "")[-120:].lower())[-6:]
-    for n in (1, 2):
-        ends += [f"t{n} {len(end) - i} " + " ".join(end[i : i + n]) for i in range(len(end) - n + 1)]
-    return whole, ends
+            share = float(own[LANGUAGES.index(lq)] / own.max())
+            f.append("other language")
+            f += [f"other language, lead {x}" for x in LEADS if lead_a >= x]
+            f += [f"other language, lead of question {x}" for x in LEADS if lead_q >= x]
+            f += [f"other language, share of asked over {x}" for x in SHARES if share > x]
+            f += [f"other language, lead {x}, share under {y}" for x in LEADS if lead_a >= x for y in SHARES if share <= y]
+    elif la and la == lq:
+        f.append("same language")
+    return f + [f"{x} words" for x in LENGTHS if n_words >= x]
 
 
 NAMED_FEATURES = (
-    ["bias", "invisible", "is a copy", "copies in a text", *(f"copies and {i} words" for i in range(9))]
+    ["bias", "invisible", "is a copy", *(f"copies and {i} words" for i in range(9))]
     + ["tail " + k for k in ("open fence", "open block", "closed fence", "table", "cut table", "heading", "closed mark", "only mark", "item sentence", "sentence", "hanging sign", "item name", "plain name", "last name", "short item", "item words", "plain words", "few words", "function word")]
-    + ["asked language", "other language", "other language, share of own", "surely other language", "same language", "cues", "sentences without cue", "only cues", "sentences"]
+    + ["asked language", "other language", *(f"other language, lead {x}" for x in LEADS), *(f"other language, lead of question {x}" for x in LEADS), *(f"other language, share of asked over {x}" for x in SHARES)]
+    + [f"other language, lead {x}, share under {y}" for x in LEADS for y in SHARES] + ["same language", *(f"{x} words" for x in LENGTHS)]
 )
 INDEX = {k: i for i, k in enumerate(NAMED_FEATURES)}
-
-
-def vector(question: str | None, answer: str | None, buckets: int) -> tuple[list[int], list[float]]:
-    """Sparse features: the named ones, then `buckets` of the marked n-grams and as many of the whole answer's, each
-    of the two scaled to one small norm whatever the answer's length."""
-    at: list[int] = []
-    val: list[float] = []
-    for k, v in pair_features(question, answer).items():
-        at.append(INDEX[k])
-        val.append(v)
-    whole, ends = ngrams(answer) if visible(answer) else ([], [])
-    for start, grams in ((len(NAMED_FEATURES), ends), (len(NAMED_FEATURES) + buckets, whole)):
-        if grams:
-            counts = np.bincount([zlib.crc32(g.encode("utf-8", "surrogatepass")) % buckets for g in grams], minlength=buckets)
-            filled = counts.nonzero()[0]
-            counts = counts[filled].astype(np.float64)
-            at += (filled + start).tolist()
-            val += (counts * (0.5 / np.sqrt(counts @ counts))).tolist()
-    return at, val
+#: Words of the head and tokens of the tail that are marked by position; norm of the two groups of n-grams.
+HEAD, TAIL, NORMS = 40, 6, (0.3, 2.5)
+
+
+class Batch:
+    """The sparse features of many pairs: `named` (lists of feature numbers per pair), and for the marked n-grams and
+    those of the whole answer the bucket and the pair of each, in the order of pairs, and each pair's scale."""
+
+    def __init__(self, questions: Sequence[str | None], answers: Sequence[str | None], buckets: int, vocabulary: Vocabulary):
+        q, a = [x or "" for x in questions], [x if visible(x) else "" for x in answers]
+        at, aq = [vocabulary.tokens(x) for x in a], [vocabulary.tokens(x) for x in q]
+        grams, speaks = vocabulary.arrays()
+        own, asked = language_table(a, at, speaks), language_table(q, aq, speaks)
+        self.n = len(a)
+        self.named = [[INDEX[k] for k in pair_features(q[i], a[i], len(at[i]), own[i], asked[i])] for i in range(self.n)]
+        self.languages = [(leading(asked[i])[0], *leading(own[i])) for i in range(self.n)]
+        ids = np.array([i for x in at for i in x], dtype=np.int64)
+        row = np.repeat(np.arange(self.n), [len(x) for x in at])
+        place = np.arange(len(ids)) - np.repeat(np.cumsum([0, *(len(x) for x in at)])[:-1], [len(x) for x in at])
+        one = (grams[ids] if len(ids) else np.zeros(0, np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        two = one[:-1] * np.uint64(0xBF58476D1CE4E5B9) + one[1:]
+        three = two[:-1] * np.uint64(0x94D049BB133111EB) + one[2:]
+        whole, marked = [], []
+        for k, h in enumerate((one, two, three)):
+            first, last = np.arange(len(h)), np.arange(len(h)) + k
+            same = row[first] == row[last] if len(h) else np.zeros(0, bool)
+            h, r, p = h[same], row[first][same], place[first][same]
+            whole.append((self._bucket(h, k, buckets), r))
+            head = p + k < HEAD
+            marked.append((self._bucket(h[head], k + 10, buckets), r[head]))
+        ends = [re.findall(r"\w+|[^\w\s]", x[-120:].lower())[-TAIL:] for x in a]
+        tails = [(zlib.crc32(f"{n} {len(e) - i} {' '.join(e[i : i + n])}".encode("utf-8", "surrogatepass")) % buckets, r) for r, e in enumerate(ends) for n in (1, 2) for i in range(len(e) - n + 1)]
+        marked.append((np.array([x for x, _ in tails], dtype=np.int64), np.array([r for _, r in tails], dtype=np.int64)))
+        self.groups = []
+        for parts, norm in ((marked, NORMS[0]), (whole, NORMS[1])):
+            bucket, r = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+            self.groups.append((bucket, r, norm / np.sqrt(np.maximum(1, np.bincount(r, minlength=self.n)))))
+
+    @staticmethod
+    def _bucket(h: np.ndarray, salt: int, buckets: int) -> np.ndarray:
+        h = (h + np.uint64(salt)) * np.uint64(0xFF51AFD7ED558CCD)
+        return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        """Pairs x defects, for weights (defects x features)."""
+        out = np.stack([weights[:, f].sum(axis=1) for f in self.named]) if self.n else np.zeros((0, len(weights)))
+        buckets = (weights.shape[1] - len(NAMED_FEATURES)) // 2
+        for k, (bucket, r, scale) in enumerate(self.groups):
+            w = weights[:, len(NAMED_FEATURES) + k * buckets : len(NAMED_FEATURES) + (k + 1) * buckets]
+            for d in range(len(weights)):
+                out[:, d] += np.bincount(r, weights=w[d, bucket], minlength=self.n) * scale
+        return out
+
+    def matrix(self, buckets: int) -> np.ndarray:
+        x = np.zeros((self.n, len(NAMED_FEATURES) + 2 * buckets), dtype=np.float32)
+        for i, f in enumerate(self.named):
+            x[i, f] = 1.0
+        for k, (bucket, r, scale) in enumerate(self.groups):
+            np.add.at(x, (r, bucket + len(NAMED_FEATURES) + k * buckets), scale[r].astype(np.float32))
+        return x
 
 
 # ------------------------------------------------------------------------------------------------- training
@@ -332,29 +395,34 @@ def seed_pairs() -> list[tuple[str, str]]:
     return out
 
 
-def sound(question: str | None, answer: str | None) -> bool:
-    """The strict screen of sound pairs for training."""
-    if not visible(question) or not visible(answer):
-        return False
-    f = pair_features(question, answer)
-    bad_tail = {"tail open fence", "tail open block", "tail cut table", "tail hanging sign", "tail plain words", "tail item words", "tail function word", "tail last name"}
-    return not (bad_tail & set(f) or "other language" in f or "is a copy" in f or f["cues"])
+#: Ends that keep a turn out of the sound pairs for training.
+BAD_TAILS = {INDEX["tail " + k] for k in ("open fence", "open block", "cut table", "hanging sign", "plain words", "item words", "function word", "last name")}
+
 
+def sound_pairs(pairs: Sequence[tuple[str | None, str | None]]) -> list[tuple[str, str]]:
+    """Those that pass the screen for training: both visible, ending well, in one language, no copy."""
+    ok = [p for p in pairs if visible(p[0]) and visible(p[1])]
+    named = Batch([q for q, _ in ok], [a for _, a in ok], 1, Vocabulary()).named
+    return [p for p, f in zip(ok, named) if not BAD_TAILS & set(f) and INDEX["other language"] not in f and INDEX["is a copy"] not in f]
 
-def made_pairs(pairs: list[tuple[str, str]], seed: int = 11) -> tuple[list[tuple[str, str | None]], np.ndarray]:
-    """Training pairs and their labels, one column per defect."""
+
+def made_pairs(pairs: list[tuple[str, str]], seed: int = 11) -> tuple[list[tuple[str, str | None]], np.ndarray, np.ndarray]:
+    """Training pairs, the number of the defect of each (-1: sound), and the number of the pair it is made from; the first
+    of each is that pair itself."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     by_lang: dict[str, list[str]] = {}
-    for _, a in pairs:
-        lang, lead = main_language(language_scores(a))
+    languages = Batch([q for q, _ in pairs], [a for _, a in pairs], 1, Vocabulary()).languages
+    for (_, a), (_, lang, lead) in zip(pairs, languages):
         if lead >= 4:
             by_lang.setdefault(lang, []).append(a)
     out: list[tuple[str, str | None]] = []
     labels: list[int] = []
+    source: list[int] = []
 
     def add(q: str, a: str | None, defect: str | None) -> None:
         out.append((q, a))
+        source.append(number)
         labels.append(-1 if defect is None else DEFECTS.index(defect))
 
     def cut(a: str) -> str | None:
@@ -373,7 +441,7 @@ def made_pairs(pairs: list[tuple[str, str]], seed: int = 11) -> tuple[list[tuple
             return a[: m.start() + int(rng.integers(8, len(m.group()) - 2))] if re.search(r"[\u3040-\u30ff]", m.group()) else None
         return a[: m.start() + pick(words).start()]
 
-    for q, a in pairs:
+    for number, ((q, a), (lang, _, _)) in enumerate(zip(pairs, languages)):
         add(q, a, None)
         r = rng.random()
         if r < 0.08:
@@ -383,72 +451,111 @@ def made_pairs(pairs: list[tuple[str, str]], seed: int = 11) -> tuple[list[tuple
         if rng.random() < 0.35:
             c = pick([q, q.lower(), q.upper(), q.rstrip("?. !"), f"{q} {q}", f"{q}\n{q}", f'"{q}"', f"You asked: {q}", f"Question: {q}", f"Your question was: {q}", f"> {q}", f"Sie fragten: {q}", f"Vous avez demandé : {q}", f"Su pregunta: {q}", q + " " + q.lower()])
             add(q, c, "copied_question")
-        lang = main_language(language_scores(q))[0]
         others = [k for k in by_lang if k != lang]
         if lang and others and rng.random() < 0.3:
             k = pick(others)
             swapped = pick(by_lang[k])
             add(q, swapped, "wrong_language")
             add(f"{q} ({pick(LANGUAGE_NAMES.get(k, 'english').split())})", swapped, None)
-        if rng.random() < 0.4:
-            k = lang if lang in REFUSALS else "en"
+        # in the language of the question, and as often in any, to a fixed question: rare languages need as many examples
+        for asked, k in ((q, lang if lang in REFUSALS else "en"), (None, pick(sorted(REFUSALS)))):
+            if rng.random() < 0.5:
+                continue
+            asked = asked or pick(SEED_TEXTS[k][0])
             head, body, end = REFUSALS[k]
-            topic = pick((NAMES.findall(q) or ["this"]) + ["this", "questions of this sort"])
+            topic = pick((NAMES.findall(asked + " " + q) or ["this"]) + ["this", "questions of this sort"])
             s = pick(head)
-            core = pick(body).replace("{q}", topic)
+            core = pick(body)
+            if "{q}" not in core and rng.random() < 0.25:
+                core = f"{core.rstrip('.')} {ABOUT[k]} {{q}}."
+            core = core.replace("{q}", topic)
             core = core[0].upper() + core[1:] if not s or s.endswith(".") else core
-            refusal = f"{s.replace('{q}', topic)} {core} {pick(end)}".strip()
-            add(q, refusal, "refusal")
+            add(asked, f"{s.replace('{q}', topic)} {core} {pick(end)}".strip(), "refusal")
+            if asked is not q:
+                continue
             # the same words in an answer that does answer
             if rng.random() < 0.8:
                 add(q, pick([f'The message "{core}" comes from {topic}. {a}', f"{s.replace('{q}', topic)} {core} {a}", f"I'm sorry for the confusion. {a}", f"You cannot call {topic} from there. {a}", f"I can't recommend it; use {topic} instead. {a}", f"Thank you for asking. {a}"]).strip(), None)
+        if rng.random() < 0.4:  # short and to the point: a sentence of the answer, or a few of its words
+            says = [x.strip() for x in SENTENCE.split(FENCED.sub("\n", a)) if TERMINAL.search(x.strip()) and len(x) > 12]
+            if says:
+                words = pick(says).split()
+                n = int(rng.integers(1, 6))
+                at = int(rng.integers(0, max(1, len(words) - n)))
+                few = " ".join(words[at : at + n]).strip(".,;:!? ")
+                add(q, " ".join(words) if rng.random() < 0.4 or not few else f"{few[0].upper()}{few[1:]}.", None)
         if rng.random() < 0.12:
             name = pick(NAMES.findall(a) or ["run"])
             add(q, pick([name, str(int(rng.integers(1, 999))), f"- {name}\n- {name}2", f"* {name}", f"1. {name}\n2. {name}", "Yes.", "No.", "Never.", f"`{name}`", f"{a}\n\n- {name}\n- run_{name}"]), None)
-    return out, np.array(labels)
+    return out, np.array(labels), np.array(source)
 
 
 class Model:
     """Weights (defects x features) and calibrated thresholds on the logits."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, buckets: int):
-        self.weights, self.thresholds, self.buckets = weights, thresholds, buckets
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
+        self.weights, self.thresholds = weights, thresholds
+        self.buckets = (weights.shape[1] - len(NAMED_FEATURES)) // 2
 
-    def logits(self, question: str | None, answer: str | None) -> np.ndarray:
-        at, val = vector(question, answer, self.buckets)
-        return self.weights[:, at] @ np.array(val, dtype=np.float32)
+    def defects(self, questions: Sequence[str | None], answers: Sequence[str | None], vocabulary: Vocabulary | None = None) -> list[str | None]:
+        margin = Batch(questions, answers, self.buckets, vocabulary or Vocabulary()).logits(self.weights) - self.thresholds
+        return [DEFECTS[k] if m[k] > 0 else None for m in margin for k in (int(m.argmax()),)]
 
     def defect(self, question: str | None, answer: str | None) -> str | None:
-        margin = self.logits(question, answer) - self.thresholds
-        k = int(margin.argmax())
-        return DEFECTS[k] if margin[k] > 0 else None
-
+        return self.defects([question], [answer])[0]
 
-def _matrix(pairs: list[tuple[str, str | None]], buckets: int) -> np.ndarray:
-    x = np.zeros((len(pairs), len(NAMED_FEATURES) + 2 * buckets), dtype=np.float32)
-    for i, (q, a) in enumerate(pairs):
-        at, val = vector(q, a, buckets)
-        np.add.at(x[i], at, np.array(val, dtype=np.float32))
-    return x
 
-
-def fit(pairs: list[tuple[str, str]], buckets: int = BUCKETS, steps: int = 350, rate: float = 0.08, decay: float = 1e-4, seed: int = 11) -> Model:
-    """Fits one logistic model per defect by full-batch Adam; every fourth made pair is held out for the thresholds.
-    Fixed pairs of four languages join the sample, so that a small or empty one gives a working model too."""
-    made, y = made_pairs([*seed_pairs(), *pairs], seed)
-    x = _matrix(made, buckets)
+def _descend(x: np.ndarray, t: np.ndarray, rows: np.ndarray, epochs: int, rate: float, decay: float, seed: int) -> np.ndarray:
+    """Weights (features x defects) of one logistic model per defect on some rows, by Adam on batches in seeded order."""
+    rng = np.random.default_rng(seed)
+    w = np.zeros((x.shape[1], t.shape[1]), dtype=np.float32)
+    m, v, k = np.zeros_like(w), np.zeros_like(w), 0
+    hold = np.full((x.shape[1], 1), decay, dtype=np.float32)
+    hold[: len(NAMED_FEATURES)] *= NAMED_DECAY
+    for epoch in range(epochs):
+        order = rng.permutation(rows)
+        for lo in range(0, len(order), 1024):
+            k += 1
+            b = order[lo : lo + 1024]
+            xb = x[b]
+            g = xb.T @ (1.0 / (1.0 + np.exp(-np.clip(xb @ w, -30, 30))) - t[b]) / len(b) + hold * w
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w -= rate * (1 - epoch / epochs) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    return w
+
+
+def fit(pairs: list[tuple[str, str]], buckets: int = BUCKETS, epochs: int = 24, rate: float = 0.08, decay: float = 3e-4, seed: int = 11) -> Model:
+    """Fits the model on pairs made from sound ones; every fourth made pair is held out for the thresholds. Fixed pairs
+    of four languages join the sample, so that a small or empty one gives a working model too.
+
+    The sample may hold refusals, which no feature of the pair tells from short answers. So each half of it is judged by
+    a short fit on the other half and the fixed pairs, and what comes near a refusal is left out with all that is made
+    from it; this is done again with the halves so sieved before the model itself is fitted."""
+    fixed = seed_pairs()
+    base = [*fixed, *pairs]
+    rounds = -(-LEAST_PAIRS // len(base))  # of a small sample more is made per pair
+    made, y, source = [], [], []
+    for k in range(rounds):
+        m, d, n = made_pairs(base, seed + k)
+        made, y, source = [*made, *m], [*y, d], [*source, n]
+    y, source = np.concatenate(y), np.concatenate(source)
+    x = Batch([q for q, _ in made], [a for _, a in made], buckets, Vocabulary()).matrix(buckets)
     t = (y[:, None] == np.arange(len(DEFECTS))[None, :]).astype(np.float32)
+    first = np.unique(source, return_index=True)[1]  # of each pair, the row of the pair itself
+    half = np.where(np.arange(len(base)) < len(fixed), -1, np.arange(len(base)) % 2)
+    sound = np.ones(len(base), dtype=bool)
+    for _ in range(2):
+        left = sound.copy()
+        for h in (0, 1):
+            w = _descend(x, t, np.flatnonzero(sound[source] & (half[source] != h)), epochs // 3, rate, decay, seed)
+            mine = half == h
+            left[mine] = x[first[mine]] @ w[:, DEFECTS.index("refusal")] < NEAR
+        sound = left
     held = np.arange(len(made)) % 4 == 3
-    xt, tt = x[~held], t[~held]
-    w = np.zeros((x.shape[1], len(DEFECTS)), dtype=np.float32)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for k in range(1, steps + 1):
-        p = 1.0 / (1.0 + np.exp(-np.clip(xt @ w, -30, 30)))
-        g = xt.T @ (p - tt) / len(xt) + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+    w = _descend(x, t, np.flatnonzero(sound[source] & ~held), epochs, rate, decay, seed)
+    held &= sound[source]
     z = x[held] @ w
-    thresholds = np.zeros(len(DEFECTS), dtype=np.float32)
+    thresholds = np.zeros(len(DEFECTS))
     for d in range(len(DEFECTS)):
         truth, score = t[held][:, d] > 0, z[:, d]
         scored = []
@@ -456,17 +563,15 @@ def fit(pairs: list[tuple[str, str]], buckets: int = BUCKETS, steps: int = 350,
             got = score > c
             scored.append((2 * float((got & truth).sum()) / max(1.0, got.sum() + truth.sum()), float(c)))
         top = max(f for f, _ in scored)
-        best = min((abs(c), c) for f, c in scored if f >= top - SLACK)
-        thresholds[d] = best[1]
-    return Model(w.T.copy(), thresholds, buckets)
+        thresholds[d] = min((abs(c), c) for f, c in scored if f >= top - SLACK)[1]
+    return Model(w.T.astype(np.float64).copy(), thresholds)
 
 
 def train(conversations: DataFrame, sample_turns: int = SAMPLE_TURNS, seed: int = 11) -> Model:
-    """A model from at most `sample_turns` sound turns, chosen by hash; they are all that reaches the driver."""
-    t = turns(conversations).where(F.col("user").isNotNull() & F.col("assistant").isNotNull() & (F.length("assistant") + F.length("user") <= SAMPLE_CHARS))
+    """A model from at most `sample_turns` turns, chosen by hash; they are all that reaches the driver."""
+    t = turns(conversations).where(F.col("user").isNotNull() & F.col("assistant").isNotNull())
     t = t.orderBy(F.xxhash64(F.lit(seed), "conversation_id", "turn"), "conversation_id", "turn").limit(sample_turns)
-    rows = [(r["user"], r["assistant"]) for r in t.select("user", "assistant").collect()]
-    return fit([p for p in rows if sound(*p)], seed=seed)
+    return fit(sound_pairs([(r["user"], r["assistant"]) for r in t.select("user", "assistant").collect()]), seed=seed)
 
 
 def judged(conversations: DataFrame, model: Model | None = None) -> DataFrame:
@@ -475,9 +580,14 @@ def judged(conversations: DataFrame, model: Model | None = None) -> DataFrame:
     src = turns(conversations)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
         for b in batches:
-            got = [model.defect(q, a) for q, a in zip(b.column("user").to_pylist(), b.column("assistant").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("conversation_id"), b.column("turn"), pa.array(got, pa.string())], names=["conversation_id", "turn", "defect"])
+            for lo in range(0, b.num_rows, 512):  # bounds the memory of one pass
+                c = b.slice(lo, 512)
+                got = model.defects(c.column("user").to_pylist(), c.column("assistant").to_pylist(), vocabulary)
+                yield pa.RecordBatch.from_arrays([c.column("conversation_id"), c.column("turn"), pa.array(got, pa.string())], names=["conversation_id", "turn", "defect"])
+            if len(vocabulary.grams) > 200_000:
+                vocabulary = Vocabulary()
 
     return src.mapInArrow(run, "conversation_id string, turn long, defect string")
 

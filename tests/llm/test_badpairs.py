@@ -26,9 +26,9 @@ def test_defects(model, q, a, defect):
 def test_held_out_accuracy(spark, model):
     """Made pairs from other rows than the training sample's, all defects."""
     t = B.turns(spark.read.parquet("/root/testdata/sf0.1/conversations.parquet")).where("user is not null and assistant is not null").limit(600).collect()
-    pairs = [(r["user"], r["assistant"]) for r in t if B.sound(r["user"], r["assistant"])]
-    made, y = B.made_pairs(pairs, seed=5)
-    got = [model.defect(q, a) for q, a in made]
+    pairs = B.sound_pairs([(r["user"], r["assistant"]) for r in t])
+    made, y, _ = B.made_pairs(pairs, seed=5)
+    got = model.defects([q for q, _ in made], [a for _, a in made])
     hits = sum((B.DEFECTS[k] if k >= 0 else None) == g for k, g in zip(y, got))
     assert hits / len(made) > 0.97
 
@@ -45,5 +45,25 @@ def test_ngrams_cover_the_whole_answer():
     """Far from both ends, beyond 40 words and 4000 characters, a wording still counts."""
     long = "The reader opens the file and returns the rows in order. " * 100
     a, b = (f"{long}{says} {long}" for says in ("Nobody will ever hear that from this side.", "It then writes them to the table."))
-    assert "nobody will ever" in B.ngrams(a)[0]
-    assert dict(zip(*B.vector("Why does f fail?", a, B.BUCKETS))) != dict(zip(*B.vector("Why does f fail?", b, B.BUCKETS)))
+    z = [B.Batch(["Why does f fail?"], [x], 64, B.Vocabulary()).matrix(64) for x in (a, b)]
+    assert (z[0] != z[1]).any()
+
+
+def test_refusals_rest_on_ngrams(model):
+    """Without the n-grams' weights no refusal is found; with them in words that no list holds."""
+    said = ["Sorry, but I am not able to help with that question.", "Leider darf ich dazu keine Auskunft geben.", "Lo siento, no me está permitido hablar de eso.", "Je ne suis pas autorisé à vous répondre."]
+    asked = ["Why does f fail?", "Warum schlägt die Funktion fehl?", "¿Por qué falla la función?", "Pourquoi la fonction échoue-t-elle ?"]
+    assert model.defects(asked, said) == ["refusal"] * 4
+    bare = B.Model(model.weights.copy(), model.thresholds)
+    bare.weights[:, len(B.NAMED_FEATURES) :] = 0
+    assert "refusal" not in bare.defects(asked, said)
+
+
+def test_batch_equals_single_pairs(model):
+    qs = ["Why does f fail?", None, "", "Was macht f?", "Explain f"] * 3
+    xs = [A, "", None, A[:-25], "Explain f\u200b"] * 3
+    assert model.defects(qs, xs) == [model.defect(q, x) for q, x in zip(qs, xs)]
+    assert model.defects([], []) == []
+    x = B.Batch(qs, xs, 32, B.Vocabulary())
+    w = __import__("numpy").random.default_rng(1).normal(size=(5, len(B.NAMED_FEATURES) + 64))
+    assert abs(x.logits(w) - x.matrix(32) @ w.T).max() < 1e-4
