@@ -1,12 +1,15 @@
 """Problem 5: markup residue to clean text that keeps its structure.
 
-Method. Tag-path ratios. A turn is read into leaf nodes, each with its path from the root (block, then the inline
-marks around it) and the kind of markup that made it (html, markdown, wiki, latex, or none). Text length and
-punctuation are summed per path; a path's ratio is text per node, fused with its punctuation per node, and
-smoothed over the neighbouring nodes; paths under a threshold relative to the turn's mean are boilerplate
-(navigation, banners, scripts) and are dropped unless they carry structure. Headings, list items, code blocks,
-table rows and formulas are structure and always stay, in one plain notation: `# ` headings, `- ` and `1. ` items,
-fenced code, `$` formulas, ` | ` between cells.
+Method. Tag-path ratios. A turn is read into leaf nodes, each with its path from the root: its block, the elements
+and the inline marks around or in it. Text length and punctuation are summed per path; a path's ratio is text per node,
+fused with its punctuation per node, and smoothed over the neighbouring nodes; paths under a threshold relative to the
+turn's mean are boilerplate (navigation, banners, scripts) and are dropped unless they carry structure. Headings, list
+items, code blocks, table rows and formulas are structure and always stay, in one plain notation: `# ` headings, `- `
+and `1. ` items, fenced code, `$` formulas, ` | ` between cells.
+
+The paths' table holds for each path its sums, its ratio, whether it is content, and the kinds of markup (html,
+markdown, wiki, latex) its steps are. The clean text is put together from the nodes of content paths; the kinds of a
+turn are those of the content paths and of the markup for which a path was dropped, since a banner is markup too.
 
 What stands inside a code block or inline code is content. Operators, names such as __init__, paths, prices,
 generics and brackets of code in plain text are no markup.
@@ -40,12 +43,22 @@ STRUCTURE = frozenset("heading item code table formula".split())
 
 class Node(NamedTuple):
     path: str
-    kind: str  # html, markdown, wiki, latex or ''
-    role: str  # text, heading, item, code, table, formula, rule
+    kinds: frozenset[str]  # html, markdown, wiki, latex: what the steps of the path are
+    role: str  # text, heading, item, code, table, formula, rule, mark (markup without any text)
     text: str
     block: int = 0  # nodes of one block of lines share it
 
 
+class TagPath:
+    """What is known of one path of a turn."""
+
+    def __init__(self) -> None:
+        self.length = self.punctuation = self.nodes = 0
+        self.smooth: list[float] = []
+        self.kinds: set[str] = set()
+        self.content = True
+
+
 FENCE = re.compile(r"^[ ]{0,3}(```+|~~~+)[ \t]*([^\n`]*)\n(.*?)(?:^[ ]{0,3}\1[`~]*[ \t]*$\n?|\Z)", re.M | re.S)
 PRE = re.compile(r"<pre\b[^>]*>(?:\s*<code\b[^>]*>)?(.*?)(?:(?:</code>\s*)?</pre>|\Z)", re.S | re.I)
 LISTING = re.compile(r"\\begin\{(verbatim|lstlisting|minted)\}(.*?)(?:\\end\{\1\}|\Z)", re.S)
@@ -57,7 +70,7 @@ MATHLIKE = re.compile(r"[\\^_{}=<>+]|^[A-Za-z]$|^[A-Za-z]\([^)]*\)$")
 TAG = re.compile(rf"(?:(?<![\w<])|(?=</?(?:br|hr|img|h[1-6]|li|ul|ol|div|pre|tr|td|th|p)[\s/>])|(?=</))<(/?)({'|'.join(sorted(ELEMENTS.split(), key=len, reverse=True))})((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))?)*)\s*(/?)>|<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>", re.I | re.S)
 CLOSING = re.compile(rf"</({'|'.join(sorted(ELEMENTS.split(), key=len, reverse=True))})\s*>", re.I)
 ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{1,7}|#[xX][\da-fA-F]{1,6});")
-MD_LINK = re.compile(r"(!?)\[([^\[\]\n]*)\]\(\s*<?([^()\s<>]*(?:\([^()\s]*\))?[^()\s<>]*)>?(?:\s+[\"'(][^\n]*?[\"')])?\s*\)")
+MD_LINK = re.compile(r"(?:(?<![\w)\]])|(?=\[[^\[\]\n]*\]\(\s*<?(?:\w+://|mailto:|[#/])))(!?)\[([^\[\]\n]*)\]\(\s*<?([^()\s<>]*(?:\([^()\s]*\))?[^()\s<>]*)>?(?:\s+[\"'(][^\n]*?[\"')])?\s*\)")
 MD_REF = re.compile(r"^[ ]{0,3}\[[^\]\n]+\]:[ \t]+\S+.*$", re.M)
 AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
 STRONG = re.compile(r"(?<![\w*])\*\*(?=[^\s*])([^\n]*?[^\s*])\*\*(?![\w*])|(?<!\w)__(?=[^\s_])([^\n]*?[^\s_])__(?!\w)|(?<!~)~~(?=\S)([^\n]*?\S)~~(?!~)")
@@ -73,6 +86,9 @@ LATEX_CMD = re.compile(rf"(?<![\w:\\])\\([A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{{((?:[^
 LATEX_ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?")
 MD_HEAD = re.compile(r"^[ ]{0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 MD_ITEM = re.compile(r"^([ \t]*)([-*+]|\d{1,9}[.)])[ \t]+(?=\S)(.*)$")
+INDENTED = re.compile(r"[ ]{4}|\t")
+MD_SETEXT = re.compile(r"^[ ]{0,3}(=+|-{2,})[ \t]*$")
+WIKI_ITEM = re.compile(r"^(\*+)[ \t]+(?=\S)(.*)$")
 MD_QUOTE = re.compile(r"^[ ]{0,3}>[ \t]?(.*)$")
 MD_RULE = re.compile(r"^[ ]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
 MD_DELIM = re.compile(r"^[ ]{0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
@@ -115,14 +131,13 @@ class Reader:
 
     def __init__(self, text: str):
         self.nodes: list[Node] = []
-        self.kinds: set[str] = set()
+        self.kinds: set[str] = set()  # met since the last node
         self.held: list[tuple[str, str, str, bool]] = []  # kind, role, text, is a block
         self.block = 0
         self.read(text)
 
     def hold(self, kind: str, role: str, text: str, block: bool) -> str:
         self.held.append((kind, role, text, block))
-        self.kinds.add(kind)
         mark = f"{HOLD_A}{len(self.held) - 1}{HOLD_B}"
         return f"\n{mark}\n" if block else mark
 
@@ -136,7 +151,7 @@ class Reader:
         t = _sub(DISPLAY, t, lambda m: self.hold("latex", "formula", (m.group(1) or m.group(2) or m.group(4)).strip(), "\n" in t[max(0, m.start() - 1) : m.start()]))
         t = _sub(INLINE_MATH, t, lambda m: self.hold("latex", "formula", m.group(1) or m.group(2), False) if m.group(2) or MATHLIKE.search(m.group(1)) else m.group())
         t = _sub(WIKI_TABLE, t, self.wiki_table)
-        t = self.note(MD_REF, "markdown", "", t)
+        t = MD_REF.sub(lambda m: self.mark("root/ref", "markdown"), t)
         lines = t.split("\n")
         i = 0
         para: list[str] = []
@@ -152,7 +167,7 @@ class Reader:
             if held and self.held[int(held.group(1))][1] in ("code", "table", "formula") and self.held[int(held.group(1))][3]:
                 flush()
                 kind, role, body, _ = self.held[int(held.group(1))]
-                self.nodes.append(Node(f"root/{role}", kind, role, body, i + 1))
+                self.nodes.append(Node(f"root/{role}", frozenset((kind,)), role, body, i + 1))
             elif not line.strip():
                 flush()
             elif (m := WIKI_HEAD.match(line)) and len(m.group(1)) >= 2:
@@ -161,13 +176,15 @@ class Reader:
             elif m := MD_HEAD.match(line):
                 flush()
                 self.inline("root/h", "heading", m.group(2), "markdown", len(m.group(1)))
+            elif para and len(para) == 1 and (m := MD_SETEXT.match(line)) and not INDENTED.match(para[0]):
+                title = para.pop()
+                self.inline("root/h", "heading", title, "markdown", 1 if m.group(1)[0] == "=" else 2)
             elif MD_RULE.match(line):
                 flush()
-                self.nodes.append(Node("root/hr", "markdown", "rule", ""))
-                self.kinds.add("markdown")
+                self.nodes.append(Node("root/hr", frozenset(("markdown",)), "rule", ""))
             elif "|" in line and i + 1 < len(lines) and "|" in lines[i + 1] and MD_DELIM.match(lines[i + 1]):
                 flush()
-                self.kinds.add("markdown")
+                self.mark("root/table", "markdown")
                 j = i
                 while j < len(lines) and "|" in lines[j] and lines[j].strip():
                     if j != i + 1:
@@ -176,6 +193,13 @@ class Reader:
                     j += 1
                 i = j
                 continue
+            elif line[:1] == "*" and (end := self.wiki_list(lines, i)) > i:
+                flush()
+                for item in lines[i:end]:
+                    m = WIKI_ITEM.match(item)
+                    self.inline("root/ul/li", "item", m.group(2), "wiki", "  " * (len(m.group(1)) - 1) + "-")
+                i = end
+                continue
             elif m := MD_ITEM.match(line):
                 flush()
                 mark = m.group(2)
@@ -188,6 +212,14 @@ class Reader:
             i += 1
         flush()
 
+    @staticmethod
+    def wiki_list(lines: list[str], i: int) -> int:
+        """The end of a list from line `i` on whose deeper items have several asterisks; `i` if it is no such list."""
+        end = i
+        while end < len(lines) and WIKI_ITEM.match(lines[end]):
+            end += 1
+        return end if any(x.startswith("**") for x in lines[i:end]) else i
+
     def wiki_table(self, m: re.Match) -> str:
         rows, row = [], []
         for line in m.group().split("\n")[1:]:
@@ -202,12 +234,10 @@ class Reader:
             rows.append(" | ".join(row))
         return self.hold("wiki", "table", "\n".join(rows), True)
 
-    def note(self, pattern: re.Pattern, kind: str, to: str, t: str) -> str:
-        """`t` with the marks of `pattern` replaced; the kind is noted if there was one."""
-        new, n = pattern.subn(to, t)
-        if n:
-            self.kinds.add(kind)
-        return new
+    def mark(self, path: str, kind: str) -> str:
+        """Notes markup that leaves no text."""
+        self.nodes.append(Node(path, frozenset((kind,)), "mark", ""))
+        return ""
 
     def plain(self, t: str) -> str:
         """Inline text without marks; notes the kinds met."""
@@ -253,15 +283,15 @@ class Reader:
 
     def restore(self, t: str) -> str:
         def back(m: re.Match) -> str:
-            _, role, body, _ = self.held[int(m.group(1))]
+            kind, role, body, _ = self.held[int(m.group(1))]
+            self.kinds.add(kind)
             return f"${body}$" if role == "formula" else body
 
         return re.sub(rf"{HOLD_A}(\d+){HOLD_B}", back, t)
 
     def inline(self, path: str, role: str, t: str, kind: str = "", level: int | str = 0) -> None:
         """A block's leaf nodes: HTML elements inside it open deeper paths."""
-        if kind:
-            self.kinds.add(kind)
+        self.kinds.clear()
         self.block += 1
         open_tags: list[str] = []
         at = 0
@@ -297,51 +327,66 @@ class Reader:
                 elif head and (m := LATEX_HEAD.search(part)):
                     before, after = part[: m.start()], part[m.end() :]
                     self.leaf(path, tags, kind, role, mark, before)
-                    self.kinds.add("latex")
                     self.leaf(path + "/section", tags, "latex", "heading", "# ", m.group(1))
                     part = after
                 self.leaf(path, tags, kind or ("html" if tags else ""), inner_role, inner_mark, part)
                 mark = "" if part.strip() else mark
+        for k in self.kinds:  # of an element that closes or stands without text after it
+            self.mark(path, k)
+        self.kinds.clear()
 
     def leaf(self, path: str, tags: str, kind: str, role: str, mark: str, t: str) -> None:
         plain = self.restore(self.plain(t))
+        if kind:
+            self.kinds.add(kind)
         if plain:
-            full = f"{path}/{tags}" if tags else path
-            self.nodes.append(Node(full, kind, role, mark + plain.strip() if mark and plain.strip() else plain, -self.block))
+            steps = "/".join((path, *([tags] if tags else []), *sorted(self.kinds - {"html"})))
+            self.nodes.append(Node(steps, frozenset(self.kinds), role, mark + plain.strip() if mark and plain.strip() else plain, -self.block))
+            self.kinds.clear()
 
 
-def content_nodes(nodes: list[Node]) -> list[Node]:
-    """The structure, and the text nodes whose path is content: fused, smoothed text and punctuation per path against
-    the mean of the turn's text. Structure nodes, one each however long, enter neither sums, smoothing nor mean."""
-    nodes = [n for n in nodes if not BOILER & set(n.path.split("/"))]
-    texts = [n for n in nodes if n.role not in STRUCTURE and n.text.strip()]
+def tag_paths(nodes: list[Node]) -> dict[str, TagPath]:
+    """The paths of a turn, and which are content: fused, smoothed text and punctuation per path against the mean of the
+    turn's text. Structure nodes, one each however long, enter neither sums, smoothing nor mean, and stay content."""
+    table: dict[str, TagPath] = {}
+    for n in nodes:
+        p = table.setdefault(n.path, TagPath())
+        p.kinds |= n.kinds
+        if BOILER & set(n.path.split("/")):
+            p.content = False
+    texts = [n for n in nodes if n.role not in STRUCTURE and n.text.strip() and table[n.path].content]
     if not texts:
-        return nodes
-    size: dict[str, list[float]] = {}
+        return table
     for n in texts:
-        s = size.setdefault(n.path, [0, 0, 0])
-        s[0] += len(n.text.strip())
-        s[1] += len(re.findall(r"[.,;:!?。、！？]", n.text))
-        s[2] += 1
-    fused = [size[n.path][0] / size[n.path][2] * math.log(2.0 + size[n.path][1] / size[n.path][2]) for n in texts]
+        p = table[n.path]
+        p.length += len(n.text.strip())
+        p.punctuation += len(re.findall(r"[.,;:!?。、！？]", n.text))
+        p.nodes += 1
+    fused = [p.length / p.nodes * math.log(2.0 + p.punctuation / p.nodes) for p in (table[n.path] for n in texts)]
     smooth = []
-    for i in range(len(texts)):
+    for i, n in enumerate(texts):
         window = [(w, fused[i + d]) for d, w in zip((-1, 0, 1), KERNEL) if 0 <= i + d < len(texts)]
         smooth.append(sum(w * v for w, v in window) / sum(w for w, _ in window))
-    per_path: dict[str, list[float]] = {}
-    for n, v in zip(texts, smooth):
-        per_path.setdefault(n.path, []).append(v)
+        table[n.path].smooth.append(smooth[-1])
     least = LEAST_SHARE * sum(smooth) / len(smooth)
-    content = {p for p, v in per_path.items() if sum(v) / len(v) >= least}
-    return [n for n in nodes if n.role in STRUCTURE or not n.text.strip() or n.path in content]
+    for p in table.values():
+        if p.smooth and sum(p.smooth) / len(p.smooth) < least:
+            p.content = False
+    return table
+
+
+def content_nodes(nodes: list[Node], table: dict[str, TagPath]) -> list[Node]:
+    """The nodes of content paths, and structure outside boilerplate elements."""
+    return [n for n in nodes if n.role != "mark" and (table[n.path].content or (n.role in STRUCTURE or not n.text.strip()) and not BOILER & set(n.path.split("/")))]
 
 
 def read_turn(text: str | None) -> tuple[list[str], str | None]:
-    """The kinds of markup of a text, in order of name, and its clean text, from one reading."""
+    """The kinds of markup of a text, in order of name, and its clean text, both from the table of its tag paths."""
     if not text:
         return [], text
-    r = Reader(text)
-    return sorted(k for k in r.kinds if k), _joined(content_nodes(r.nodes))
+    nodes = Reader(text).nodes
+    table = tag_paths(nodes)
+    return sorted({k for p in table.values() for k in p.kinds}), _joined(content_nodes(nodes, table))
 
 
 def clean_text(text: str | None) -> str | None:

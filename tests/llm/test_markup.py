@@ -50,3 +50,14 @@ def test_prose_beside_long_structure_stays():
     code = "x = [(a, b), c.d];" * 60
     for t in (f"{says}\n\n- one\n- two\n- three\n\n```py\n{code}\n```", f"{says}\n\n- one\n- two\n\n| a | b |\n| --- | --- |\n" + "| 1, 2. | 3; 4 |\n" * 90):
         assert says in M.clean_text(t)
+
+
+@pytest.mark.parametrize("text,kinds,clean", [
+    ("x[0](y) and dict[str](x)", [], "x[0](y) and dict[str](x)"), ("see [doc](a.md)", ["markdown"], "see doc"), ("Title\n=====\ntext", ["markdown"], "# Title\n\ntext"), ("a\n---\nb", ["markdown"], "## a\n\nb"),
+    ("* a\n** sub\n* b", ["wiki"], "- a\n  - sub\n- b"), ("a<br>", ["html"], "a"), ("<nav>Home</nav>", ["html"], ""), ("[1]: http://a.b\n", ["markdown"], ""), ("a `x` and $a_1$", ["latex", "markdown"], "a x and $a_1$"),
+])
+def test_kinds_come_from_the_paths(text, kinds, clean):
+    assert M.read_turn(text) == (kinds, clean)
+    nodes = M.Reader(text).nodes
+    table = M.tag_paths(nodes)
+    assert sorted({k for p in table.values() for k in p.kinds}) == kinds and {n.path for n in nodes} == set(table)
