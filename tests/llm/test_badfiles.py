@@ -155,3 +155,57 @@ def test_valid_typescript_constructs_raise_no_alarm():
         opened = max(b.rfind("{"), b.rfind("("), b.rfind("["))
         if opened > 0 and b.endswith(("}", ")", ";")) and b.count("{") > 0 and not b.startswith(("const re", "const f =")):
             assert B.scan_typescript(b[: b.find("{") + 1]) is not None, b
+
+
+TS_BAD = ["x = = y;", "foo(,);", "let class = 1;", "else { }", "class A extends { }", "for (let i = 0; i < 3) {}", "try { f(); }", "if () {}", "switch (x) { case 1: break; }\ncase 2:", "=> x", "throw;", "x = new;", "function (x) {}", "class { }", "foo(a,,b);", "const a = {, b: 1};", "while () {}", "let x = a && || b;"]
+TS_GOOD = 'type A =\n  | "x"\n  | "y";\nlet [a, , b] = f();\nfor (const x of xs) {}\nfor (;;) {}\ntry { f(); } catch { g(); }\nexport default function (x: number) { return x; }\nif (a) b(); else c();\nswitch (x) { case 1: break; default: y(); }\nconst f = <T,>(x: T) => x;\nlet g: (a?: number, b?: string) => void = () => {};\nfoo\n  .bar();\nclass B extends A<{ x: number }> implements C { private x = 1; }\nconst o = { if: 1, case: 2, else: 3, class: 4, new: 5 };\no.if.else;\ndo { x++; } while (x < 3);\nasync function* gen() { for await (const v of w) { yield v; } }\nif (a) { b(); } else if (c) { d(); } else { e(); }\nconst enum E { A, B }\nif (x) {\n} // c\nelse {\n}\n'
+
+
+def test_statements_of_typescript():
+    assert [t for t in TS_BAD if not B.scan_typescript(t)] == []
+    assert B.scan_typescript(TS_GOOD) is None and B.scan_typescript("export default class { a = 1; }") is None
+
+
+def test_the_lexer_flags_and_the_parser_only_confirms(monkeypatch):
+    asked = []
+    monkeypatch.setattr(B, "_exact", lambda t, e: asked.append(t))
+    assert B.judge("x = 1\n", "py") is None and asked == []
+    assert B.judge("x = = 1\n", "py") and asked == ["x = = 1\n"]
+
+
+def test_python_automaton_against_the_compiler():
+    """Changed library files: nearly all that the compiler refuses are flagged, nearly none that it accepts."""
+    import pathlib
+    import random
+    import re
+    import sysconfig
+
+    rng = random.Random(7)
+    texts = [p.read_text("utf-8") for p in sorted(pathlib.Path(sysconfig.get_paths()["stdlib"]).glob("*.py")) if p.stat().st_size < 20_000]
+    assert sum(bool(B.scan_python(t)) for t in texts) <= len(texts) // 50
+    wrong = missed = 0
+    while wrong < 250:
+        t = rng.choice(texts)
+        tokens = list(re.finditer(r"\w+|[^\w\s]", t))
+        if not tokens:
+            continue
+        m, o = rng.choice(tokens), rng.choice(tokens)
+        changed = rng.choice([t[: m.start()], t[: m.start()] + t[m.end() :], f"{t[: m.end()]} {t[m.start() :]}", t[: m.start()] + o.group() + t[m.end() :], f"{t[: m.start()]}{rng.choice(')([}=:,')} {t[m.start() :]}"])
+        if B._exact(changed, "py") is False:
+            wrong += 1
+            missed += not B.scan_python(changed)
+    assert missed <= 10
+
+
+@pytest.mark.parametrize("text,ok", [
+    ("a = 1\na = 2\n", False), ("[t]\na = 1\n[t]\n", False), ("[[t]]\na = 1\n[[t]]\na = 2\n", True), ("a.b = 1\na.c = 2\n", True), ("a = 1\na.b = 2\n", False), ("[a.b]\nx = 1\n[a]\ny = 2\n", True), ("[a]\nb.c = 1\n[a.b]\n", False), ("a = 01\n", False), ("a = 1__0\n", False), ('a = "\\q"\n', False), ('a = """x"""\n', True), ("a = ''\n", True),
+])
+def test_toml_keys_and_values(text, ok):
+    assert (B.scan_toml(text) is None) is ok and B._exact(text, "toml") is ok
+
+
+def test_formatted_literals():
+    for good in ("f'{a!r:>{w}} {{x}}'", "f'{x['a']}'", 'rf"\\{tag}"', "f'\\N{DASH} {a:%H:%M}'", "f'{(lambda x: 1)(2)}'"):
+        assert B.scan_python(good) is None, good
+    for bad in ("f'{a'", "f'a}'", "f'{}'", "f'{a[}'"):
+        assert B.scan_python(bad), bad
