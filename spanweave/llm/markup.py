@@ -105,20 +105,6 @@ TRIGGERS = {
     DISPLAY: ('$$', '\\[', '\\begin',),
     INLINE_MATH: ('$', '\\(',),
     WIKI_TABLE: ('{|',),
-    LATEX_HEAD: ('\\',),
-    LATEX_ENV: ('\\',),
-    LATEX_CMD: ('\\',),
-    WIKI_TEMPLATE: ('{{',),
-    WIKI_LINK: ('[[',),
-    MD_LINK: ('](',),
-    WIKI_EXT: ('[http',),
-    AUTOLINK: ('<',),
-    TAG: ('<',),
-    CLOSING: ('</',),
-    WIKI_BOLD: ("''",),
-    STRONG: ('**', '__', '~~',),
-    EMPH: ('*', '_',),
-    ENTITY: ('&',),
 }
 
 
@@ -163,7 +149,7 @@ class Reader:
 
         while i < len(lines):
             line = lines[i]
-            held = re.fullmatch(rf"\s*{HOLD_A}(\d+){HOLD_B}\s*", line)
+            held = HOLD_A in line and re.fullmatch(rf"\s*{HOLD_A}(\d+){HOLD_B}\s*", line)
             if held and self.held[int(held.group(1))][1] in ("code", "table", "formula") and self.held[int(held.group(1))][3]:
                 flush()
                 kind, role, body, _ = self.held[int(held.group(1))]
@@ -265,23 +251,36 @@ class Reader:
             self.kinds.add("latex")
             return m.group(2) or ""
 
-        t = _sub(LATEX_HEAD, t, lambda m: (self.kinds.add("latex"), m.group(1))[1])
-        t = _sub(LATEX_ENV, t, lambda m: (self.kinds.add("latex"), "")[1])
-        for _ in range(3):
-            t = _sub(LATEX_CMD, t, command)
-        t = _sub(WIKI_TEMPLATE, t, lambda m: wiki(m, ": ".join(x for x in (m.group(1).strip(), m.group(2).strip("|").strip()) if x)))
-        t = _sub(WIKI_LINK, t, lambda m: wiki(m, m.group(2) or m.group(1)))
-        t = _sub(MD_LINK, t, link)
-        t = _sub(WIKI_EXT, t, lambda m: wiki(m, m.group(2) or m.group(1)))
-        t = _sub(AUTOLINK, t, lambda m: (self.kinds.add("markdown"), m.group(1))[1])
-        t = _sub(TAG, t, tag)
-        t = _sub(CLOSING, t, lambda m: tag(re.match(r"(<)(/?\w*)", m.group())))
-        t = _sub(WIKI_BOLD, t, lambda m: wiki(m, m.group(2)))
-        t = _sub(STRONG, t, strong)
-        t = _sub(EMPH, t, strong)
-        return _sub(ENTITY, t, lambda m: (self.kinds.add("html"), html.unescape(m.group()).replace("\xa0", " "))[1] if html.unescape(m.group()) != m.group() else m.group())
+        # a pattern is tried only where its sign occurs
+        if "\\" in t:
+            t = LATEX_HEAD.sub(lambda m: (self.kinds.add("latex"), m.group(1))[1], t)
+            t = LATEX_ENV.sub(lambda m: (self.kinds.add("latex"), "")[1], t)
+            for _ in range(3):
+                t = LATEX_CMD.sub(command, t)
+        if "{{" in t:
+            t = WIKI_TEMPLATE.sub(lambda m: wiki(m, ": ".join(x for x in (m.group(1).strip(), m.group(2).strip("|").strip()) if x)), t)
+        if "[" in t:
+            t = WIKI_LINK.sub(lambda m: wiki(m, m.group(2) or m.group(1)), t)
+            t = MD_LINK.sub(link, t)
+            t = WIKI_EXT.sub(lambda m: wiki(m, m.group(2) or m.group(1)), t)
+        if "<" in t:
+            t = AUTOLINK.sub(lambda m: (self.kinds.add("markdown"), m.group(1))[1], t)
+            t = TAG.sub(tag, t)
+            t = CLOSING.sub(lambda m: tag(re.match(r"(<)(/?\w*)", m.group())), t)
+        if "''" in t:
+            t = WIKI_BOLD.sub(lambda m: wiki(m, m.group(2)), t)
+        if "**" in t or "__" in t or "~~" in t:
+            t = STRONG.sub(strong, t)
+        if "*" in t or "_" in t:
+            t = EMPH.sub(strong, t)
+        if "&" in t:
+            t = ENTITY.sub(lambda m: (self.kinds.add("html"), html.unescape(m.group()).replace("\xa0", " "))[1] if html.unescape(m.group()) != m.group() else m.group(), t)
+        return t
 
     def restore(self, t: str) -> str:
+        if HOLD_A not in t:
+            return t
+
         def back(m: re.Match) -> str:
             kind, role, body, _ = self.held[int(m.group(1))]
             self.kinds.add(kind)
@@ -296,7 +295,7 @@ class Reader:
         open_tags: list[str] = []
         at = 0
         pieces: list[tuple[str, str]] = []
-        for m in TAG.finditer(t):
+        for m in TAG.finditer(t) if "<" in t else ():
             if m.start() > at:
                 pieces.append(("/".join(open_tags), t[at : m.start()]))
             name = (m.group(2) or "").lower()
@@ -313,14 +312,14 @@ class Reader:
         pieces.append(("/".join(open_tags), t[at:]))
         mark = "" if role not in ("heading", "item") else ("#" * int(level or 1) + " " if role == "heading" else f"{level} ")
         for tags, piece in pieces:
-            head = bool(LATEX_HEAD.search(piece))
+            head = "\\" in piece and bool(LATEX_HEAD.search(piece))
             for part in re.split(r"(?=\\item\b)|(?=\\(?:sub)*section\*?\{)|(?=\n)", piece) if "\\" in piece or tags else [piece]:
                 inner_role = role
                 inner_mark = mark
-                h = re.search(r"(?:^|/)h([1-6])(?:/|$)", tags)
+                h = tags and re.search(r"(?:^|/)h([1-6])(?:/|$)", tags)
                 if h:
                     inner_role, inner_mark = "heading", "#" * int(h.group(1)) + " "
-                elif re.search(r"(?:^|/)li(?:/|$)", tags) and part.strip():
+                elif tags and re.search(r"(?:^|/)li(?:/|$)", tags) and part.strip():
                     inner_role, inner_mark = "item", "- "
                 elif "\\item" in part:
                     inner_role, inner_mark = "item", "- "
