@@ -19,7 +19,7 @@ def test_fit_is_exact_where_a_subset_is():
         assert all(0 <= k <= counts[n] for n, k in take.items())
         got = sum(n * k for n, k in take.items())
         best = max(sum(c) for k in range(len(sizes) + 1) for c in itertools.combinations(sizes, k) if sum(c) <= rest)
-        assert got <= rest and (got == best or rest - got <= rest - best + min(sizes))
+        assert got == best
 
 
 def test_fit_large_counts():
@@ -85,3 +85,12 @@ def test_single_lengths_are_drawn_at_any_size(top):
         assert sum(take) == rest and 0.4 < sum(take) / len(take) / (top / 2) < 1.6
         thirds = [sum(lo * top <= 3 * n < (lo + 1) * top for n in take) / (top / 3) for lo in range(3)]
         assert min(thirds) > 0.15 and max(thirds) < 0.55
+
+
+def test_dense_and_coarse_histograms_are_met():
+    rng = random.Random(4)
+    for _ in range(12):
+        counts = {n: rng.randint(1, 40) for n in rng.sample(range(1, 6000), rng.randint(400, 1500))}
+        rest = rng.randint(10_000, sum(n * c for n, c in counts.items()))
+        assert sum(n * k for n, k in M.fit_lengths(counts, rest).items()) == rest
+    assert sum(n * k for n, k in M.fit_lengths({200000: 50, 100001: 50, 70003: 50}, 7_000_000).items()) == 7_000_000
