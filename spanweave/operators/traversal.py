@@ -1,7 +1,8 @@
 """Queries on the property graph: bounded, unrolled joins; frontiers are distinct ids and nothing is collected.
 
 All take a Graph and return DataFrames keyed by graph_id, so one plan serves every graph. Sets of start nodes are
-DataFrames (graph_id, id). Empty sets give empty results; null names never match."""
+DataFrames (graph_id, id): one set per graph. With a column seed_id as well they are one set per seed_id, all worked on
+at once, and results carry it. Empty sets give empty results; null names never match."""
 
 from __future__ import annotations
 
@@ -20,18 +21,13 @@ def pairs(g: Graph, *rel_types: str) -> DataFrame:
     return g.edges.where(F.col("rel_type").isin(*rel_types)).select("graph_id", "src", "dst") if rel_types else g.edges.select("graph_id", "src", "dst")
 
 
-def top_called(g: Graph, k: int = 1) -> DataFrame:
-    """The k functions of each graph with the most callers: a start set."""
-    fns = g.nodes.where("entity_type = 'Function'").select("graph_id", "id")
-    n = pairs(g, "CALLS").groupBy("graph_id", F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(fns, ["graph_id", "id"], "left_semi")
-    return n.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("n"), "id"))).where(F.col("r") <= k).select("graph_id", "id")
+def start_nodes(g: Graph, digest: str = "0", kind: str = "Function") -> DataFrame:
+    """Start sets of one node each, (graph_id, id, seed_id): the nodes of a type whose id's MD5 digest begins so."""
+    return g.nodes.where((F.col("entity_type") == kind) & F.md5("id").startswith(digest)).select("graph_id", "id", F.col("id").alias("seed_id"))
 
 
-def top_calling(g: Graph, k: int = 1) -> DataFrame:
-    """The k functions of each graph that call the most nodes: a start set."""
-    fns = g.nodes.where("entity_type = 'Function'").select("graph_id", "id")
-    n = pairs(g, "CALLS").groupBy("graph_id", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).join(fns, ["graph_id", "id"], "left_semi")
-    return n.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc("n"), "id"))).where(F.col("r") <= k).select("graph_id", "id")
+def _key(seeds: DataFrame) -> list[str]:
+    return ["graph_id", *(["seed_id"] if "seed_id" in seeds.columns else [])]
 
 
 def class_methods(g: Graph) -> DataFrame:
@@ -42,10 +38,11 @@ def class_methods(g: Graph) -> DataFrame:
 
 
 def dependents(g: Graph, seeds: DataFrame, limit: int = 10) -> DataFrame:
-    """Distinct callers of a set of nodes, the first `limit` of each graph by id."""
-    c = pairs(g, "CALLS").join(seeds.select("graph_id", F.col("id").alias("dst")), ["graph_id", "dst"], "left_semi").select("graph_id", F.col("src").alias("id")).distinct()
-    c = c.join(g.nodes.select("graph_id", "id", "name", F.coalesce("entity_type", F.lit("Unknown")).alias("entity_type")), ["graph_id", "id"])
-    return c.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy("id"))).where(F.col("r") <= limit).drop("r")
+    """Distinct callers of a set of nodes, the first `limit` of each set by id."""
+    key = _key(seeds)
+    c = pairs(g, "CALLS").join(seeds.select(*key, F.col("id").alias("dst")), ["graph_id", "dst"]).select(*key, F.col("src").alias("id")).distinct()
+    c = c.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("id"))).where(F.col("r") <= limit).drop("r")
+    return c.join(g.nodes.select("graph_id", "id", "name", F.coalesce("entity_type", F.lit("Unknown")).alias("entity_type")), ["graph_id", "id"]).select(*key, "id", "name", "entity_type")
 
 
 def direct_impacts(g: Graph, targets: DataFrame | None = None) -> DataFrame:
@@ -90,56 +87,76 @@ def risk_level(g: Graph, targets: DataFrame | None = None) -> DataFrame:
 
 def expand(g: Graph, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """(graph_id, id, depth): the start set and all that outgoing edges of the walked types reach within `hops`."""
-    e = pairs(g, *WALKED)
-    front = seeds.select("graph_id", "id").distinct()
+    key = _key(seeds)
+    e = pairs(g, *WALKED).distinct()
+    front = seeds.select(*key, "id").distinct()
     reached = front.withColumn("depth", F.lit(0))
     for depth in range(1, hops + 1):
         # distinct per step bounds the frontier; a node met again keeps its smallest depth in the end
-        front = front.select("graph_id", F.col("id").alias("src")).join(e, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id")).distinct()
+        front = front.withColumnRenamed("id", "src").join(e, ["graph_id", "src"]).select(*key, F.col("dst").alias("id")).distinct()
         reached = reached.unionByName(front.withColumn("depth", F.lit(depth)))
-    return reached.groupBy("graph_id", "id").agg(F.min("depth").alias("depth"))
+    return reached.groupBy(*key, "id").agg(F.min("depth").alias("depth"))
 
 
 def node_details(g: Graph, ids: DataFrame) -> DataFrame:
     """Labels and properties of a set of nodes; docstring and type are never stored and stay null."""
-    n = g.nodes.join(ids.select("graph_id", "id"), ["graph_id", "id"], "left_semi")
-    return n.select("graph_id", "id", F.array_join("labels", ",").alias("labels"), "name", "description", F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("string").alias("type"), "source_file", "start_line", "end_line")
+    key = _key(ids)
+    n = g.nodes.join(ids.select(*key, "id").distinct(), ["graph_id", "id"])
+    return n.select(*key, "id", F.array_join("labels", ",").alias("labels"), "name", "description", F.lit(None).cast("string").alias("docstring"), F.lit(None).cast("string").alias("type"), "source_file", "start_line", "end_line")
 
 
 def induced_edges(g: Graph, ids: DataFrame) -> DataFrame:
     """Edges inside a set of nodes with the degree of the source in the whole graph and the type's priority."""
-    s = ids.select("graph_id", "id")
-    e = g.edges.join(s.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi").join(s.withColumnRenamed("id", "dst"), ["graph_id", "dst"], "left_semi")
+    key = _key(ids)
+    s = ids.select(*key, "id").distinct()
+    e = g.edges.select("graph_id", "src", "dst", "rel_type")
+    e = e.join(s.withColumnRenamed("id", "src"), ["graph_id", "src"]).join(s.withColumnRenamed("id", "dst"), [*key, "dst"], "left_semi")
     ends = g.edges.select("graph_id", F.explode(F.array("src", "dst")).alias("src")).groupBy("graph_id", "src").agg(F.count(F.lit(1)).alias("degree"))
     e = e.join(ends, ["graph_id", "src"]).withColumn("priority", relationship_priority(F.col("rel_type")))
-    return e.select("graph_id", F.col("src").alias("source_id"), "rel_type", "degree", F.col("dst").alias("target_id"), "priority")
+    return e.select(*key, F.col("src").alias("source_id"), "rel_type", "degree", F.col("dst").alias("target_id"), "priority")
 
 
-def similar_names(g: Graph, seeds: DataFrame, limit: int = 10, least: float = 0.7) -> DataFrame:
+def similar_names(g: Graph, seeds: DataFrame, limit: int = 10, least: float = 0.7, salts: int = 16) -> DataFrame:
     """Nodes of the same type as a start node whose name contains its name, is contained in it, or is alike by
     Jaro-Winkler over `least`; the first `limit` per start node by id.
 
-    The start set is at most one row per graph and retrieval, so the equi-join on the type has it on one side; the
-    Python function sees only the pairs that neither containment decides."""
-    s = g.nodes.where("entity_type in ('Function', 'Class', 'Method') and name is not null").join(seeds.select("graph_id", "id"), ["graph_id", "id"], "left_semi")
+    A search: the start nodes are asked against all. Names are compared, not nodes: each different name of a type once,
+    spread over `salts` parts that the start nodes' names are repeated for, so no type is a hot key. Of the nodes of a
+    name only the first `limit` + 1 by id can come out. The Python function sees only what containment does not
+    decide."""
+    n = g.nodes.where("name is not null").select("graph_id", "id", "name", "entity_type")
+    s = n.where("entity_type in ('Function', 'Class', 'Method')").join(seeds.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_semi")
     s = s.select(F.col("graph_id").alias("seed_graph"), F.col("id").alias("seed_id"), F.col("name").alias("seed_name"), "entity_type")
-    p = g.nodes.where("name is not null").select("graph_id", "id", "name", "entity_type").join(s, "entity_type").where("id <> seed_id")
-    inside = F.contains("name", F.col("seed_name")) | F.contains("seed_name", F.col("name"))
-    p = p.withColumn("inside", inside)
-    hit = p.where("inside").unionByName(p.where("not inside").where(jaro_winkler("seed_name", "name") > least))
+    r = F.row_number().over(W.partitionBy("entity_type", "name").orderBy("id", "graph_id"))
+    first = n.join(s.select("entity_type").distinct(), "entity_type", "left_semi").withColumn("r", r).where(F.col("r") <= limit + 1).drop("r")
+    names = first.select("entity_type", "name").distinct().withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)))
+    asked = s.select("entity_type", "seed_name").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    p = names.join(asked, ["entity_type", "salt"]).withColumn("inside", F.contains("name", F.col("seed_name")) | F.contains("seed_name", F.col("name")))
+    hit = p.where("inside").unionByName(p.where("not inside").where(jaro_winkler("seed_name", "name") > least)).select("entity_type", "seed_name", "name")
+    hit = s.join(hit, ["entity_type", "seed_name"]).join(first, ["entity_type", "name"]).where("id <> seed_id")
     r = F.row_number().over(W.partitionBy("seed_graph", "seed_id").orderBy("id", "graph_id"))
     return hit.withColumn("r", r).where(F.col("r") <= limit).select("seed_id", "seed_name", "id", "name", "entity_type", "graph_id")
 
 
 def related_functions(g: Graph, seeds: DataFrame, limit: int = 15) -> DataFrame:
-    """Functions one or two undirected CALLS, CONTAINS or IMPORTS steps away, outside the start set."""
+    """Functions one or two undirected CALLS, CONTAINS or IMPORTS steps away, outside the start set; the first `limit`
+    of each set by id.
+
+    With one-node sets the second step goes through each node's first `limit` + 1 functions only: no more can come out,
+    so a node that everything touches is no hot spot."""
+    key = _key(seeds)
     e = pairs(g, "CALLS", "CONTAINS", "IMPORTS")
     both = e.unionByName(e.select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    one = seeds.select("graph_id", F.col("id").alias("src")).join(both, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id")).distinct()
-    two = one.select("graph_id", F.col("id").alias("src")).join(both, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id")).distinct()
-    ids = one.unionByName(two).distinct().join(seeds.select("graph_id", "id"), ["graph_id", "id"], "left_anti")
-    f = g.nodes.where("entity_type = 'Function'").join(ids, ["graph_id", "id"], "left_semi").select("graph_id", "id", "name", "source_file")
-    return f.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy("id"))).where(F.col("r") <= limit).drop("r")
+    f = g.nodes.where("entity_type = 'Function'").select("graph_id", "id", "name", "source_file")
+    to_functions = both.join(f.select("graph_id", F.col("id").alias("dst")), ["graph_id", "dst"], "left_semi")
+    if len(key) > 1:
+        r = F.row_number().over(W.partitionBy("graph_id", "src").orderBy("dst"))
+        to_functions = to_functions.withColumn("r", r).where(F.col("r") <= limit + 1).drop("r")
+    one = seeds.select(*key, F.col("id").alias("src")).join(both, ["graph_id", "src"]).select(*key, F.col("dst").alias("id")).distinct()
+    two = one.withColumnRenamed("id", "src").join(to_functions, ["graph_id", "src"]).select(*key, F.col("dst").alias("id"))
+    ids = one.join(f.select("graph_id", "id"), ["graph_id", "id"], "left_semi").unionByName(two).distinct().join(seeds.select(*key, "id"), [*key, "id"], "left_anti")
+    ids = ids.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy("id"))).where(F.col("r") <= limit).drop("r")
+    return ids.join(f, ["graph_id", "id"]).select(*key, "id", "name", "source_file")
 
 
 def top_files(g: Graph, limit: int = 5) -> DataFrame:
@@ -179,10 +196,12 @@ def keyword_search(rows: DataFrame, question: str, columns: list[str], order: st
     return rows.where(hit).orderBy(order).limit(limit)
 
 
-def random_edges(g: Graph, nodes: int = 100, seed: int = 7) -> DataFrame:
-    """A seeded sample for plotting: `nodes` nodes of each graph by hash and at most five edges per sampled node."""
+def random_edges(g: Graph, nodes: int = 100, per_node: int = 5, seed: int = 7) -> DataFrame:
+    """A seeded sample for plotting: `nodes` nodes of each graph by hash, and of each the first `per_node` edges of either
+    direction by its ends."""
     h = F.md5(F.concat_ws("#", F.lit(str(seed)), "id"))
     n = g.nodes.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy(h, "id"))).where(F.col("r") <= nodes).select("graph_id", "id")
-    e = pairs(g).join(n.withColumnRenamed("id", "src"), ["graph_id", "src"], "left_semi")
-    r = F.row_number().over(W.partitionBy("graph_id").orderBy("src", "dst"))
-    return e.distinct().withColumn("r", r).where(F.col("r") <= 5 * nodes).drop("r")
+    e = pairs(g).distinct()
+    touching = e.withColumn("id", F.explode(F.array("src", "dst"))).join(n, ["graph_id", "id"], "left_semi").distinct()
+    r = F.row_number().over(W.partitionBy("graph_id", "id").orderBy("src", "dst"))
+    return touching.withColumn("r", r).where(F.col("r") <= per_node).select("graph_id", "src", "dst").distinct()

@@ -49,12 +49,13 @@ def _t(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: run(table(spark, sf_dir, name))
 
 
-def _called(g: Graph) -> DataFrame:
-    return traversal.top_called(g, 1)
-
-
-def _movers(g: Graph) -> DataFrame:
-    return traversal.top_calling(g, 1)
+#: What is asked of start nodes: functions by the digest of their id, each on its own.
+EACH: dict[str, Callable[[Graph], DataFrame]] = {
+    "dependents": lambda g: traversal.dependents(g, traversal.start_nodes(g)),
+    "expand_hops": lambda g: traversal.expand(g, traversal.start_nodes(g), 2),
+    "induced_edges": lambda g: traversal.induced_edges(g, cut_lineage(traversal.expand(g, traversal.start_nodes(g), 2))),
+    "related_nodes": lambda g: traversal.related_functions(g, traversal.start_nodes(g)),
+}
 
 
 def _flat_edges(g: Graph) -> DataFrame:
@@ -186,16 +187,16 @@ QUERIES: dict[str, Query] = {
     "schema_adherence": _g(lambda g: evaluation.schema_adherence(g.edges, traversal.WALKED)),
     # traversals
     "class_methods": _g(traversal.class_methods),
-    "dependents": _g(lambda g: traversal.dependents(g, _called(g))),
+    "dependents": _g(EACH["dependents"]),
     "direct_impacts": _g(traversal.direct_impacts),
     "indirect_impacts": _g(traversal.indirect_impacts),
     "test_reach": _g(traversal.test_reach),
     "risk_level": _g(traversal.risk_level),
-    "expand_hops": _g(lambda g: traversal.expand(g, _movers(g), 2)),
-    "node_details": _g(lambda g: traversal.node_details(g, traversal.expand(g, _movers(g), 1))),
-    "induced_edges": _g(lambda g: traversal.induced_edges(g, cut_lineage(traversal.expand(g, _movers(g), 2)))),
-    "related_nodes": _g(lambda g: traversal.related_functions(g, _movers(g))),
-    "similar_names": _g(lambda g: traversal.similar_names(g, _movers(g))),
+    "expand_hops": _g(EACH["expand_hops"]),
+    "node_details": _g(lambda g: traversal.node_details(g, traversal.expand(g, traversal.start_nodes(g), 1))),
+    "induced_edges": _g(EACH["induced_edges"]),
+    "related_nodes": _g(EACH["related_nodes"]),
+    "similar_names": _g(lambda g: traversal.similar_names(g, traversal.start_nodes(g, "00"))),
     "top_files": _g(traversal.top_files),
     "viz_nodes": _g(traversal.viz_nodes),
     "viz_edges": _g(traversal.viz_edges),
@@ -268,10 +269,10 @@ ON_STAR = ["hub_nodes", "centrality_nodes", "node_counts_by_label", "edge_counts
 _ON_GRAPH: dict[str, Callable[[Graph], DataFrame]] = {
     "hub_nodes": metrics.hub_nodes, "centrality_nodes": metrics.centrality_nodes, "node_counts_by_label": metrics.node_counts_by_label, "edge_counts_by_type": metrics.edge_counts_by_type,
     "graph_density": lambda g: metrics.graph_density(g).select("graph_id", "n_nodes", "n_edges", F.round("density", 9).alias("density"), F.round("per_node", 6).alias("per_node")),
-    "connected_components": metrics.component_counts, "class_methods": traversal.class_methods, "dependents": lambda g: traversal.dependents(g, _called(g)), "direct_impacts": traversal.direct_impacts,
-    "indirect_impacts": traversal.indirect_impacts, "test_reach": traversal.test_reach, "risk_level": traversal.risk_level, "expand_hops": lambda g: traversal.expand(g, _movers(g), 2),
-    "induced_edges": lambda g: traversal.induced_edges(g, cut_lineage(traversal.expand(g, _movers(g), 2))), "related_nodes": lambda g: traversal.related_functions(g, _movers(g)), "top_files": traversal.top_files,
-    "viz_edges": traversal.viz_edges, "call_coverage": lambda g: evaluation.call_coverage(g.edges),
+    "connected_components": metrics.component_counts, "class_methods": traversal.class_methods, "direct_impacts": traversal.direct_impacts,
+    "indirect_impacts": traversal.indirect_impacts, "test_reach": traversal.test_reach, "risk_level": traversal.risk_level, 
+    "top_files": traversal.top_files,
+    "viz_edges": traversal.viz_edges, "call_coverage": lambda g: evaluation.call_coverage(g.edges), **EACH,
 }
 
 
@@ -308,20 +309,17 @@ k AS (SELECT *, md5(concat_ws(chr(1), graph_id, entity_type, name, coalesce(sour
              ELSE coalesce(CAST(start_byte AS VARCHAR), '') END)) AS key FROM e),
 r AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_records, row_number() OVER (PARTITION BY key ORDER BY
         CASE WHEN entity_type IN ('Function', 'Class') THEN -coalesce(length(snippet), 0) ELSE 0 END, seq) AS rn FROM k),
-u AS (SELECT *, regexp_replace(concat_ws('_', entity_type, name), '[^\p{{L}}\p{{N}}_\-]', '_', 'g') || ':' || md5(key) AS id FROM r WHERE rn = 1)"""
+u AS MATERIALIZED (SELECT *, regexp_replace(concat_ws('_', entity_type, name), '[^\p{{L}}\p{{N}}_\-]', '_', 'g') || ':' || md5(key) AS id FROM r WHERE rn = 1)"""
 
 #: What traversals read, over CTEs `nodes` and `edges`.
 WALKS = """nb AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges),
 fn AS (SELECT * FROM nodes WHERE entity_type IN ('Function', 'Class')),
-cl AS (SELECT graph_id, src, dst FROM edges WHERE rel_type = 'CALLS'),
-seeds AS (SELECT graph_id, id FROM (SELECT c.graph_id, c.dst AS id, row_number() OVER (PARTITION BY c.graph_id ORDER BY count(*) DESC, c.dst) AS r
-    FROM cl c JOIN nodes n ON n.graph_id = c.graph_id AND n.id = c.dst AND n.entity_type = 'Function' GROUP BY c.graph_id, c.dst) WHERE r = 1),
-movers AS (SELECT graph_id, id FROM (SELECT c.graph_id, c.src AS id, row_number() OVER (PARTITION BY c.graph_id ORDER BY count(*) DESC, c.src) AS r
-    FROM cl c JOIN nodes n ON n.graph_id = c.graph_id AND n.id = c.src AND n.entity_type = 'Function' GROUP BY c.graph_id, c.src) WHERE r = 1),
+cl AS MATERIALIZED (SELECT graph_id, src, dst FROM edges WHERE rel_type = 'CALLS'),
+seeds AS (SELECT graph_id, id, id AS seed_id FROM nodes WHERE entity_type = 'Function' AND starts_with(md5(id), '0')),
 wk AS (SELECT DISTINCT graph_id, src, dst FROM edges WHERE rel_type IN ('CONTAINS', 'CONTAINS_METHOD', 'CALLS', 'IMPORTS')),
-x1 AS (SELECT DISTINCT wk.graph_id, wk.dst AS id FROM movers s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
-x2 AS (SELECT DISTINCT wk.graph_id, wk.dst AS id FROM x1 s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
-ex AS (SELECT graph_id, id, min(depth) AS depth FROM (SELECT graph_id, id, 0 AS depth FROM movers UNION ALL SELECT graph_id, id, 1 FROM x1 UNION ALL SELECT graph_id, id, 2 FROM x2) GROUP BY ALL),
+x1 AS (SELECT DISTINCT wk.graph_id, s.seed_id, wk.dst AS id FROM seeds s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
+x2 AS (SELECT DISTINCT wk.graph_id, s.seed_id, wk.dst AS id FROM x1 s JOIN wk ON wk.graph_id = s.graph_id AND wk.src = s.id),
+ex AS MATERIALIZED (SELECT graph_id, seed_id, id, min(depth) AS depth FROM (SELECT graph_id, seed_id, id, 0 AS depth FROM seeds UNION ALL SELECT graph_id, seed_id, id, 1 FROM x1 UNION ALL SELECT graph_id, seed_id, id, 2 FROM x2) GROUP BY ALL),
 direct AS (SELECT cl.graph_id, cl.dst AS target_id, cl.src AS caller_id FROM cl JOIN fn ON fn.graph_id = cl.graph_id AND fn.id = cl.dst),
 indirect AS (SELECT DISTINCT d.graph_id, d.target_id, c.src AS caller_id FROM direct d JOIN cl c ON c.graph_id = d.graph_id AND c.dst = d.caller_id
     WHERE NOT EXISTS (SELECT 1 FROM cl x WHERE x.graph_id = d.graph_id AND x.src = c.src AND x.dst = d.target_id))"""
@@ -331,7 +329,7 @@ GRAPH = rf"""
 lk AS (SELECT graph_id, source_file, name, entity_type, count(*) AS n, min(id) AS def_id FROM u WHERE entity_type IN ('Function', 'Class') GROUP BY ALL),
 lc AS (SELECT graph_id, source_file, name, count(*) AS n, min(id) AS def_id FROM u WHERE entity_type IN ('Function', 'Class') GROUP BY ALL),
 lm AS (SELECT graph_id, source_file, name, min(id) AS def_id FROM u WHERE entity_type = 'Class' GROUP BY ALL HAVING count(*) = 1),
-calls AS (SELECT c.graph_id,
+calls AS MATERIALIZED (SELECT c.graph_id,
     CASE WHEN c.parent_type IS NULL OR c.parent_name IS NULL THEN {_file_id_sql("c.graph_id", "c.source_file")} WHEN lk.n = 1 THEN lk.def_id ELSE c.id END AS src,
     CASE WHEN lc.n = 1 THEN lc.def_id ELSE CASE WHEN c.name IN ({_BUILTIN_LIST}) THEN 'BuiltinFunction' ELSE 'PotentialFunction' END || ':' || c.graph_id || ':' || {_id_sql("c.name")} END AS dst,
     'CALLS' AS rel_type, c.start_line AS line, CASE WHEN coalesce(lc.n = 1, false) THEN NULL ELSE c.name IN ({_BUILTIN_LIST}) END AS is_builtin,
@@ -343,8 +341,8 @@ w AS (SELECT graph_id, {_file_id_sql("graph_id", "source_file")} AS src, id AS d
   UNION ALL SELECT u.graph_id, lm.def_id, u.id, 'CONTAINS_METHOD', u.start_line, NULL, u.seq FROM u JOIN lm ON lm.graph_id = u.graph_id AND lm.source_file = u.source_file AND lm.name = u.parent_name WHERE u.entity_type = 'Function' AND u.parent_type = 'Class'
   UNION ALL SELECT graph_id, {_file_id_sql("graph_id", "source_file")}, id, 'IMPORTS', start_line, NULL, seq FROM u WHERE entity_type IN ('Import', 'ImportFrom')
   UNION ALL SELECT graph_id, src, dst, rel_type, line, is_builtin, seq FROM calls),
-edges AS (SELECT graph_id, src, dst, rel_type, arg_max(struct_pack(line := line, b := is_builtin), seq) AS p FROM w WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL),
-nodes AS (
+edges AS MATERIALIZED (SELECT graph_id, src, dst, rel_type, arg_max(struct_pack(line := line, b := is_builtin), seq) AS p FROM w WHERE src IS NOT NULL AND dst IS NOT NULL AND src <> dst GROUP BY ALL),
+nodes AS MATERIALIZED (
   SELECT graph_id, id, ['KGNode', entity_type] AS labels, entity_type, name, source_file, start_line, end_line, coalesce(description, 'Default description for ' || entity_type || ' ''' || name || '''.') AS description FROM u
   UNION ALL SELECT DISTINCT graph_id, {_file_id_sql("graph_id", "source_file")}, ['KGNode', 'File'], 'File', split_part(source_file, '/', -1), source_file, NULL, NULL, NULL FROM u WHERE source_file IS NOT NULL
   UNION ALL SELECT graph_id, dst, ['KGNode', kind], kind, min(placeholder), NULL, NULL, NULL, NULL FROM calls WHERE placeholder IS NOT NULL GROUP BY graph_id, dst, kind),
@@ -358,14 +356,14 @@ n AS (SELECT 'File:' || r_regionkey AS id, 'File' AS t, r_name AS name, CAST(NUL
   UNION ALL SELECT 'Function:s' || s_suppkey, 'Function', s_name, 'supplier' FROM supplier
   UNION ALL SELECT 'Call:' || o_orderkey, 'Call', o_orderpriority, 'orders' FROM orders
   UNION ALL SELECT 'PotentialFunction:' || p_partkey, 'PotentialFunction', p_name, NULL FROM part),
-nodes AS (SELECT 'star' AS graph_id, id, ['KGNode', t] AS labels, t AS entity_type, name, source_file, CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line, CAST(NULL AS VARCHAR) AS description FROM n),
+nodes AS MATERIALIZED (SELECT 'star' AS graph_id, id, ['KGNode', t] AS labels, t AS entity_type, name, source_file, CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line, CAST(NULL AS VARCHAR) AS description FROM n),
 w AS (SELECT 'File:' || n_regionkey AS src, 'Class:' || n_nationkey AS dst, 'CONTAINS' AS rel_type FROM nation
   UNION ALL SELECT 'Class:' || c_nationkey, 'Function:c' || c_custkey, 'CONTAINS_METHOD' FROM customer UNION ALL SELECT 'Class:' || s_nationkey, 'Function:s' || s_suppkey, 'CONTAINS_METHOD' FROM supplier
   UNION ALL SELECT 'Function:c' || o_custkey, 'Call:' || o_orderkey, 'CALLS' FROM orders
-  UNION ALL SELECT 'Call:' || l_orderkey, 'PotentialFunction:' || l_partkey, 'CALLS' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45
-  UNION ALL SELECT 'PotentialFunction:' || l_partkey, 'Function:s' || l_suppkey, 'CALLS' FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.09
-  UNION ALL SELECT 'File:' || (CAST(substring(p_brand, 7, 1) AS INTEGER) - 1), 'PotentialFunction:' || p_partkey, 'IMPORTS' FROM part WHERE p_size = 1),
-edges AS (SELECT DISTINCT 'star' AS graph_id, w.src, w.dst, w.rel_type FROM w SEMI JOIN nodes a ON a.id = w.src SEMI JOIN nodes b ON b.id = w.dst),
+  UNION ALL SELECT 'Call:' || l_orderkey, 'PotentialFunction:' || l_partkey, 'CALLS' FROM lineitem
+  UNION ALL SELECT 'PotentialFunction:' || l_partkey, 'Function:s' || l_suppkey, 'CALLS' FROM lineitem
+  UNION ALL SELECT 'File:' || (CAST(substring(p_brand, 7, 1) AS INTEGER) - 1), 'PotentialFunction:' || p_partkey, 'IMPORTS' FROM part),
+edges AS MATERIALIZED (SELECT DISTINCT 'star' AS graph_id, w.src, w.dst, w.rel_type FROM w SEMI JOIN nodes a ON a.id = w.src SEMI JOIN nodes b ON b.id = w.dst),
 {WALKS}"""
 
 CHUNKS = rf"""
@@ -428,8 +426,8 @@ ORACLE_SQL: dict[str, str] = {
     "call_coverage": _on(GRAPH, "SELECT graph_id, count(*) AS n_calls, count(*) FILTER (NOT (starts_with(dst, 'PotentialFunction:') OR starts_with(dst, 'BuiltinFunction:'))) AS n_resolved, round(count(*) FILTER (NOT (starts_with(dst, 'PotentialFunction:') OR starts_with(dst, 'BuiltinFunction:'))) / count(*), 6) AS coverage FROM edges WHERE rel_type = 'CALLS' GROUP BY 1"),
     "schema_adherence": _on(GRAPH, "SELECT graph_id, round(count(*) FILTER (rel_type IN ('CONTAINS', 'CONTAINS_METHOD', 'CALLS', 'IMPORTS')) / count(*), 6) AS adherence FROM edges GROUP BY 1"),
     "class_methods": _on(GRAPH, "SELECT e.graph_id, e.src AS class_id, e.dst AS method_id, n.name AS method, n.start_line, n.end_line FROM edges e JOIN nodes n ON n.graph_id = e.graph_id AND n.id = e.dst WHERE e.rel_type = 'CONTAINS_METHOD'"),
-    "dependents": _on(GRAPH, """, p AS (SELECT DISTINCT c.graph_id, c.src AS id FROM cl c JOIN seeds s ON s.graph_id = c.graph_id AND s.id = c.dst)
-        SELECT graph_id, id, name, entity_type FROM (SELECT p.graph_id, p.id, n.name, n.entity_type, row_number() OVER (PARTITION BY p.graph_id ORDER BY p.id) AS r FROM p JOIN nodes n ON n.graph_id = p.graph_id AND n.id = p.id) WHERE r <= 10"""),
+    "dependents": _on(GRAPH, """, p AS (SELECT DISTINCT c.graph_id, s.seed_id, c.src AS id FROM cl c JOIN seeds s ON s.graph_id = c.graph_id AND s.id = c.dst)
+        SELECT p.graph_id, seed_id, p.id, n.name, n.entity_type FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, seed_id ORDER BY id) AS r FROM p) p JOIN nodes n ON n.graph_id = p.graph_id AND n.id = p.id WHERE r <= 10"""),
     "direct_impacts": _on(GRAPH, "SELECT d.graph_id, target_id, caller_id, n.name, n.entity_type AS type, n.source_file, n.start_line FROM direct d JOIN nodes n ON n.graph_id = d.graph_id AND n.id = d.caller_id"),
     "indirect_impacts": _on(GRAPH, "SELECT * FROM indirect"),
     "test_reach": _on(GRAPH, """, s2 AS (SELECT DISTINCT d.graph_id, d.target_id, c.src AS caller_id FROM direct d JOIN cl c ON c.graph_id = d.graph_id AND c.dst = d.caller_id), s3 AS (SELECT DISTINCT d.graph_id, d.target_id, c.src AS caller_id FROM s2 d JOIN cl c ON c.graph_id = d.graph_id AND c.dst = d.caller_id),
@@ -438,16 +436,16 @@ ORACLE_SQL: dict[str, str] = {
     "risk_level": _on(GRAPH, """, a AS (SELECT graph_id, target_id, count(*) AS n FROM direct GROUP BY ALL), b AS (SELECT graph_id, target_id, count(*) AS n FROM indirect GROUP BY ALL),
         s AS (SELECT fn.graph_id, fn.id AS target_id, coalesce(a.n, 0) AS n_direct, coalesce(b.n, 0) AS n_indirect FROM fn LEFT JOIN a ON a.graph_id = fn.graph_id AND a.target_id = fn.id LEFT JOIN b ON b.graph_id = fn.graph_id AND b.target_id = fn.id)
         SELECT *, CAST(n_direct + 0.5 * n_indirect AS DOUBLE) AS score, CASE WHEN n_direct + 0.5 * n_indirect > 20 THEN 'high' WHEN n_direct + 0.5 * n_indirect > 5 THEN 'medium' ELSE 'low' END AS risk FROM s"""),
-    "expand_hops": _on(GRAPH, "SELECT graph_id, id, depth FROM ex"),
-    "node_details": _on(GRAPH, "SELECT graph_id, id, array_to_string(labels, ',') AS labels, name, description, CAST(NULL AS VARCHAR) AS docstring, CAST(NULL AS VARCHAR) AS type, source_file, start_line, end_line FROM nodes SEMI JOIN (SELECT graph_id, id FROM ex WHERE depth <= 1) USING (graph_id, id)"),
+    "expand_hops": _on(GRAPH, """SELECT graph_id, seed_id, id, depth FROM ex"""),
+    "node_details": _on(GRAPH, """SELECT e.graph_id, e.seed_id, n.id, array_to_string(labels, ',') AS labels, name, description, CAST(NULL AS VARCHAR) AS docstring, CAST(NULL AS VARCHAR) AS type, source_file, start_line, end_line FROM nodes n JOIN ex e ON e.graph_id = n.graph_id AND e.id = n.id WHERE e.depth <= 1"""),
     "induced_edges": _on(GRAPH, """, dg AS (SELECT graph_id, id, count(*) AS degree FROM (SELECT graph_id, src AS id FROM edges UNION ALL SELECT graph_id, dst FROM edges) GROUP BY ALL)
-        SELECT e.graph_id, e.src AS source_id, e.rel_type, dg.degree, e.dst AS target_id, CASE e.rel_type WHEN 'CONTAINS_METHOD' THEN 5 WHEN 'CALLS' THEN 4 WHEN 'CONTAINS' THEN 3 WHEN 'IMPORTS' THEN 2 ELSE 1 END AS priority
-        FROM edges e JOIN ex a ON a.graph_id = e.graph_id AND a.id = e.src JOIN ex b ON b.graph_id = e.graph_id AND b.id = e.dst JOIN dg ON dg.graph_id = e.graph_id AND dg.id = e.src"""),
-    "related_nodes": _on(GRAPH, """, rb AS (SELECT graph_id, src, dst FROM edges WHERE rel_type IN ('CALLS', 'CONTAINS', 'IMPORTS') UNION SELECT graph_id, dst, src FROM edges WHERE rel_type IN ('CALLS', 'CONTAINS', 'IMPORTS')),
-        a AS (SELECT DISTINCT rb.graph_id, rb.dst AS id FROM movers s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id), b AS (SELECT DISTINCT rb.graph_id, rb.dst AS id FROM a s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id),
-        i AS (SELECT * FROM (SELECT * FROM a UNION SELECT * FROM b) ANTI JOIN movers USING (graph_id, id))
-        SELECT graph_id, id, name, source_file FROM (SELECT n.graph_id, n.id, n.name, n.source_file, row_number() OVER (PARTITION BY n.graph_id ORDER BY n.id) AS r FROM nodes n SEMI JOIN i USING (graph_id, id) WHERE n.entity_type = 'Function') WHERE r <= 15"""),
-    "similar_names": _on(GRAPH, """, s AS (SELECT n.graph_id AS sg, n.id AS seed_id, n.name AS seed_name, n.entity_type FROM nodes n SEMI JOIN movers USING (graph_id, id))
+        SELECT e.graph_id, a.seed_id, e.src AS source_id, e.rel_type, dg.degree, e.dst AS target_id, CASE e.rel_type WHEN 'CONTAINS_METHOD' THEN 5 WHEN 'CALLS' THEN 4 WHEN 'CONTAINS' THEN 3 WHEN 'IMPORTS' THEN 2 ELSE 1 END AS priority
+        FROM edges e JOIN ex a ON a.graph_id = e.graph_id AND a.id = e.src JOIN ex b ON b.graph_id = e.graph_id AND b.id = e.dst AND b.seed_id = a.seed_id JOIN dg ON dg.graph_id = e.graph_id AND dg.id = e.src"""),
+    "related_nodes": _on(GRAPH, """, rb AS MATERIALIZED (SELECT graph_id, src, dst FROM edges WHERE rel_type IN ('CALLS', 'CONTAINS', 'IMPORTS') UNION SELECT graph_id, dst, src FROM edges WHERE rel_type IN ('CALLS', 'CONTAINS', 'IMPORTS')),
+        a AS (SELECT DISTINCT rb.graph_id, s.seed_id, rb.dst AS id FROM seeds s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id), b AS (SELECT DISTINCT rb.graph_id, s.seed_id, rb.dst AS id FROM a s JOIN rb ON rb.graph_id = s.graph_id AND rb.src = s.id),
+        i AS (SELECT * FROM (SELECT * FROM a UNION SELECT * FROM b) WHERE id <> seed_id)
+        SELECT graph_id, seed_id, id, name, source_file FROM (SELECT i.graph_id, i.seed_id, n.id, n.name, n.source_file, row_number() OVER (PARTITION BY i.graph_id, i.seed_id ORDER BY n.id) AS r FROM i JOIN nodes n ON n.graph_id = i.graph_id AND n.id = i.id WHERE n.entity_type = 'Function') WHERE r <= 15"""),
+    "similar_names": _on(GRAPH, """, s AS (SELECT n.graph_id AS sg, n.id AS seed_id, n.name AS seed_name, n.entity_type FROM nodes n WHERE n.entity_type = 'Function' AND starts_with(md5(n.id), '00') AND n.name IS NOT NULL)
         SELECT seed_id, seed_name, id, name, entity_type, graph_id FROM (SELECT s.seed_id, s.seed_name, n.id, n.name, n.entity_type, n.graph_id, row_number() OVER (PARTITION BY s.sg, s.seed_id ORDER BY n.id, n.graph_id) AS r
           FROM nodes n JOIN s ON s.entity_type = n.entity_type AND s.seed_id <> n.id WHERE n.name IS NOT NULL AND (contains(n.name, s.seed_name) OR contains(s.seed_name, n.name) OR jaro_winkler_similarity(s.seed_name, n.name) > 0.7)) WHERE r <= 10"""),
     "top_files": _on(GRAPH, """, a AS (SELECT graph_id, src, count(DISTINCT dst) AS n FROM edges WHERE rel_type = 'CONTAINS' GROUP BY ALL)
@@ -457,8 +455,8 @@ ORACLE_SQL: dict[str, str] = {
     "viz_edges": _on(GRAPH, "SELECT graph_id, 'edge_' || CAST(r - 1 AS VARCHAR) AS edge_id, src AS from_id, dst AS to_id, rel_type AS label, 'Relationship: ' || rel_type AS title FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst, rel_type) AS r FROM edges) WHERE r <= 500"),
     "keyword_search": _on(GRAPH, f"""SELECT graph_id, id, name FROM nodes WHERE len(list_filter(list_distinct(list_filter(regexp_extract_all(lower('{QUESTION}'), '[\\p{{L}}\\p{{N}}_]+'), lambda w: w NOT IN ({_STOP}))), lambda w: coalesce(contains(lower(name), w), false) OR coalesce(contains(lower(description), w), false))) > 0 ORDER BY id LIMIT 50"""),
     "random_edges": _on(GRAPH, """, s AS (SELECT graph_id, id FROM (SELECT graph_id, id, row_number() OVER (PARTITION BY graph_id ORDER BY md5(concat_ws('#', '7', id)), id) AS r FROM nodes) WHERE r <= 100),
-        d AS (SELECT DISTINCT e.graph_id, e.src, e.dst FROM edges e JOIN s ON s.graph_id = e.graph_id AND s.id = e.src)
-        SELECT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY src, dst) AS r FROM d) WHERE r <= 500"""),
+        d AS (SELECT DISTINCT e.graph_id, s.id, e.src, e.dst FROM edges e JOIN s ON s.graph_id = e.graph_id AND (s.id = e.src OR s.id = e.dst))
+        SELECT DISTINCT graph_id, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, id ORDER BY src, dst) AS r FROM d) WHERE r <= 5"""),
     "relation_lines": _on(GRAPH, """, ee AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY CASE rel_type WHEN 'CONTAINS_METHOD' THEN 5 WHEN 'CALLS' THEN 4 WHEN 'CONTAINS' THEN 3 WHEN 'IMPORTS' THEN 2 ELSE 1 END DESC, src, dst, rel_type) AS ord FROM edges),
         s AS (SELECT graph_id, id, coalesce(name, id) || ' (' || CASE WHEN entity_type IN ('Function', 'Class', 'Call', 'Import') THEN entity_type ELSE 'KGNode' END || ')' AS shown FROM nodes)
         SELECT e.graph_id, CAST(ord AS INTEGER) AS ord, '- ' || a.shown || ' -[' || rel_type || CASE WHEN rel_type = 'CONTAINS_METHOD' THEN CASE WHEN e.p.line IS NULL THEN '' ELSE ' {line: ' || e.p.line || '}' END
