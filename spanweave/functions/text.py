@@ -145,6 +145,11 @@ def gated_description(description: Column, label: Column, name: Column, gate: in
     return F.when(F.length(description) > gate, F.substring(description, 1, cut)).otherwise(F.concat_ws(" ", label, name))
 
 
+def special_term(entity_type: Column, name: Column) -> Column:
+    """Type and name as a search term; null unless both are there."""
+    return F.when((F.trim(entity_type) != "") & (F.trim(name) != ""), F.concat_ws(" ", entity_type, name))
+
+
 def relationship_priority(rel_type: Column) -> Column:
     return F.when(rel_type == "CONTAINS_METHOD", 5).when(rel_type == "CALLS", 4).when(rel_type == "CONTAINS", 3).when(rel_type == "IMPORTS", 2).otherwise(1)
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ranked_metrics(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
@@ -21,7 +24,8 @@ def words(c: Column) -> Column:
 
 
 def overlap_scores(rows: DataFrame, key: str, candidate: str, reference: str, order: int = 2) -> DataFrame:
-    """BLEU up to `order`-grams with brevity penalty (0 if any order has no match) and ROUGE-1 F-measure per key.
+    """BLEU up to `order`-grams with brevity penalty (0 if any order has no match) and ROUGE-1 to ROUGE-`order` F-measures
+    per key.
 
     N-grams are exploded and counted, clipped by the other side's count; rows without words score 0."""
     w = rows.select(F.col(key).alias("k"), words(F.col(candidate)).alias("c"), words(F.col(reference)).alias("r"))
@@ -35,8 +39,9 @@ def overlap_scores(rows: DataFrame, key: str, candidate: str, reference: str, or
     d = w.select("k", F.size("c").alias("nc"), F.size("r").alias("nr")).join(hits, "k", "left")
     logs = sum((F.log(F.nullif(F.col(f"h{n}"), F.lit(0)) / F.nullif(F.col("nc") - (n - 1), F.lit(0))) for n in range(1, order + 1)), F.lit(0.0))
     penalty = F.when(F.col("nc") >= F.col("nr"), F.lit(1.0)).otherwise(F.exp(1 - F.col("nr") / F.nullif("nc", F.lit(0))))
-    rouge = 2.0 * F.col("h1") / F.nullif(F.col("nc") + F.col("nr"), F.lit(0))
-    return d.select("k", F.round(F.coalesce(F.exp(logs / order) * penalty, F.lit(0.0)), 6).alias("bleu"), F.round(F.coalesce(rouge, F.lit(0.0)), 6).alias("rouge_1"))
+    size = lambda c, n: F.greatest(F.col(c) - (n - 1), F.lit(0))
+    rouge = [F.round(F.coalesce(2.0 * F.col(f"h{n}") / F.nullif(size("nc", n) + size("nr", n), F.lit(0)), F.lit(0.0)), 6).alias(f"rouge_{n}") for n in range(1, order + 1)]
+    return d.select("k", F.round(F.coalesce(F.exp(logs / order) * penalty, F.lit(0.0)), 6).alias("bleu"), *rouge)
 
 
 def _spans(side: str, n: int) -> Column:
@@ -45,6 +50,32 @@ def _spans(side: str, n: int) -> Column:
     return F.when(F.size(side) >= n, F.transform(at, lambda i: F.array_join(F.slice(F.col(side), i, F.lit(n)), " ")))
 
 
+@F.pandas_udf(T.DoubleType())
+def _longest_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b):
+        row = np.zeros(len(y) + 1, dtype=np.int64)
+        y = np.asarray(y)
+        for w in x:  # of each prefix of y: the row before plus a match, or the best so far
+            met = np.concatenate([[0], np.where(y == w, row[:-1] + 1, 0)])
+            row = np.maximum.accumulate(np.maximum(row, met))
+        out.append(float(row[-1]))
+    return pd.Series(out, dtype="float64")
+
+
+def rouge_l(candidate: Column, reference: Column) -> Column:
+    """ROUGE-L F-measure of two texts: their longest common subsequence of words; 0 where either has none."""
+    a, b = words(candidate), words(reference)
+    return F.round(F.coalesce(2.0 * _longest_common(a, b) / F.nullif(F.size(a) + F.size(b), F.lit(0)), F.lit(0.0)), 6)
+
+
+def grounding(answer: Column, context: Column) -> Column:
+    """Share of an answer's different words that its context has; null for an answer without words. What stands in for
+    faithfulness, and with the question as context for relevance, where no model judges."""
+    a = F.array_distinct(words(answer))
+    return F.round(F.size(F.array_intersect(a, words(context))) / F.nullif(F.size(a), F.lit(0)), 6)
+
+
 def exact_match(candidate: Column, reference: Column) -> Column:
     return F.coalesce(words(candidate) == words(reference), F.lit(False))
 

@@ -27,6 +27,15 @@ def conversation_history(conversations: DataFrame) -> DataFrame:
     return c.select("conversation_id", F.col("pos").cast("long").alias("pos"), "t.ts", "t.user", "t.assistant")
 
 
+def conversations_of(turns: DataFrame) -> DataFrame:
+    """Conversations from an append-only table of turns (conversation_id, graph_id, user_id, name, user, assistant,
+    timestamp, created_at); the history in order of time. A conversation is one row, as it is read by people."""
+    t = F.struct("timestamp", "user", "assistant")
+    c = turns.groupBy("conversation_id").agg(F.min("graph_id").alias("graph_id"), F.min("user_id").alias("user_id"), F.min("name").alias("name"), F.array_sort(F.collect_list(t)).alias("h"), F.min("created_at").alias("created_at"))
+    history = F.transform("h", lambda x: F.struct(x["user"].alias("user"), x["assistant"].alias("assistant"), x["timestamp"].alias("timestamp")))
+    return c.select("conversation_id", "graph_id", "user_id", "name", history.alias("history"), "created_at")
+
+
 def append_turn(conversations: DataFrame, new: DataFrame) -> DataFrame:
     """History with the turns of `new` (conversation_id, user, assistant, timestamp) at the end, in their order."""
     n = new.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "user", "assistant"))).alias("add"))

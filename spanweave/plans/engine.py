@@ -4,21 +4,22 @@ Every stage is a DataFrame; one action writes each table. A failing stage raises
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from spanweave.functions.text import change_type, default_description, dynamic_hops, entity_text, gated_description, keyword_intent
+from spanweave.functions.text import change_type, default_description, dynamic_hops, entity_text, gated_description, keyword_intent, special_term
 from spanweave.operators import changes, metrics, report, store, traversal, vectors
 from spanweave.operators.chunking import chunk_files
 from spanweave.operators.dedup import unique_entities, valid_entities
 from spanweave.operators.graph import Graph, graph_of_unique
-from spanweave.plans.model import Model, answer, classify, describe, expand, rerank_order
+from spanweave.plans.model import Model, answer, classify, describe, expand, graph_query, recommend, rerank_order
 from spanweave.sources.files import python_files
 from spanweave.sources.parsing import extract_entities
 
@@ -104,7 +105,9 @@ class CodeGraphEngine:
         elif intent == "general_question":
             extras["top_files"] = traversal.top_files(g)
         best = seeds.where("ord < 5").join(g.nodes, ["graph_id", "id"]).orderBy("ord").select(gated_description(F.col("description"), F.col("entity_type"), F.col("name")).alias("t"))
-        texts = list(dict.fromkeys([question, *[r["t"] for r in best.collect() if r["t"]]]))[:5]  # five texts at most
+        # the question, five descriptions and three terms of type and name at most
+        terms = seeds.where("ord < 3").join(g.nodes, ["graph_id", "id"]).orderBy("ord").select(special_term(F.col("entity_type"), F.col("name")).alias("t"))
+        texts = list(dict.fromkeys(t for t in [question, *[r["t"] for r in best.collect()], *[r["t"] for r in terms.collect()]] if t))
         found = None
         for t in texts:
             h = self._nearest("chunk_vectors", graph_id, t, k_chunks)
@@ -128,6 +131,27 @@ class CodeGraphEngine:
         parts += ["Code"] + [f"# {c['source_file']}:{c['start_line']}-{c['end_line']}\n{c['text']}" for c in rows]
         return "\n".join(parts)[:max_chars]
 
+    def recommendation(self, question: str, graph_id: str, kind: str | None = None) -> str:
+        """What to change for a request: the five best change points, the code's conventions, and what the changes touch;
+        put into words by the model if there is one."""
+        g = self.graph(graph_id)
+        kind = kind or self.spark.createDataFrame([(question,)], "q string").select(change_type(F.col("q")).alias("c")).first()["c"]
+        hits = self._nearest("entity_vectors", graph_id, question, 15).withColumn("ord", F.row_number().over(W.orderBy("distance", "id")) - 1)
+        seeds = hits.select(F.lit(graph_id).alias("graph_id"), "id", "ord")
+        points = changes.change_points(g, seeds, kind).limit(5).collect()
+        chunks = self.read("chunks", graph_id)
+        lines = ["Change points", *(f"- {p['change']}: {p['entity_type']} {p['name']} ({p['source_file']}:{p['line']})" for p in points)]
+        lines += ["Patterns", *(f"- {r['kind']} names: {r['convention']}" for r in changes.naming_votes(chunks).orderBy("kind").collect())]
+        lines += [f"- {r['style']}" for votes in (changes.error_votes(chunks), changes.doc_votes(chunks)) for r in votes.collect()]
+        lines += ["Impact", *(f"- {r['target_id']}: {r['risk']}, {r['n_direct']} direct callers" for r in traversal.risk_level(g, seeds).orderBy(F.desc("score"), "target_id").limit(5).collect())]
+        return recommend(question, "\n".join(lines), self.model)
+
+    def ask_graph(self, question: str, graph_id: str) -> DataFrame:
+        """A question answered by a query the model writes over the graph; nodes by keyword where it writes none."""
+        g = self.graph(graph_id)
+        sql = graph_query(question, self.model)
+        return self.spark.sql(re.sub(r"\b(nodes|edges)\b", r"{\1}", sql), nodes=g.nodes, edges=g.edges) if sql else traversal.keyword_search(g.nodes, question, ["name", "description"], "id")
+
     def evaluate(self, graph_id: str) -> dict[str, DataFrame]:
         g = self.graph(graph_id)
         c = self.read("chunks", graph_id)
@@ -159,38 +183,38 @@ class CodeGraphEngine:
     def start_chat(self, user_id: str, graph_id: str, question: str, name: str = "") -> tuple[str, str]:
         """Opens a conversation on a graph of the user and answers its first question: (conversation id, answer)."""
         conversation_id = uuid.uuid4().hex
-        return conversation_id, self._turn(user_id, graph_id, conversation_id, question, name, None)
+        return conversation_id, self._turn(user_id, graph_id, conversation_id, question, name)
 
     def send_message(self, user_id: str, conversation_id: str, question: str) -> str:
-        row = self.conversations(user_id).where(F.col("conversation_id") == conversation_id).limit(1).collect()
+        row = self.read("turns").where((F.col("conversation_id") == conversation_id) & (F.col("user_id") == user_id)).select("graph_id", "name").limit(1).collect()
         if not row:
             raise KeyError(f"no conversation {conversation_id} of {user_id}")
-        return self._turn(user_id, row[0]["graph_id"], conversation_id, question, row[0]["name"], row[0])
+        return self._turn(user_id, row[0]["graph_id"], conversation_id, question, row[0]["name"])
 
-    def _turn(self, user_id: str, graph_id: str, conversation_id: str, question: str, name: str, before: Row | None) -> str:
+    def _turn(self, user_id: str, graph_id: str, conversation_id: str, question: str, name: str) -> str:
+        """Appends one row to the table of turns; nothing that stands there is rewritten."""
         if not self.graph_row(user_id, graph_id).limit(1).count():
             raise KeyError(f"no graph {graph_id} of {user_id}")
         said = answer(question, self.context(self.retrieve(question, graph_id), graph_id), self.model)
-        turn = (question, said, datetime.now(UTC).isoformat())
-        history = [*((tuple(t) for t in before["history"]) if before else ()), turn]
-        created = before["created_at"] if before else datetime.now(UTC).replace(tzinfo=None)
-        ddl = "graph_id string, user_id string, name string, history array<struct<user:string,assistant:string,timestamp:string>>, created_at timestamp, conversation_id string"
-        row = self.spark.createDataFrame([(graph_id, user_id, name, history, created, conversation_id)], ddl)
-        # one partition per conversation: a turn rewrites its own conversation only
-        row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("conversation_id").parquet(self._path("conversations"))
+        now = datetime.now(UTC)
+        ddl = "graph_id string, user_id string, name string, conversation_id string, user string, assistant string, timestamp string, created_at timestamp"
+        row = self.spark.createDataFrame([(graph_id, user_id, name, conversation_id, question, said, now.isoformat(), now.replace(tzinfo=None))], ddl)
+        row.write.mode("append").partitionBy("graph_id").parquet(self._path("turns"))
         return said
 
     def conversations(self, user_id: str, graph_id: str | None = None) -> DataFrame:
-        c = self.read("conversations", graph_id)
-        return c.where(F.col("user_id") == user_id)
+        """The user's conversations, put together from their turns."""
+        return store.conversations_of(self.read("turns", graph_id).where(F.col("user_id") == user_id))
 
     def history(self, conversation_id: str) -> DataFrame:
-        return store.conversation_history(self.read("conversations").where(F.col("conversation_id") == conversation_id))
+        return store.conversation_history(store.conversations_of(self.read("turns").where(F.col("conversation_id") == conversation_id)))
 
-    def delete(self, graph_id: str) -> None:
-        """Removes the partitions of a graph from every table."""
+    def delete(self, user_id: str, graph_id: str) -> None:
+        """Removes a graph of the user from every table, its conversations too."""
+        if not self.graph_row(user_id, graph_id).limit(1).count():
+            raise KeyError(f"no graph {graph_id} of {user_id}")
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in ("entities_raw", "entities", "nodes", "edges", "chunks", "chunk_vectors", "entity_vectors", "graphs"):
+        for name in ("turns", "entities_raw", "entities", "nodes", "edges", "chunks", "chunk_vectors", "entity_vectors", "graphs"):
             p = jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/graph_id={graph_id}")
             p.getFileSystem(conf).delete(p, True)

@@ -71,3 +71,35 @@ def judge_answer(question: str, context: str, answered: str, metrics: list[str],
     said = model.invoke(f"Score the answer, one line `Metric (1-10): n` for each of {', '.join(metrics)}.\nQuestion: {question}\nContext: {context[:4000]}\nAnswer: {answered}")
     got = {m: re.search(rf"{re.escape(m)}\s*\(?1-10\)?\s*:\s*(\d+)", said, re.I) for m in metrics}
     return {m: int(x.group(1)) if x else 0 for m, x in got.items()}
+
+
+#: What a verdict on an answer compares (fixed values).
+COMPARED = ("accuracy", "completeness", "relevance", "specificity")
+
+
+def answer_alone(question: str, model: Model | None) -> str | None:
+    """The model's answer without any context; null without a model."""
+    return None if model is None else model.invoke(f"Answer this question on code as well as you can, in detail.\n\nQuestion: {question}")
+
+
+def compare(question: str, with_context: str, alone: str, model: Model, metrics: tuple[str, ...] = COMPARED) -> str:
+    """A model's verdict on two answers, in the format that operators.judge reads."""
+    wanted = "\n".join(f"{m}: RAG n, LLM n" for m in metrics)
+    return model.invoke(f"Compare two answers, scores from 1 to 10, in these lines:\n{wanted}\nThen `RAG advantages:` and `LLM-only approach is enough:` with a sentence each.\n\nQuestion: {question}\n\nRAG answer: {with_context}\n\nLLM answer: {alone}")
+
+
+def recommend(question: str, plan: str, model: Model | None) -> str:
+    """A recommendation of changes from a change plan as text; the plan itself without a model."""
+    if model is None:
+        return plan
+    form = "File: path (Lines a-b)\nBefore:\n```python\n...\n```\nAfter:\n```python\n...\n```\nExplanation: ..."
+    return model.invoke(f"Recommend changes for the request. Keep to the code's patterns. Give each change in this form:\n{form}\n\n{plan}\n\nRequest: {question}")
+
+
+def graph_query(question: str, model: Model | None) -> str | None:
+    """A question as SQL over the views `nodes` and `edges`, if a model gives a single SELECT; else null."""
+    if model is None:
+        return None
+    said = model.invoke(f"Write one Spark SQL SELECT over nodes(graph_id, id, labels, entity_type, name, source_file, start_line, end_line, description) and edges(graph_id, src, dst, rel_type).\nQuestion: {question}").strip()
+    said = re.sub(r"^```\w*\s*|\s*```$", "", said).rstrip("; \n")
+    return said if re.match(r"(?i)(select|with)\b", said) and ";" not in said else None

@@ -1,5 +1,8 @@
 """Python sources to entity rows, by the standard library's syntax tree.
 
+A file with errors keeps what can be read: it is taken apart into its top-level blocks, and in a block that does not
+parse the lines at fault are left out one by one.
+
 Rows come in pre-order: imports, classes, functions, decorated definitions (as a row of their own before the
 definition) and calls, each with its place in lines and UTF-8 bytes and its nearest enclosing definition."""
 
@@ -75,18 +78,75 @@ class _Walker:
             self.visit(child, inner)
 
 
-def extract(text: str | None) -> list[dict]:
-    """Entity rows of one file; none for null, blank and unparsable text."""
-    if not text or not text.strip():
-        return []
+#: Lines left out of one block before the whole block is.
+MOST_REPAIRS = 20
+
+
+def _tree(text: str) -> ast.AST | None:
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            tree = ast.parse(text)
-        w = _Walker(text)
-        w.visit(tree, [])
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return ast.parse(text)
+    except (ValueError, RecursionError, MemoryError):
+        return None
+
+
+def repaired(block: str) -> ast.AST | None:
+    """The tree of a block without the lines at fault, on the same lines and columns. A line left out becomes `pass`, or,
+    if it opened a block, `if 1:`; after MOST_REPAIRS lines the block is given up."""
+    lines = block.split("\n")
+    left_out: set[int] = set()
+    for _ in range(MOST_REPAIRS + 1):
+        try:
+            return _tree("\n".join(lines))
+        except SyntaxError as e:
+            at = min(max((e.lineno or 1) - 1, 0), len(lines) - 1)
+        # the line named; if that was left out before, the nearest line above that was not, else below
+        order = [*range(at, -1, -1), *range(at + 1, len(lines))]
+        at = next((i for i in order if i not in left_out and lines[i].strip()), None)
+        if at is None:
+            return None
+        indent = lines[at][: len(lines[at]) - len(lines[at].lstrip())]
+        opens = lines[at].rstrip().endswith(":") or at + 1 < len(lines) and len(lines[at + 1]) - len(lines[at + 1].lstrip()) > len(indent) and bool(lines[at + 1].strip())
+        lines[at] = indent + ("if 1:" if opens else "pass")
+        left_out.add(at)
+    return None
+
+
+def trees(text: str) -> list[ast.AST]:
+    """The tree of a file, or those of its blocks if the file does not parse. A block starts at a line at the margin;
+    a decorator belongs to what follows, a closing bracket or `else` to what precedes."""
+    try:
+        whole = _tree(text)
+        return [whole] if whole is not None else []
+    except SyntaxError:
+        pass
+    lines = text.split("\n")
+    starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in ")]}#" and not x.startswith(("else", "elif", "except", "finally"))]
+    starts = [i for k, i in enumerate(starts) if not (k and lines[starts[k - 1]].startswith("@"))]
+    out = []
+    for lo, hi in zip(starts, [*starts[1:], len(lines)]):
+        block = "\n".join(lines[lo:hi])
+        try:
+            tree = _tree(block)
+        except SyntaxError:
+            tree = repaired(block)
+        if tree is not None:
+            out.append(ast.increment_lineno(tree, lo))
+    return out
+
+
+def extract(text: str | None) -> list[dict]:
+    """Entity rows of one file; none for null and blank text."""
+    if not text or not text.strip():
         return []
+    w = _Walker(text)
+    for tree in trees(text):
+        kept = len(w.rows)
+        try:
+            w.visit(tree, [])
+        except (RecursionError, ValueError, IndexError):  # nested too deeply
+            del w.rows[kept:]
     return w.rows
 
 

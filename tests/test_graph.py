@@ -165,3 +165,15 @@ def test_plans_have_no_cartesian_product(graph):
     for df in (traversal.indirect_impacts(graph), metrics.centrality_nodes(graph), traversal.induced_edges(graph, graph.nodes.select("graph_id", "id"))):
         plan = df._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_a_broken_file_keeps_its_entities():
+    from spanweave.sources.parsing import extract
+
+    text = "import os\n\ndef a():\n    return os.getcwd()\n\nclass B:\n    def ok(self):\n        return a()\n\n    def bad(self:\n        return 1\n\n    def later(self):\n        x = (1,\n        return run(x)\n\nprint(a())\n\"\"\"open\n"
+    got = [(r["entity_type"], r["name"], r["start_line"], r["parent_name"]) for r in extract(text)]
+    assert got[:2] == [("Import", "os", 1, None), ("Function", "a", 3, None)]
+    assert {("Class", "B", 6, None), ("Function", "ok", 7, "B"), ("Call", "a", 8, "ok"), ("Function", "later", 13, "B"), ("Call", "print", 17, None)} <= set(got)
+    rows = {r["name"]: r["snippet"] for r in extract(text) if r["entity_type"] == "Function"}
+    assert rows["ok"] == "def ok(self):\n        return a()"
+    assert extract("def f(:\n") == [] and extract("((((") == [] and extract("\x00") == [] and extract(None) == []

@@ -75,6 +75,35 @@ def test_judging(spark):
     assert [tuple(x)[1:] for x in got] == [("a/b.py", 3, 5, "x = 1", "x = 2", "because"), ("c.py", 7, 7, None, None, "other")]
 
 
+def test_parts_of_verdicts(spark):
+    text = "Analysis of the answer: clear.\nSpecific suggestions for improvement: cite lines.\n\nWhen RAG helps: on names.\nWhen the LLM is enough: on syntax."
+    d = spark.createDataFrame([(text,), ("nothing here",), (None,)], "t string")
+    got = [tuple(r) for r in d.select(*(f(F.col("t")) for f in (judge.answer_analysis, judge.suggestions, judge.retrieval_advantages, judge.model_sufficient))).collect()]
+    assert got[0][0] == "clear." and got[0][1].startswith("cite lines.") and got[0][2] == "on names." and got[0][3] == "on syntax."
+    assert got[1:] == [(None,) * 4] * 2
+
+
+def test_model_steps_without_and_with_a_model():
+    from spanweave.plans import model
+
+    say = lambda text: type("M", (), {"invoke": lambda self, prompt: text})()
+    assert model.answer_alone("q", None) is None and model.answer_alone("q", say("a")) == "a"
+    assert model.recommend("q", "plan", None) == "plan" and model.recommend("q", "plan", say("File: x")) == "File: x"
+    assert model.graph_query("q", None) is None and model.graph_query("q", say("DROP TABLE x")) is None and model.graph_query("q", say("SELECT 1; SELECT 2")) is None
+    assert model.compare("q", "a", "b", say("accuracy: RAG 7, LLM 5")) == "accuracy: RAG 7, LLM 5"
+
+
+def test_overlap_of_longer_orders(spark):
+    from spanweave.operators import evaluation
+
+    d = spark.createDataFrame([(1, "the cat sat on the mat", "the cat lay on a mat"), (2, "a b c d", "a b c d"), (3, "", "x"), (4, None, None)], "k int, c string, r string")
+    got = {r["k"]: r for r in evaluation.overlap_scores(d, "k", "c", "r", 4).collect()}
+    assert (got[2]["bleu"], got[2]["rouge_1"], got[2]["rouge_4"]) == (1.0, 1.0, 1.0) and got[1]["rouge_2"] == 0.2 and got[1]["bleu"] == 0.0 and got[3]["bleu"] == 0.0
+    lcs = {r["k"]: r["l"] for r in d.select("k", evaluation.rouge_l(F.col("c"), F.col("r")).alias("l")).collect()}
+    assert lcs == {1: round(8 / 12, 6), 2: 1.0, 3: 0.0, 4: 0.0}
+    assert [r[0] for r in d.orderBy("k").select(evaluation.grounding(F.col("c"), F.col("r"))).collect()] == [0.8, 1.0, None, None]
+
+
 def test_written_tables_are_released(spark, small):
     from spanweave.plans.queries import QUERIES
     from spanweave.session import cut_lineage, release
@@ -169,7 +198,18 @@ def test_engine_end_to_end(spark, tmp_path):
     assert [r["user"] for r in e.history(cid).orderBy("pos").collect()] == ["Where is helper called?", "Change function helper"]
     with pytest.raises(KeyError):
         e.send_message("someone", cid, "x")
-    e.delete("g2")
+    e.model = None
+    plan = e.recommendation("Please modify function helper", "g1")
+    assert "Change points" in plan and "helper" in plan and "names: " in plan and "Impact" in plan
+    assert e.ask_graph("Where is the Loader?", "g1").where("name = 'Loader'").count() == 1
+    e.model = type("Asks", (), {"invoke": lambda self, prompt: "```sql\nSELECT name FROM nodes WHERE entity_type = 'Class';\n```"})()
+    assert [r["name"] for r in e.ask_graph("Which classes are there?", "g1").collect()] == ["Loader"]
+    e.model = None
+    other, _ = e.start_chat("u", "g2", "Who calls helper?", "two")
+    with pytest.raises(KeyError):
+        e.delete("someone", "g2")
+    e.delete("u", "g2")
+    assert [r["conversation_id"] for r in e.conversations("u").collect()] == [cid] and e.history(other).count() == 0
     assert e.read("nodes").select("graph_id").distinct().count() == 1
     with pytest.raises(ValueError):
         (tmp_path / "none").mkdir()
