@@ -52,6 +52,41 @@ def schema_probe(g: Graph) -> DataFrame:
     return g.nodes.groupBy("graph_id", F.array_join("labels", ",").alias("labels")).agg(F.max(filled).alias("n_properties"))
 
 
+def sample(rows: DataFrame, k: int) -> DataFrame:
+    """The first k rows of each graph by id, to look at."""
+    return rows.withColumn("r", F.row_number().over(W.partitionBy("graph_id").orderBy("id"))).where(F.col("r") <= k).drop("r")
+
+
+def context_blocks(chunks: DataFrame, limit: int = 15, cut: int = 500) -> DataFrame:
+    """(graph_id, ord, block): the first `limit` chunks of each graph by id, with their place, cut to `cut` characters."""
+    r = F.row_number().over(W.partitionBy("graph_id").orderBy("id"))
+    line = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    block = F.concat(F.lit("# "), F.coalesce("source_file", F.lit("None")), F.lit(":"), line("start_line"), F.lit("-"), line("end_line"), F.lit("\n"), F.substring(F.coalesce("text", F.lit("")), 1, cut))
+    return chunks.withColumn("ord", r).where(F.col("ord") <= limit).select("graph_id", "ord", block.alias("block"))
+
+
+def html_rows(scores: DataFrame) -> DataFrame:
+    """(graph_id, html): a table row per graph with its score from 0 to 100 in its colour."""
+    color = F.when(F.col("overall") >= 70, "green").when(F.col("overall") >= 40, "orange").otherwise("red")
+    safe = F.replace(F.replace(F.col("graph_id"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    shown = F.round("overall").cast("int").cast("string")
+    return scores.select("graph_id", F.concat(F.lit("<tr><td>"), safe, F.lit('</td><td style="color:'), color, F.lit('">'), shown, F.lit("</td></tr>")).alias("html"))
+
+
+def html_report(scores: DataFrame, title: str = "Evaluation") -> str:
+    """The rows as one page. `scores` has one row per graph."""
+    rows = "\n".join(r["html"] for r in html_rows(scores).orderBy("graph_id").collect())
+    return f"<!DOCTYPE html>\n<html><head><meta charset=\"utf-8\"><title>{title}</title></head><body>\n<table>\n{rows}\n</table>\n</body></html>\n"
+
+
+def bar_chart(counts: DataFrame, by: str, value: str, k: int = 20, width: int = 400) -> str:
+    """The k largest bars, ties by name, as a drawing in SVG."""
+    rows = counts.orderBy(F.desc(value), by).limit(k).select(by, value).collect()
+    most = max((r[value] for r in rows), default=1) or 1
+    bars = [f'<text x="0" y="{18 * i + 13}">{str(r[by]).replace("&", "&amp;").replace("<", "&lt;")}: {r[value]}</text><rect x="200" y="{18 * i + 2}" width="{round(width * r[value] / most)}" height="14"/>' for i, r in enumerate(rows)]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width + 210}" height="{18 * len(rows) + 4}">{"".join(bars)}</svg>'
+
+
 def largest(counts: DataFrame, by: str, value: str, k: int) -> DataFrame:
     """The k largest bars of each graph for a chart, ties by name."""
     r = F.row_number().over(W.partitionBy("graph_id").orderBy(F.desc(value), by))

@@ -236,7 +236,7 @@ QUERIES: dict[str, Query] = {
     "doc_vote": _t("chunks", lambda c: changes.doc_votes(c, key="id")),
     "judge_scores": _judge,
     "compare_answers": lambda s, d: judge.compare_answers(_judge(s, d).select(F.concat_ws("/", "conversation_id", F.col("pos").cast("string")).alias("k"), F.concat(F.lit("faithfulness RAG "), F.col("rag").cast("string"), F.lit(" LLM "), F.col("llm").cast("string")).alias("v")), "k", "v", ["faithfulness"]),
-    "answer_overlap": _t("conversations", lambda c: evaluation.overlap_scores(_turns(c).select(F.concat_ws("/", "conversation_id", F.col("pos").cast("string")).alias("k"), "user", "assistant"), "k", "assistant", "user")),
+    "answer_overlap": _t("conversations", lambda c: evaluation.overlap_scores(_turns(c).select(F.concat_ws("/", "conversation_id", F.col("pos").cast("string")).alias("k"), "user", "assistant"), "k", "assistant", "user", 4)),
     "exact_match": _t("conversations", lambda c: _turns(c).select("conversation_id", "pos", evaluation.exact_match(F.col("user"), F.col("assistant")).alias("same"))),
     "property_bag": _t("entities", lambda e: e.select("rec_id", F.size(C.property_bag(e, "id", "snippet")).alias("n_properties"), C.lookup(C.property_bag(e, "id", "snippet"), "name", "none").alias("name"), C.lookup(C.property_bag(e, "id", "snippet"), "imported_items", "[]").alias("items"))),
     "zipped_turns": _t("conversations", lambda c: C.zipped_rows(store.unique_rows(c, "conversation_id").select("conversation_id", F.col("history.user").alias("u"), F.col("history.assistant").alias("a")), "u", "a").withColumn("ord", F.col("ord").cast("long"))),
@@ -508,11 +508,14 @@ ORACLE_SQL: dict[str, str] = {
     "compare_answers": _on(TURNS, """SELECT conversation_id || '/' || pos AS k, CAST(length(assistant) % 10 AS DOUBLE) AS avg_rag, CAST(pos AS DOUBLE) AS avg_llm,
         CASE WHEN length(assistant) % 10 > pos THEN 'RAG' WHEN length(assistant) % 10 < pos THEN 'LLM-Only' ELSE 'Tie' END AS winner FROM t WHERE assistant IS NOT NULL"""),
     "answer_overlap": _on(TURNS, r""", w AS (SELECT conversation_id || '/' || pos AS k, list_filter(regexp_split_to_array(lower(coalesce("user", '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array(lower(coalesce(assistant, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS c FROM t),
-        g AS (SELECT k, 1 AS n, 'c' AS side, unnest(c) AS g FROM w UNION ALL SELECT k, 1, 'r', unnest(r) FROM w
-          UNION ALL SELECT k, 2, 'c', unnest(list_transform(generate_series(1, len(c) - 1), lambda i: c[i] || ' ' || c[i + 1])) FROM w UNION ALL SELECT k, 2, 'r', unnest(list_transform(generate_series(1, len(r) - 1), lambda i: r[i] || ' ' || r[i + 1])) FROM w),
-        m AS (SELECT k, n, g, count(*) FILTER (side = 'c') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY ALL), s AS (SELECT k, sum(least(a, b)) FILTER (n = 1) AS h1, sum(least(a, b)) FILTER (n = 2) AS h2 FROM m GROUP BY k)
-        SELECT w.k, round(coalesce(CASE WHEN h1 > 0 AND h2 > 0 THEN exp((ln(CAST(h1 AS DOUBLE) / len(c)) + ln(CAST(h2 AS DOUBLE) / (len(c) - 1))) / 2) * CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - CAST(len(r) AS DOUBLE) / len(c)) END END, 0.0), 6) AS bleu,
-          round(coalesce(2.0 * CAST(h1 AS DOUBLE) / nullif(len(c) + len(r), 0), 0.0), 6) AS rouge_1 FROM w LEFT JOIN s USING (k)"""),
+        o AS (SELECT unnest([1, 2, 3, 4]) AS n), g AS (SELECT k, n, 'c' AS side, unnest(list_transform(generate_series(1, len(c) - n + 1), lambda i: array_to_string(c[i:i + n - 1], ' '))) AS g FROM w, o UNION ALL SELECT k, n, 'r', unnest(list_transform(generate_series(1, len(r) - n + 1), lambda i: array_to_string(r[i:i + n - 1], ' '))) FROM w, o),
+        m AS (SELECT k, n, g, count(*) FILTER (side = 'c') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY ALL), hh AS (SELECT k, n, CAST(sum(least(a, b)) AS DOUBLE) AS h FROM m GROUP BY k, n),
+        x AS (SELECT w.k, o.n, len(c) AS nc, len(r) AS nr, coalesce(hh.h, 0) AS h FROM w CROSS JOIN o LEFT JOIN hh ON hh.k = w.k AND hh.n = o.n)
+        SELECT k, round(coalesce(CASE WHEN min(h) > 0 THEN exp(sum(CASE WHEN h > 0 THEN ln(h / (nc - n + 1)) END) / 4) * CASE WHEN min(nc) >= min(nr) THEN 1.0 ELSE exp(1 - CAST(min(nr) AS DOUBLE) / min(nc)) END END, 0.0), 6) AS bleu,
+          round(coalesce(2.0 * max(CASE WHEN n = 1 THEN h END) / nullif(max(greatest(nc - 0, 0) + greatest(nr - 0, 0)), 0), 0.0), 6) AS rouge_1,
+          round(coalesce(2.0 * max(CASE WHEN n = 2 THEN h END) / nullif(max(greatest(nc - 1, 0) + greatest(nr - 1, 0)), 0), 0.0), 6) AS rouge_2,
+          round(coalesce(2.0 * max(CASE WHEN n = 3 THEN h END) / nullif(max(greatest(nc - 2, 0) + greatest(nr - 2, 0)), 0), 0.0), 6) AS rouge_3,
+          round(coalesce(2.0 * max(CASE WHEN n = 4 THEN h END) / nullif(max(greatest(nc - 3, 0) + greatest(nr - 3, 0)), 0), 0.0), 6) AS rouge_4 FROM x GROUP BY k"""),
     "exact_match": _on(TURNS, r"""SELECT conversation_id, pos, list_filter(regexp_split_to_array(lower(coalesce("user", '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') = list_filter(regexp_split_to_array(lower(coalesce(assistant, '')), '[^\p{L}\p{N}_]+'), lambda x: x <> '') AS same FROM t"""),
     "property_bag": """SELECT rec_id, CAST((rec_id IS NOT NULL)::INT + (graph_id IS NOT NULL)::INT + (entity_type IS NOT NULL)::INT + (name IS NOT NULL)::INT + (source_file IS NOT NULL)::INT + (start_line IS NOT NULL)::INT + (end_line IS NOT NULL)::INT + (start_byte IS NOT NULL)::INT + (end_byte IS NOT NULL)::INT
         + (parent_type IS NOT NULL)::INT + (parent_name IS NOT NULL)::INT + (module_name IS NOT NULL)::INT + (imported_items IS NOT NULL)::INT + (description IS NOT NULL)::INT + (indexed_at IS NOT NULL)::INT AS INTEGER) AS n_properties,

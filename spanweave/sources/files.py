@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +27,22 @@ def decoded(raw: DataFrame) -> DataFrame:
     return raw.mapInArrow(run, "path string, content string")
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, wherever Hadoop's file systems reach."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def cloned(url: str, folder: str) -> str:
+    """A shallow clone of a repository into a folder that all executors share; the folder. Needs git; a failure raises."""
+    subprocess.run(["git", "clone", "--quiet", "--depth", "1", "--", url, folder], check=True, capture_output=True)
+    return folder
+
+
 def json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of objects."""
     return spark.read.option("multiLine", True).schema(schema).json(path)
