@@ -38,7 +38,7 @@ def naming_class(name: Column) -> Column:
     return F.when(F.contains(name, F.lit("_")), "snake_case").when(F.substring(name, 1, 1).rlike(r"^\p{Lu}"), "PascalCase").when(rest.rlike(r"\p{Lu}"), "camelCase").otherwise("snake_case")
 
 
-#: What names are read by; the variable pattern enters each word once, at its start.
+#: What names are read by (fixed values, which define the published vote); the variable pattern enters each word once, at its start.
 NAME_PATTERNS = {"class": r"class\s+([A-Za-z0-9_]+)", "function": r"def\s+([A-Za-z0-9_]+)", "variable": r"(?<![A-Za-z0-9_])[A-Z0-9_]*+([a-z][A-Za-z0-9_]++)\s*="}
 
 
@@ -53,14 +53,21 @@ def naming_counts(text: Column) -> Column:
     return F.struct(*[_style_counts(F.regexp_extract_all(text, F.lit(p), F.lit(1))).alias(k) for k, p in NAME_PATTERNS.items()])
 
 
+#: What errors and comments are counted by (fixed values).
+ERROR_PATTERNS = {"n_try": "try:", "n_specific": r"except\s+[A-Za-z0-9_]+", "n_bare": "except:"}
+DOC_PATTERNS = {"n_double": r'(?s)""".*?"""', "n_single": r"(?s)'''.*?'''", "n_hash": "#"}
+
+
+def _pattern_counts(text: Column, patterns: dict[str, str]) -> Column:
+    return F.struct(*[F.regexp_count(text, F.lit(p)).cast("long").alias(k) for k, p in patterns.items()])
+
+
 def error_counts(text: Column) -> Column:
-    n = lambda p, a: F.regexp_count(text, F.lit(p)).cast("long").alias(a)
-    return F.struct(n("try:", "n_try"), n(r"except\s+[A-Za-z0-9_]+", "n_specific"), n("except:", "n_bare"))
+    return _pattern_counts(text, ERROR_PATTERNS)
 
 
 def doc_counts(text: Column) -> Column:
-    n = lambda p, a: F.regexp_count(text, F.lit(p)).cast("long").alias(a)
-    return F.struct(n(r'(?s)""".*?"""', "n_double"), n(r"(?s)'''.*?'''", "n_single"), n("#", "n_hash"))
+    return _pattern_counts(text, DOC_PATTERNS)
 
 
 def _counted(chunks: DataFrame, counts: Column, by: str, key: str | None) -> DataFrame:

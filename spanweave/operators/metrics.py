@@ -175,15 +175,23 @@ def description_stats(g: Graph) -> DataFrame:
     )
 
 
+#: Factors and bounds of the score and its grades (fixed values).
+PER_NODE, USE, USE_OFF, DENSITY, SHARE = 8, 36, 1, 25_000, 25
+GRADES = {"overall": (40, 70), "per_node": (1, 3), "use": (0.5, 0.7)}
+DEFAULTS_POOR, DEFAULTS_FAIR = 80, 20
+
+
 def quality_score(g: Graph, chunks: DataFrame) -> DataFrame:
-    """The four partial scores of 0-25, their mean on 0-100 and the grades."""
-    d = graph_density(g).join(token_stats(chunks).select("graph_id", "avg_tokens"), "graph_id").join(description_stats(g).select("graph_id", "pct_default"), "graph_id")
+    """The four partial scores of 0-25, their sum on 0-100 and the grades. A graph without chunks or without described
+    entities has 0 for that part."""
+    d = graph_density(g).join(token_stats(chunks).select("graph_id", "avg_tokens"), "graph_id", "left").join(description_stats(g).select("graph_id", "pct_default"), "graph_id", "left")
+    d = d.fillna(0.0, ["avg_tokens"]).fillna(100.0, ["pct_default"])
     cap = lambda c: F.least(F.lit(25.0), F.greatest(F.lit(0.0), c))
     use = F.col("avg_tokens") / TOKEN_LIMIT
-    d = d.select("graph_id", cap(F.col("per_node") * 8).alias("graph_score"), cap(use * 36 - 1).alias("chunk_score"), cap(25 * (1 - F.col("pct_default") / 100)).alias("entity_score"), cap(F.col("density") * 25000).alias("connectivity_score"), "per_node", use.alias("use"), "pct_default")
-    total = (F.col("graph_score") + F.col("chunk_score") + F.col("entity_score") + F.col("connectivity_score")) / 4 * 4
+    d = d.select("graph_id", cap(F.col("per_node") * PER_NODE).alias("graph_score"), cap(use * USE - USE_OFF).alias("chunk_score"), cap(SHARE * (1 - F.col("pct_default") / 100)).alias("entity_score"), cap(F.col("density") * DENSITY).alias("connectivity_score"), "per_node", use.alias("use"), "pct_default")
+    total = (F.col("graph_score") + F.col("chunk_score") + F.col("entity_score") + F.col("connectivity_score"))
     grade = lambda c, lo, hi: F.when(c < lo, "poor").when(c < hi, "fair").otherwise("good")
     d = d.withColumn("overall", total)
     return d.select("graph_id", *[F.round(c, 6).alias(c) for c in ("graph_score", "chunk_score", "entity_score", "connectivity_score", "overall")],
-                    grade(F.col("overall"), 40, 70).alias("grade"), grade(F.col("per_node"), 1, 3).alias("graph_grade"), grade(F.col("use"), 0.5, 0.7).alias("chunk_grade"),
-                    F.when(F.col("pct_default") > 80, "poor").when(F.col("pct_default") > 20, "fair").otherwise("good").alias("entity_grade"))
+                    grade(F.col("overall"), *GRADES["overall"]).alias("grade"), grade(F.col("per_node"), *GRADES["per_node"]).alias("graph_grade"), grade(F.col("use"), *GRADES["use"]).alias("chunk_grade"),
+                    F.when(F.col("pct_default") > DEFAULTS_POOR, "poor").when(F.col("pct_default") > DEFAULTS_FAIR, "fair").otherwise("good").alias("entity_grade"))

@@ -1,8 +1,9 @@
 """Exact vector search: every query vector against all vectors, in blocks.
 
-Vectors stream through Arrow batches; for each block of queries a partition keeps its own k best by one matrix
-product, so k rows per query and partition are shuffled, whatever the number of vectors. A block is the only thing
-on the driver and in the closure and is bounded by `block` rows. Squared Euclidean distance in doubles.
+Up to one block of queries goes to the tasks with the closure: vectors stream through Arrow batches, a partition keeps
+its own k best by one matrix product, and k rows per query and partition are shuffled. More queries than that are cut
+into blocks by hash, vectors too, and each pair of blocks is one group of a join: nothing is collected, no block is
+larger than its bound allows, and k rows per query and block of vectors are left. Squared Euclidean distance in doubles.
 
 Null vectors and vectors of another length than the query match nothing; ties go to the smaller id; k larger than
 the table gives all rows."""
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,8 @@ from pyspark.sql.window import Window as W
 
 from spanweave.functions.similarity import squared_l2
 
-BLOCK = 4096
+#: Queries in a block; vectors in a block of the join.
+BLOCK, VECTORS = 4096, 65_536
 
 
 def topk_block(vectors: DataFrame, ids: list[int], queries: np.ndarray, k: int) -> DataFrame:
@@ -59,27 +62,47 @@ def topk_block(vectors: DataFrame, ids: list[int], queries: np.ndarray, k: int)
     return vectors.mapInArrow(run, "query_id long, vec_id long, distance double")
 
 
+def _block_join(v: DataFrame, q: DataFrame, k: int, block: int, most: int = VECTORS) -> DataFrame:
+    """(query_id, vec_id, distance): the k nearest vectors of each query out of each block of vectors."""
+    n_q, n_v = (max(1, -(-d.count() // size)) for d, size in ((q, block // 2), (v, most // 2)))  # half full on average
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("vb", every(n_v))
+    right = v.withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.lit(n_v))).withColumn("qb", every(n_q))
+
+    def nearest(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, float]] = []
+        size = rows["embedding"].map(len) if len(rows) else None
+        for dims, group in queries.groupby(queries["q"].map(len)) if len(queries) and len(rows) else ():
+            near = rows[size == dims]
+            x = np.array(near["embedding"].tolist(), dtype=np.float64).reshape(len(near), dims)
+            ids = near["vec_id"].to_numpy()
+            whole = ~np.isnan(x).any(axis=1)
+            x, ids = x[whole], ids[whole]
+            for i, one in zip(group["query_id"], group["q"]):
+                d = np.round(((x - np.asarray(one, dtype=np.float64)) ** 2).sum(axis=1), 12)
+                least = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                for j in least[np.lexsort((ids[least], d[least]))][:k]:
+                    out.append((i, ids[j], d[j]))
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"]).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
+
+    return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(nearest, "query_id long, vec_id long, distance double")
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, distance). `vectors` and `queries` have (id, embedding); the distances reported are
     recomputed by a JVM expression on the winners."""
     v = vectors.select(vectors.columns[0], vectors.columns[1]).toDF("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     q = queries.select(queries.columns[0], queries.columns[1]).toDF("query_id", "q").where("query_id is not null and q is not null")
-    out, after = None, None
-    while True:
-        part = (q if after is None else q.where(F.col("query_id") > after)).orderBy("query_id").limit(block).collect()  # one bounded block
-        if not part:
-            break
-        after = part[-1]["query_id"]
+    first = q.orderBy("query_id").limit(block + 1).collect()
+    if len(first) > block:
+        out = _block_join(v, q, k, block)
+    else:
         by_len: dict[int, list] = {}
-        for r in part:
+        for r in first:
             by_len.setdefault(len(r["q"]), []).append(r)
-        for rows in by_len.values():
-            got = topk_block(v, [r["query_id"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64), k)
-            out = got if out is None else out.unionByName(got)
-        if len(part) < block:
-            break
-    if out is None:
         out = v.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
+        for rows in by_len.values():
+            out = out.unionByName(topk_block(v, [r["query_id"] for r in rows], np.array([r["q"] for r in rows], dtype=np.float64), k))
     w = W.partitionBy("query_id").orderBy(F.round("distance", 12), "vec_id")
     best = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("distance")
     best = best.join(q, "query_id").join(v, "vec_id")

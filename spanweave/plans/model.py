@@ -1,13 +1,15 @@
 """The seam for a language model, with deterministic behaviour without one.
 
-A model is anything with `invoke(prompt) -> str`. Calls happen on the driver, one per question or per bounded set of
-rows; without a model every step has a rule."""
+A model is anything with `invoke(prompt) -> str`. A question's calls happen on the driver, one per step; descriptions of
+entities are asked for in the tasks. Without a model every step has a rule."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +36,22 @@ def expand(question: str, model: Model | None) -> str:
     return f"{question} {first}" if first else question
 
 
-def describe(entities: DataFrame, model: Model | None, most: int = 200) -> DataFrame:
-    """Entities with a description each. A model describes at most `most` entities without one, the first by id; all
-    others get the default."""
-    filled = entities.withColumn("description", default_description(F.col("description"), F.col("entity_type"), F.col("name")))
-    if model is None:
-        return filled
-    todo = entities.where("description is null").orderBy("id").limit(most).select("id", "entity_type", "name", "snippet").collect()
-    said = [(r["id"], model.invoke(f"Describe in one sentence the {r['entity_type']} {r['name']}:\n{(r['snippet'] or '')[:500]}").strip()) for r in todo]
-    if not said:
-        return filled
-    new = entities.sparkSession.createDataFrame(said, "id string, said string")
-    return filled.join(new, "id", "left").withColumn("description", F.coalesce(F.nullif("said", F.lit("")), "description")).drop("said")
+def describe(entities: DataFrame, model: Model | None) -> DataFrame:
+    """Entities with a description each. A model describes those without one, where they are: it goes to the tasks, so
+    it must be picklable. What it says nothing of gets the default."""
+    rows = entities
+    if model is not None:
+        kept = [c for c in entities.columns if c != "description"]
+        todo = entities.where("description is null").select("id", "entity_type", "name", "snippet")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                said = [model.invoke(f"Describe in one sentence the {t} {n}:\n{(s or '')[:500]}").strip() for t, n, s in zip(*(b.column(c).to_pylist() for c in ("entity_type", "name", "snippet")))]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(said, pa.string())], names=["id", "said"])
+
+        said = todo.mapInArrow(run, "id string, said string")
+        rows = entities.join(said, "id", "left").select(*kept, F.coalesce("description", F.nullif("said", F.lit(""))).alias("description")).select(*entities.columns)
+    return rows.withColumn("description", default_description(F.col("description"), F.col("entity_type"), F.col("name")))
 
 
 def answer(question: str, context: str, model: Model | None) -> str:
@@ -66,9 +72,17 @@ def rerank_order(question: str, texts: list[str], model: Model | None) -> list[i
     return sorted(plain[:10], key=lambda i: (-scores[i], i)) + plain[10:]
 
 
+#: What the scores of a verdict mean, by metric (lower case).
+RUBRIC = {
+    "relevance": "how much of it bears on the question", "completeness": "how much of the question it covers", "accuracy": "how far it agrees with the code", "faithfulness": "how far the context bears it out",
+    "clarity": "how easily it is followed", "specificity": "how far it names files, functions and lines", "diversity": "how many different parts of the code it draws on",
+}
+
+
 def judge_answer(question: str, context: str, answered: str, metrics: list[str], model: Model) -> dict[str, int]:
-    """A model's score of each metric; 0 where it gives none."""
-    said = model.invoke(f"Score the answer, one line `Metric (1-10): n` for each of {', '.join(metrics)}.\nQuestion: {question}\nContext: {context[:4000]}\nAnswer: {answered}")
+    """A model's score of each metric; 0 where it gives none. With the context as what is judged, a retrieval is."""
+    rubric = "\n".join(f"{m}: {RUBRIC.get(m.lower(), 'how good it is in this')}" for m in metrics)
+    said = model.invoke(f"Score the answer from 1 (not at all) to 10 (wholly), one line `Metric (1-10): n` for each of {', '.join(metrics)}.\n{rubric}\nThen `Overall analysis:` and `Suggestions:` with a sentence each.\nQuestion: {question}\nContext: {context[:4000]}\nAnswer: {answered}")
     got = {m: re.search(rf"{re.escape(m)}\s*\(?1-10\)?\s*:\s*(\d+)", said, re.I) for m in metrics}
     return {m: int(x.group(1)) if x else 0 for m, x in got.items()}
 

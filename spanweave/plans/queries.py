@@ -5,7 +5,7 @@ an index is, and shared by the queries on it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +20,20 @@ from spanweave.session import _ON_RELEASE, cut_lineage, table
 from spanweave.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-_GRAPHS: dict[tuple[str, str, str], Graph] = {}
+_GRAPHS: dict[tuple, Graph] = {}
 _ON_RELEASE.append(_GRAPHS.clear)
 QUESTION = "How does the parser handle a broken registry and the index of tokens?"
 
 
-def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Graph]) -> Graph:
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+def _state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and last change of a table, to tell when what was built from it is old."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength(), fs.getFileStatus(p).getModificationTime()
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, tables: Sequence[str], build: Callable[[], Graph]) -> Graph:
+    key = (spark.sparkContext.applicationId, sf_dir, kind, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
     if key not in _GRAPHS:
         g = build()
         _GRAPHS[key] = Graph(cut_lineage(g.nodes), cut_lineage(g.edges))
@@ -34,11 +41,11 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, build: Callable[[], Gra
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    return _stored(spark, sf_dir, "code", lambda: graph_of_unique(cut_lineage(dedup.unique_entities(dedup.valid_entities(table(spark, sf_dir, "entities"))))))
+    return _stored(spark, sf_dir, "code", ["entities"], lambda: graph_of_unique(cut_lineage(dedup.unique_entities(dedup.valid_entities(table(spark, sf_dir, "entities"))))))
 
 
 def star_of(spark: SparkSession, sf_dir: str) -> Graph:
-    return _stored(spark, sf_dir, "star", lambda: star_graph(spark, sf_dir))
+    return _stored(spark, sf_dir, "star", ["region", "nation", "customer", "supplier", "orders", "part", "lineitem"], lambda: star_graph(spark, sf_dir))
 
 
 def _g(run: Callable[[Graph], DataFrame]) -> Query:
@@ -419,8 +426,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT graph_id, count(*) AS n_components, max(n) AS largest FROM cn GROUP BY graph_id""",
     "duplicate_keys": _on(GRAPH, "SELECT graph_id, id, count(*) AS n FROM nodes GROUP BY ALL HAVING count(*) > 1"),
     "quality_score": _on(GRAPH + "," + _SCORES + "," + CHUNKS, """, s AS (SELECT dd.graph_id, least(25.0, greatest(0.0, per_node * 8)) AS a, use, least(25.0, greatest(0.0, use * 36 - 1)) AS b, least(25.0, greatest(0.0, 25 * (1 - pct_default / 100))) AS e, least(25.0, greatest(0.0, density * 25000)) AS f, per_node, pct_default
-          FROM dd JOIN (SELECT graph_id, round(avg(tokens), 6) / 1050 AS use FROM c GROUP BY 1) t USING (graph_id) JOIN ds USING (graph_id))
-        SELECT graph_id, round(a, 6) AS graph_score, round(b, 6) AS chunk_score, round(e, 6) AS entity_score, round(f, 6) AS connectivity_score, round((a + b + e + f) / 4 * 4, 6) AS overall,
+          FROM (SELECT dd.*, coalesce(t.use, 0) AS use, coalesce(ds.pct_default, 100) AS pct_default FROM dd LEFT JOIN (SELECT graph_id, round(avg(tokens), 6) / 1050 AS use FROM c GROUP BY 1) t USING (graph_id) LEFT JOIN ds USING (graph_id)) dd)
+        SELECT graph_id, round(a, 6) AS graph_score, round(b, 6) AS chunk_score, round(e, 6) AS entity_score, round(f, 6) AS connectivity_score, round(a + b + e + f, 6) AS overall,
           CASE WHEN a + b + e + f < 40 THEN 'poor' WHEN a + b + e + f < 70 THEN 'fair' ELSE 'good' END AS grade, CASE WHEN per_node < 1 THEN 'poor' WHEN per_node < 3 THEN 'fair' ELSE 'good' END AS graph_grade,
           CASE WHEN use < 0.5 THEN 'poor' WHEN use < 0.7 THEN 'fair' ELSE 'good' END AS chunk_grade, CASE WHEN pct_default > 80 THEN 'poor' WHEN pct_default > 20 THEN 'fair' ELSE 'good' END AS entity_grade FROM s"""),
     "call_coverage": _on(GRAPH, "SELECT graph_id, count(*) AS n_calls, count(*) FILTER (NOT (starts_with(dst, 'PotentialFunction:') OR starts_with(dst, 'BuiltinFunction:'))) AS n_resolved, round(count(*) FILTER (NOT (starts_with(dst, 'PotentialFunction:') OR starts_with(dst, 'BuiltinFunction:'))) / count(*), 6) AS coverage FROM edges WHERE rel_type = 'CALLS' GROUP BY 1"),

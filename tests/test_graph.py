@@ -177,3 +177,43 @@ def test_a_broken_file_keeps_its_entities():
     rows = {r["name"]: r["snippet"] for r in extract(text) if r["entity_type"] == "Function"}
     assert rows["ok"] == "def ok(self):\n        return a()"
     assert extract("def f(:\n") == [] and extract("((((") == [] and extract("\x00") == [] and extract(None) == []
+
+
+def test_more_queries_than_a_block(spark):
+    import numpy as np
+
+    from spanweave.operators import vectors
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (300, 4)).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(900, None), (901, [1.0]), (902, [1.0, None, 0.0, 2.0])], "id long, e array<double>")
+    q = v.where("id < 40 or id > 899")
+    one, many = (sorted(map(tuple, vectors.topk(v, q, 3, block=b).collect())) for b in (4096, 8))
+    assert one == many
+    for i in range(40):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        assert [r[2] for r in many if r[0] == i] == np.lexsort((np.arange(300), d))[:3].tolist()
+
+
+def test_reports_and_clones(spark, tmp_path):
+    import subprocess
+
+    from spanweave.operators import report
+    from spanweave.plans.model import describe
+    from spanweave.sources.files import cloned
+
+    s = spark.createDataFrame([("a<b", 71.5), ("g", 12.0)], "graph_id string, overall double")
+    page = report.html_report(s)
+    assert "a&lt;b" in page and 'green">72' in page and 'red">12' in page and page.count("<tr>") == 2
+    svg = report.bar_chart(spark.createDataFrame([("x", 3), ("y", 9)], "t string, n int"), "t", "n", 1)
+    assert svg.count("<rect") == 1 and "y: 9" in svg and 'width="400"' in svg
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path / "r"), *a], check=True, capture_output=True)
+    (tmp_path / "r").mkdir()
+    git("init", "-q")
+    (tmp_path / "r" / "a.py").write_text("x = 1\n")
+    git("add", "-A")
+    git("-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "one")
+    assert (tmp_path / "c" / "a.py").exists() if cloned(f"file://{tmp_path}/r", str(tmp_path / "c")) else False
+    e = spark.createDataFrame([("1", "Function", "f", "s", None), ("2", "Class", "C", None, "Known.")], "id string, entity_type string, name string, snippet string, description string")
+    said = type("M", (), {"invoke": lambda self, prompt: "Says f." if " f:" in prompt else ""})()
+    assert {r["id"]: r["description"] for r in describe(e, said).collect()} == {"1": "Says f.", "2": "Known."}
