@@ -49,7 +49,9 @@ def plain_words(text: str) -> list[str]:
 
 
 def own_words(name: str | None) -> set[str]:
-    return set(plain_words(re.sub(r"\(.*$", "", (name or "").strip()).rpartition(".")[2]))
+    """The words of a function's or class's own name, and the name as one word."""
+    words = plain_words(re.sub(r"\(.*$", "", (name or "").strip()).rpartition(".")[2])
+    return {*words, "".join(words)}
 
 
 def _adds_nothing(words: list[str], own: set[str]) -> bool:

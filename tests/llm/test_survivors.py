@@ -123,7 +123,7 @@ def test_search_changes_the_choice(spark):
 
 
 def test_names_in_mixed_case_describe_nothing(spark):
-    for text in ("Function LocalPlannerWalker.", "The LocalPlannerWalker function", "local planner walker", "This description is missing and not yet available, please add the documentation here later, it could not be generated, TODO"):
+    for text in ("Function LocalPlannerWalker.", "The LocalPlannerWalker function", "local planner walker", "Localplannerwalker.", "This description is missing and not yet available, please add the documentation here later, it could not be generated, TODO"):
         assert says_nothing(text, "LocalPlannerWalker"), text
     for text in ("LocalPlannerWalker walks rows.", "Plans routes"):
         assert not says_nothing(text, "LocalPlannerWalker"), text
