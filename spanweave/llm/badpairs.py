@@ -122,6 +122,7 @@ class Vocabulary:
         self.at: dict[str, int] = {}
         self.grams: list[int] = []
         self.speaks: list[list[float]] = []
+        self.done: tuple[np.ndarray, np.ndarray] = np.zeros(0, np.uint64), np.zeros((0, len(LANGUAGES)))
         for mask in ("MARK", "NAME", "CODE"):
             self.add(mask, mask, ())
 
@@ -147,7 +148,10 @@ class Vocabulary:
         return [i if (i := at.get(t)) is not None else self.index(t) for t in TOKEN.findall(text)]
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.grams, dtype=np.uint64), np.array(self.speaks, dtype=np.float64)
+        n = len(self.done[0])
+        if n < len(self.grams):  # only what is new is converted
+            self.done = np.concatenate([self.done[0], np.array(self.grams[n:], dtype=np.uint64)]), np.concatenate([self.done[1], np.array(self.speaks[n:], dtype=np.float64)])
+        return self.done
 
 
 def script_and_letter_scores(text: str, n_words: int) -> list[tuple[str, float]]:
@@ -155,7 +159,7 @@ def script_and_letter_scores(text: str, n_words: int) -> list[tuple[str, float]]
     out: list[tuple[str, float]] = []
     if text.isascii():
         return out
-    t = NAMES.sub(" ", MARKS.sub(" ", FENCED.sub("\n", text)))
+    t = NAMES.sub(" ", MARKS.sub(" ", FENCED.sub("\n", text) if "```" in text or "~~~" in text else text))
     if OTHER_SCRIPT.search(t):
         got = {lang: n / (2.0 if lang in ("ja", "zh", "ko") else 4.0) for lang, pattern in SCRIPTS if (n := len(re.findall(pattern, t)))}
         if "ja" in got:
