@@ -55,7 +55,7 @@ FUNCTION_WORDS = {
 }
 WORDS_OF = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 #: Letters that point to one language (fixed values).
-LETTERS = {"de": "ßäöü", "fr": "êèàùâîôûëœç", "es": "ñ¿¡áíóú", "pt": "ãõ"}
+LETTERS = {"de": "ßäöü", "fr": "êèàùâîôûëœç", "es": "ñáíóú", "pt": "ãõ"}
 SCRIPTS = (("ja", r"[\u3040-\u30ff]"), ("zh", r"[\u4e00-\u9fff]"), ("ru", r"[\u0400-\u04ff]"), ("el", r"[\u0370-\u03ff]"), ("ko", r"[\uac00-\ud7af]"), ("ar", r"[\u0600-\u06ff]"), ("he", r"[\u0590-\u05ff]"), ("hi", r"[\u0900-\u097f]"))
 #: Names of languages in the languages of the questions (fixed values).
 LANGUAGE_NAMES = {
@@ -96,7 +96,6 @@ REFUSALS = {
 #: How a topic is put to a refusal that names none.
 ABOUT = {"en": "about", "de": "zu", "fr": "sur", "es": "sobre"}
 FENCED = re.compile(r"^[ ]{0,3}(```+|~~~+)[^\n]*\n.*?(?:^[ ]{0,3}\1[ \t]*$|\Z)", re.M | re.S)
-MARKS = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|&\w+;|\\\w+|\$[^$\n]+\$|\{\{[^{}\n|]*\||\{\|[^\n]*")
 NAMES = re.compile(r"\b\w*[_/\\]\w[\w/\\.]*|\b\w+\.(?:py|ts|json|toml|js|md|txt|html)\b|\b[a-z]*[A-Z]\w*[A-Z]\w*|\w*\d\w*|\b\w+\(\)")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
@@ -111,11 +110,12 @@ def visible(text: str | None) -> bool:
 TOKEN = re.compile(r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,80}>|\w+(?:[./\\]\w+|['’][^\W\d_]+)*(?:\(\))?|[.!?,;:…。！？]")
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", *(k for k, _ in SCRIPTS))
 LETTERS_OF = {k: re.compile(f"[{v}]") for k, v in LETTERS.items()}
-OTHER_SCRIPT = re.compile("[\u0370-\uffff]")
+SCRIPTS_OF = {k: re.compile(v) for k, v in SCRIPTS}
 
 
 class Vocabulary:
-    """What is known of each token met: the hash of its gram and the languages it is a function word of. Names and
+    """What is known of each token met: the hash of its gram and what it says of the languages, as a function word, by its
+    letters or its script. Names and
     marks, which differ endlessly, share one entry each, so that memory follows the words."""
 
     def __init__(self):
@@ -129,7 +129,13 @@ class Vocabulary:
     def add(self, token: str, gram: str, languages: Sequence[str]) -> int:
         self.at[token] = len(self.grams)
         self.grams.append(zlib.crc32(gram.encode("utf-8", "surrogatepass")))
-        self.speaks.append([float(k in languages) for k in LANGUAGES])
+        row = [float(k in languages) for k in LANGUAGES]
+        if not gram.isascii():  # letters that point to a language, signs of a script
+            for lang, letters in LETTERS_OF.items():
+                row[LANGUAGES.index(lang)] += 0.7 * bool(letters.search(gram))
+            for lang, signs in SCRIPTS_OF.items():
+                row[LANGUAGES.index(lang)] += len(signs.findall(gram)) / (2.0 if lang in ("ja", "zh", "ko") else 4.0)
+        self.speaks.append(row)
         return self.at[token]
 
     def index(self, token: str) -> int:
@@ -154,35 +160,22 @@ class Vocabulary:
         return self.done
 
 
-def script_and_letter_scores(text: str, n_words: int) -> list[tuple[str, float]]:
-    """What characters say of the languages, beside the function words."""
-    out: list[tuple[str, float]] = []
-    if text.isascii():
-        return out
-    t = NAMES.sub(" ", MARKS.sub(" ", FENCED.sub("\n", text) if "```" in text or "~~~" in text else text))
-    if OTHER_SCRIPT.search(t):
-        got = {lang: n / (2.0 if lang in ("ja", "zh", "ko") else 4.0) for lang, pattern in SCRIPTS if (n := len(re.findall(pattern, t)))}
-        if "ja" in got:
-            got["ja"] += got.pop("zh", 0)
-        out += got.items()
-    low = t.lower()
-    for lang, pattern in LETTERS_OF.items():
-        letters = pattern.findall(low)
-        n = sum(c not in "¿¡" for c in letters)
-        more = min(n, n_words) * 0.7 + 2.0 * (len(letters) - n)
-        if more:
-            out.append((lang, more))
-    return out
-
-
 def language_table(texts: Sequence[str], tokens: Sequence[list[int]], speaks: np.ndarray) -> np.ndarray:
-    """Scores, texts x LANGUAGES."""
+    """Scores, texts x LANGUAGES: the sums over the tokens. Signs of Japanese count for it with its kana only; the signs
+    that open a Spanish question or exclamation count 2."""
     out = np.zeros((len(texts), len(LANGUAGES)))
-    for i, (text, ids) in enumerate(zip(texts, tokens)):
-        if ids:
-            out[i] = speaks[ids].sum(axis=0)
-        for lang, more in script_and_letter_scores(text, len(ids)):
-            out[i, LANGUAGES.index(lang)] += more
+    sizes = np.array([len(x) for x in tokens], dtype=np.int64)
+    if sizes.sum():
+        full = np.flatnonzero(sizes)
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[full]
+        out[full] = np.add.reduceat(speaks[np.fromiter((i for x in tokens for i in x), dtype=np.int64, count=int(sizes.sum()))], starts, axis=0)
+    ja, zh, es = (LANGUAGES.index(k) for k in ("ja", "zh", "es"))
+    kana = out[:, ja] > 0
+    out[kana, ja] += out[kana, zh]
+    out[kana, zh] = 0
+    for i, text in enumerate(texts):
+        if "¿" in text or "¡" in text:
+            out[i, es] += 2.0 * (text.count("¿") + text.count("¡"))
     return out
 
 
