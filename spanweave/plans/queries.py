@@ -6,6 +6,7 @@ an index is, and shared by the queries on it."""
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def _stored(spark: SparkSession, sf_dir: str, kind: str, tables: Sequence[str],
     key = (spark.sparkContext.applicationId, sf_dir, kind, *(_state(spark, f"{sf_dir}/{t}.parquet") for t in tables))
     if key not in _GRAPHS:
         g = build()
-        _GRAPHS[key] = Graph(cut_lineage(g.nodes), cut_lineage(g.edges))
+        with ThreadPoolExecutor(2) as both:  # two jobs at once, as neither fills the cluster to its end
+            _GRAPHS[key] = Graph(*both.map(cut_lineage, (g.nodes, g.edges)))
     return _GRAPHS[key]
 
 
