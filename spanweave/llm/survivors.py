@@ -232,15 +232,23 @@ def chosen_record(code: dict | None, pos: dict | None, des: dict | None) -> tupl
     places = pos["places"] if pos else []
     codes: list[Candidate] = []
     if code:
+        known: dict[tuple, tuple] = {}
+        for p in [*code["places"], *places]:
+            if p["c"] == code["c"] and p["extent"] is not None:
+                key, t = (p["extent"], p["lines"]), (p["best"]["at"], p["best"]["neg"])
+                known[key] = max(t, known.get(key, t))
         trust = (code["size"], code["at"], code["neg"])
-        known = {(p["extent"], p["lines"]): max((q["best"]["at"], q["best"]["neg"]) for q in [*code["places"], *places] if (q["c"], q["extent"], q["lines"]) == (code["c"], p["extent"], p["lines"]))
-                 for p in [*code["places"], *places] if p["c"] == code["c"] and p["extent"] is not None}
         codes = [((trust, (), (1, *t)), {"code": code["c"], "extent": e, **({"lines": n} if n is not None else {})}) for (e, n), t in known.items()]
         codes = codes or [((trust, (), (0,)), {"code": code["c"]})]
-    where: list[Candidate] = []
+    # of the places of one extent and number of lines only the most trusted can be chosen
+    best: dict[tuple, Candidate] = {}
     for p in places:
-        fields = {k: p[k] for k in ("extent", "lines") if p[k] is not None} | ({"code": code["c"]} if code else {})
-        where.append((((), (p["extent"] is not None, p["lines"] is not None, p["best"]["at"], p["best"]["neg"])), fields | {"place": p}))
+        key = p["extent"], p["lines"]
+        fields = {k: v for k, v in zip(("extent", "lines"), key) if v is not None} | ({"code": code["c"]} if code else {}) | {"place": p}
+        one = ((), (p["extent"] is not None, p["lines"] is not None, p["best"]["at"], p["best"]["neg"])), fields
+        if key not in best or one[0] > best[key][0]:
+            best[key] = one
+    where = list(best.values())
     starts = [(((pos["best"]["at"], pos["best"]["neg"]),), {})] if pos else []
     speaking = [(((des["at"], des["neg"]),), {})] if des else []
     c, s, d, w = choose_bundles([codes, starts, speaking, where], DEPENDENCIES)

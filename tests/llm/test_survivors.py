@@ -129,3 +129,12 @@ def test_names_in_mixed_case_describe_nothing(spark):
         assert not says_nothing(text, "LocalPlannerWalker"), text
     df = frame(spark, [dict(rec_id=1, entity_type="Class", name="RowCache", description="Keeps rows.", snippet="class RowCache:\n    x = 1"), dict(rec_id=2, entity_type="Class", name="RowCache", description="Function RowCache.", indexed_at=T0 + dt.timedelta(days=2), snippet="class RowCache:\n    x = 1")])
     assert out(df) == [(1, 2, 2, 1)]
+
+
+def test_many_places_are_chosen_from_quickly():
+    place = lambda at, neg, c, extent: {"best": {"at": at, "neg": neg}, "c": c, "start_line": 1, "end_line": 2, "extent": extent, "lines": 1}
+    pos = {"best": {"at": 9, "neg": -1}, "places": [place(i % 7, -i, b"k" if i % 3 else None, 10 + i % 40) for i in range(5000)]}
+    code = {"size": 9, "at": 8, "neg": -3, "c": b"k", "places": pos["places"][:50]}
+    got = S.chosen_record(code, pos, None)
+    fine = {p["extent"] for p in pos["places"] if p["c"] == b"k"}
+    assert got[:2] == (3, 1) and got[6] in fine and got[3] == min(i for i in range(5000) if i % 7 == 6 and 10 + i % 40 in fine)
