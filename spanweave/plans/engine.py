@@ -20,7 +20,7 @@ from spanweave.operators.chunking import chunk_files
 from spanweave.operators.dedup import unique_entities, valid_entities
 from spanweave.operators.graph import Graph, graph_of_unique
 from spanweave.plans.model import Model, answer, classify, describe, expand, graph_query, recommend, rerank_order
-from spanweave.sources.files import python_files
+from spanweave.sources.files import index_metadata_row, python_files
 from spanweave.sources.parsing import extract_entities
 
 @dataclass(frozen=True)
@@ -39,10 +39,10 @@ class Retrieved:
 
 class CodeGraphEngine:
     """`model` answers and describes if given; `embed(rows, id_col, text_col)` gives (id, embedding) and defaults to
-    hashed words of `dims` dimensions."""
+    hashed words of `dims` dimensions; `embedding_model` is its name in the metadata of an index."""
 
-    def __init__(self, spark: SparkSession, root: str, dims: int = 64, model: Model | None = None, embed: Callable[[DataFrame, str, str], DataFrame] | None = None):
-        self.spark, self.root, self.dims, self.model = spark, root.rstrip("/"), dims, model
+    def __init__(self, spark: SparkSession, root: str, dims: int = 64, model: Model | None = None, embed: Callable[[DataFrame, str, str], DataFrame] | None = None, embedding_model: str = "hashed words"):
+        self.spark, self.root, self.dims, self.model, self.embedding_model = spark, root.rstrip("/"), dims, model, embedding_model
         self.embed = embed or (lambda rows, i, t: vectors.hash_embedding(rows, i, t, dims))
 
     def _path(self, name: str) -> str:
@@ -75,6 +75,9 @@ class CodeGraphEngine:
         u = self.read("entities", graph_id)
         text = entity_text(F.col("entity_type"), F.col("name"), F.col("source_file"), F.col("start_line"), F.col("parent_type"), F.col("parent_name"), default_description(F.col("description"), F.col("entity_type"), F.col("name")))
         self._write(self.embed(u.select("id", text.alias("text")), "id", "text").withColumn("graph_id", F.lit(graph_id)), "entity_vectors")
+        # the counts are read from the tables just written
+        meta = index_metadata_row(self.spark, graph_id, files, u.count(), c.count(), token_limit, self.embedding_model)
+        self._write(meta.withColumn("graph_id", F.lit(graph_id)), "index_metadata")
         row = self.spark.createDataFrame([(graph_id, name, folder, user_id)], "graph_id string, name string, folder_path string, user_id string").withColumn("created_at", F.current_timestamp())
         self._write(row, "graphs")
 
@@ -215,6 +218,6 @@ class CodeGraphEngine:
             raise KeyError(f"no graph {graph_id} of {user_id}")
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for name in ("turns", "entities_raw", "entities", "nodes", "edges", "chunks", "chunk_vectors", "entity_vectors", "graphs"):
+        for name in ("turns", "index_metadata", "entities_raw", "entities", "nodes", "edges", "chunks", "chunk_vectors", "entity_vectors", "graphs"):
             p = jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/graph_id={graph_id}")
             p.getFileSystem(conf).delete(p, True)

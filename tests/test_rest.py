@@ -185,6 +185,8 @@ def test_engine_end_to_end(spark, tmp_path):
     e.index(str(src), "g1", "n", "u")
     e.index(str(src / "sub"), "g2", "n", "u")
     assert e.graphs("u").count() == 2 and e.graph("g1").nodes.where("name = 'Loader'").count() == 1
+    meta = e.read("index_metadata", "g1").first()
+    assert meta["num_unique_entities_processed"] == e.read("entities", "g1").count() and meta["token_limit_per_chunk"] == 1050 and len(meta["processed_files"]) == 2
     r = e.retrieve("How does the Loader load its rows?", "g1")
     assert r.intent == "code_explanation" and r.entities.count() > 0 and r.chunks.count() > 0
     assert "Relations" in e.context(r, "g1") and "def helper" in e.context(r, "g1")
