@@ -63,16 +63,25 @@ def indirect_impacts(g: Graph, targets: DataFrame | None = None) -> DataFrame:
 
 
 def test_reach(g: Graph, targets: DataFrame | None = None, hops: int = 3) -> DataFrame:
-    """(target, files): the distinct files with `test` in their path from which 1..hops calls reach the target."""
+    """(target, files): the distinct files with `test` in their path from which 1..hops calls reach the target.
+
+    What goes along the calls is (node, file), distinct per step, not (target, caller): callers of one file count once.
+    Given targets, only calls that lead to one within `hops` are followed."""
     t = targets if targets is not None else g.nodes.where("entity_type in ('Function', 'Class')")
-    e = pairs(g, "CALLS").select("graph_id", F.col("src").alias("caller"), F.col("dst").alias("at"))
-    step = t.select("graph_id", F.col("id").alias("target_id"), F.col("id").alias("at"))
+    t = t.select("graph_id", F.col("id").alias("dst")).distinct()
+    e = pairs(g, "CALLS")
+    if targets is not None:
+        near = t
+        for _ in range(hops - 1):
+            near = near.unionByName(e.join(near, ["graph_id", "dst"], "left_semi").select("graph_id", F.col("src").alias("dst"))).distinct()
+        e = e.join(near, ["graph_id", "dst"], "left_semi")
+    step = g.nodes.where(F.contains("source_file", F.lit("test"))).select("graph_id", F.col("id").alias("src"), "source_file")
     seen = None
     for _ in range(hops):
-        step = step.join(e, ["graph_id", "at"]).select("graph_id", "target_id", F.col("caller").alias("at")).distinct()
+        step = step.join(e, ["graph_id", "src"]).select("graph_id", F.col("dst").alias("src"), "source_file").distinct()
         seen = step if seen is None else seen.unionByName(step)
-    files = g.nodes.where(F.contains("source_file", F.lit("test"))).select("graph_id", F.col("id").alias("at"), "source_file")
-    return seen.join(files, ["graph_id", "at"]).groupBy("graph_id", "target_id").agg(F.array_join(F.array_sort(F.collect_set("source_file")), ",").alias("test_files"))
+    seen = seen.withColumnRenamed("src", "dst").join(t, ["graph_id", "dst"], "left_semi")
+    return seen.groupBy("graph_id", F.col("dst").alias("target_id")).agg(F.array_join(F.array_sort(F.collect_set("source_file")), ",").alias("test_files"))
 
 
 def risk_level(g: Graph, targets: DataFrame | None = None) -> DataFrame:
