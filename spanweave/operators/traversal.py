@@ -125,26 +125,59 @@ def induced_edges(g: Graph, ids: DataFrame) -> DataFrame:
     return e.select(*key, F.col("src").alias("source_id"), "rel_type", "degree", F.col("dst").alias("target_id"), "priority")
 
 
-def similar_names(g: Graph, seeds: DataFrame, limit: int = 10, least: float = 0.7, salts: int = 16) -> DataFrame:
+def similar_names(g: Graph, seeds: DataFrame, limit: int = 10, least: float = 0.7, salts: int = 16, block: int = 4_000_000) -> DataFrame:
     """Nodes of the same type as a start node whose name contains its name, is contained in it, or is alike by
     Jaro-Winkler over `least`; the first `limit` per start node by id.
 
     A search: the start nodes are asked against all. Names are compared, not nodes: each different name of a type once,
     spread over `salts` parts that the start nodes' names are repeated for, so no type is a hot key. Of the nodes of a
     name only the first `limit` + 1 by id can come out. The Python function sees only what containment does not
-    decide."""
+    decide.
+
+    Beyond `block` pairs of names the nodes are gone through in the order of their ids, a first range of about that
+    many pairs, then ranges that reach eight times as far each; a start node with `limit` hits needs no later range, one
+    without goes through all."""
+    from spanweave.session import cut_lineage
+
     n = g.nodes.where("name is not null").select("graph_id", "id", "name", "entity_type")
     s = n.where("entity_type in ('Function', 'Class', 'Method')").join(seeds.select("graph_id", "id").distinct(), ["graph_id", "id"], "left_semi")
-    s = s.select(F.col("graph_id").alias("seed_graph"), F.col("id").alias("seed_id"), F.col("name").alias("seed_name"), "entity_type")
+    s = cut_lineage(s.select(F.col("graph_id").alias("seed_graph"), F.col("id").alias("seed_id"), F.col("name").alias("seed_name"), "entity_type"))
     r = F.row_number().over(W.partitionBy("entity_type", "name").orderBy("id", "graph_id"))
-    first = n.join(s.select("entity_type").distinct(), "entity_type", "left_semi").withColumn("r", r).where(F.col("r") <= limit + 1).drop("r")
-    names = first.select("entity_type", "name").distinct().withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)))
-    asked = s.select("entity_type", "seed_name").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    p = names.join(asked, ["entity_type", "salt"]).withColumn("inside", F.contains("name", F.col("seed_name")) | F.contains("seed_name", F.col("name")))
-    hit = p.where("inside").unionByName(p.where("not inside").where(jaro_winkler("seed_name", "name") > least)).select("entity_type", "seed_name", "name")
-    hit = s.join(hit, ["entity_type", "seed_name"]).join(first, ["entity_type", "name"]).where("id <> seed_id")
-    r = F.row_number().over(W.partitionBy("seed_graph", "seed_id").orderBy("id", "graph_id"))
-    return hit.withColumn("r", r).where(F.col("r") <= limit).select("seed_id", "seed_name", "id", "name", "entity_type", "graph_id")
+    first = cut_lineage(n.join(s.select("entity_type").distinct(), "entity_type", "left_semi").withColumn("r", r).where(F.col("r") <= limit + 1).drop("r"))
+    many = lambda df, name: df.groupBy("entity_type").agg(F.countDistinct(name).alias(name))
+    most = many(first, "name").join(many(s, "seed_name"), "entity_type").agg(F.max(F.col("name") * F.col("seed_name"))).first()[0] or 0
+    parts = min(-(-most // block), 512)
+    if parts > 1:
+        first = cut_lineage(first.repartitionByRange(parts * first.select("entity_type").distinct().count(), "entity_type", "id", "graph_id").withColumn("part", F.spark_partition_id()))
+        first = first.join(first.groupBy("entity_type").agg(F.min("part").alias("low")), "entity_type").withColumn("part", F.col("part") - F.col("low")).drop("low")
+
+    def hits(s: DataFrame, first: DataFrame) -> DataFrame:
+        names = first.select("entity_type", "name").distinct().withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)))
+        asked = s.select("entity_type", "seed_name").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+        apart = lambda df: df.repartition(4 * salts, "entity_type", "salt")  # noqa: E731  a number given, as these are few bytes that would else be put together for one task
+        p = apart(names).join(apart(asked), ["entity_type", "salt"]).withColumn("inside", F.contains("name", F.col("seed_name")) | F.contains("seed_name", F.col("name")))
+        hit = p.where("inside").unionByName(p.where("not inside").where(jaro_winkler("seed_name", "name") > least)).select("entity_type", "seed_name", "name")
+        return firsts(s.join(hit, ["entity_type", "seed_name"]).join(first, ["entity_type", "name"]).where("id <> seed_id"))
+
+    def firsts(hit: DataFrame) -> DataFrame:
+        r = F.row_number().over(W.partitionBy("seed_graph", "seed_id").orderBy("id", "graph_id"))
+        return hit.withColumn("r", r).where(F.col("r") <= limit).select("seed_graph", "seed_id", "seed_name", "id", "name", "entity_type", "graph_id")
+
+    if parts <= 1:
+        found = hits(s, first)
+    else:
+        found, low, high = None, 0, 1
+        while True:
+            last = high >= parts
+            got = hits(s, first.where(F.col("part") >= low if last else F.col("part").between(low, high - 1)))
+            found = cut_lineage(got) if found is None else found.unionByName(cut_lineage(got))
+            if last:
+                break
+            full = found.groupBy("seed_graph", "seed_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+            s = cut_lineage(s.join(full, ["seed_graph", "seed_id"], "left_anti"))
+            low, high = high, high * 8
+        found = firsts(found)
+    return found.select("seed_id", "seed_name", "id", "name", "entity_type", "graph_id")
 
 
 def related_functions(g: Graph, seeds: DataFrame, limit: int = 15) -> DataFrame:

@@ -67,3 +67,44 @@ def test_test_reach_equals_a_walk(spark, seed):
 
     assert {r["target_id"]: r["test_files"] for r in traversal.test_reach(g).collect()} == want([i for i in ids if kind[i] == "Function"])
     assert {r["target_id"]: r["test_files"] for r in traversal.test_reach(g, g.nodes.where("id in ('n1', 'n2', 'n3')")).collect()} == want(["n1", "n2", "n3"])
+
+
+def test_similar_names_compares_in_ranges_until_enough(spark):
+    """A block of few pairs, so that ranges are used; equal to all pairs at once, with far fewer of them compared."""
+    from spanweave.functions.similarity import jaro_winkler_text
+
+    rng = random.Random(3)
+    words = ["load", "parse", "index", "token", "graph", "cache", "merge", "split"]
+    names = ["_".join(rng.choice(words) for _ in range(rng.randint(1, 3))) + rng.choice(["", "s", "_all"]) for _ in range(500)] + ["qqq", "zzz", "qqq"]
+    rows = [(f"{rng.randrange(10**6):06}{i}", "Class" if i % 5 == 0 else "Function", x, "f.py") for i, x in enumerate(names)]
+    g = a_graph(spark, rows, [("a", "b")])
+    asked = {i for i, _, _, _ in rows[::9]} | {rows[-1][0], rows[-2][0]}
+    seeds = g.nodes.where(F.col("id").isin(*asked))
+
+    def alike(a, b):
+        return a in b or b in a or jaro_winkler_text(a, b) > 0.7
+
+    want = {(s, i) for s, t, a, _ in rows if s in asked for i in sorted(i for i, u, b, _ in rows if u == t and i != s and alike(a, b))[:10]}
+    for block in (500, 4_000_000):
+        got = traversal.similar_names(g, seeds, block=block).collect()
+        assert {(r["seed_id"], r["id"]) for r in got} == want and len(got) == len(want)
+
+
+def test_similar_names_leaves_out_later_ranges(spark, monkeypatch):
+    """Every name is alike to every other: after the first range nothing is compared any more."""
+    rows = [(f"n{i:04}", "Function", f"load_table_{i:04}", "f.py") for i in range(2000)]
+    g = a_graph(spark, rows, [("a", "b")])
+    n = spark.sparkContext.accumulator(0)
+
+    from spanweave.functions.similarity import jaro_winkler_text
+
+    @F.udf("double")
+    def counting(a, b):
+        n.add(1)
+        return jaro_winkler_text(a, b)
+
+    monkeypatch.setattr(traversal, "jaro_winkler", counting)
+    seeds = g.nodes.where("id like 'n%00'")
+    got = traversal.similar_names(g, seeds, **({"block": 2000} if "block" in traversal.similar_names.__code__.co_varnames else {})).collect()
+    assert len(got) == 200 and {r["id"] for r in got} <= {f"n{i:04}" for i in range(11)}
+    assert n.value < 20_000  # of 40000 pairs
