@@ -108,3 +108,29 @@ def test_similar_names_leaves_out_later_ranges(spark, monkeypatch):
     got = traversal.similar_names(g, seeds, **({"block": 2000} if "block" in traversal.similar_names.__code__.co_varnames else {})).collect()
     assert len(got) == 200 and {r["id"] for r in got} <= {f"n{i:04}" for i in range(11)}
     assert n.value < 20_000  # of 40000 pairs
+
+
+@pytest.mark.parametrize("heavy", [0, 20, 1000])
+@pytest.mark.parametrize("ahead", [1, 3])
+def test_centrality_counts_what_can_be_among_the_first(spark, heavy, ahead):
+    """Several graphs in one; the first by the bound are not the first by count (many neighbours in common)."""
+    rng = random.Random(heavy + ahead)
+    ids = [f"n{i:03}" for i in range(120)]
+    calls = {(a, b) for a, b in ((ids[int(rng.random() ** 2 * 120)], rng.choice(ids)) for _ in range(260)) if a != b}
+    calls |= {(f"n{i:03}", f"n{j:03}") for i in range(20) for j in range(100, 112)}  # large bounds, few distinct nodes
+    kind = {i: rng.choice(["Function", "Class", "Call"]) for i in ids}
+    g = a_graph(spark, [(i, kind[i], i, "f.py") for i in ids], calls)
+    nb = {i: {b for a, b in calls if a == i} | {a for a, b in calls if b == i} for i in ids}
+    two = {i: set().union(*(nb[u] for u in nb[i])) - {i} for i in ids}
+    want = sorted(((i, len(nb[i]), len(two[i])) for i in ids if kind[i] != "Call"), key=lambda x: (-x[1] - x[2], x[0]))[:7]
+    got = [(r["id"], r["n_one"], r["n_two"]) for r in metrics.centrality_nodes(g, 7, heavy, ahead=ahead).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_centrality_pairs_candidates_only(spark):
+    """400 functions that touch two nodes of 200 neighbours each, and one that leads all: 80000 pairs if all were counted."""
+    nodes = [(f"f{i:03}", "Function", f"f{i}", "a.py") for i in range(400)] + [(f"m{i}", "Call", f"m{i}", "a.py") for i in range(2)] + [("hub", "Function", "hub", "a.py")]
+    g = a_graph(spark, nodes, [(f"f{i:03}", f"m{i % 2}") for i in range(400)] + [("hub", "m0"), ("hub", "m1")])
+    rows, n = moved(spark, lambda: metrics.centrality_nodes(g, 1))
+    assert [(r["id"], r["n_one"], r["n_two"]) for r in rows] == [("hub", 2, 400)]
+    assert n < 30_000
