@@ -89,7 +89,11 @@ def risk_level(g: Graph, targets: DataFrame | None = None) -> DataFrame:
     t = (targets if targets is not None else g.nodes.where("entity_type in ('Function', 'Class')")).select("graph_id", F.col("id").alias("target_id"))
     d = direct_impacts(g, targets).groupBy("graph_id", "target_id").agg(F.count(F.lit(1)).alias("n_direct"))
     i = indirect_impacts(g, targets).groupBy("graph_id", "target_id").agg(F.count(F.lit(1)).alias("n_indirect"))
-    r = t.join(d, ["graph_id", "target_id"], "left").join(i, ["graph_id", "target_id"], "left").fillna(0, ["n_direct", "n_indirect"])
+    return with_risk(t.join(d, ["graph_id", "target_id"], "left").join(i, ["graph_id", "target_id"], "left"))
+
+
+def with_risk(r: DataFrame) -> DataFrame:
+    r = r.fillna(0, ["n_direct", "n_indirect"])
     score = F.col("n_direct") + 0.5 * F.col("n_indirect")
     return r.withColumn("score", score.cast("double")).withColumn("risk", F.when(score > 20, "high").when(score > 5, "medium").otherwise("low"))
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,11 +52,32 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITING: list[str | None] = []
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def _shuffles_end_with_the_job(spark: SparkSession) -> Iterator[None]:
+    """What a job shuffled is deleted at its end, not when the driver happens to collect its garbage."""
+    with _LOCK:
+        _WRITING.append(_WRITING[0] if _WRITING else spark.conf.get(_CLEANUP, None))
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            was = _WRITING.pop()
+            if not _WRITING:
+                spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back: survives lost executors, unlike localCheckpoint."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end_with_the_job(spark):
+        df.write.parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

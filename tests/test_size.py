@@ -134,3 +134,116 @@ def test_centrality_pairs_candidates_only(spark):
     rows, n = moved(spark, lambda: metrics.centrality_nodes(g, 1))
     assert [(r["id"], r["n_one"], r["n_two"]) for r in rows] == [("hub", 2, 400)]
     assert n < 30_000
+
+
+def sets_of(pairs):
+    out = {}
+    for k, v in pairs:
+        out.setdefault(k, set()).add(v)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_two_steps_equal_brute_force(spark, seed, monkeypatch):
+    from spanweave.operators import twosteps
+
+    rng = random.Random(seed)
+    edges = lambda n, x, y: {(rng.randrange(x), rng.randrange(y)) for _ in range(n)}
+    left, right, apart, near = edges(300, 40, 20), edges(400, 20, 60), edges(30, 40, 12), edges(60, 12, 60)
+    frame = lambda rows, names: spark.createDataFrame(sorted(rows), f"{names[0]} bigint, {names[1]} bigint").repartition(3)
+    l, r, x, n = frame(left, "am"), frame(right, "mb"), frame(apart, "ah"), frame(near, "hb")
+    b_of, near_of = sets_of(right), sets_of(near)
+    want = {(a, b) for a, m in left for b in b_of.get(m, ())}
+    less = want - {(a, b) for a, h in apart for b in near_of.get(h, ())}
+    assert sorted(map(tuple, twosteps.two_steps(l, r).collect())) == sorted(want)
+    got = twosteps.two_steps(l, r, x, n, counts=True, loops=False).collect()
+    assert {tuple(v) for v in got} == {(a, len(s)) for a, s in sets_of((a, b) for a, b in less if a != b).items()}
+    monkeypatch.setattr(twosteps, "CELL", 37)
+    assert sorted(map(tuple, twosteps.two_steps(l, r, x, n).collect())) == sorted(less)
+    run = twosteps._in_cell
+    for most, listed in ((5, 3), (100, 7)):  # an a of more pairs than go at once, and several a at once
+
+        def small(*given, most=most, listed=listed):
+            def cell(batches):
+                was = twosteps.PAIRS, twosteps.LIST
+                twosteps.PAIRS, twosteps.LIST = most, listed
+                try:
+                    yield from run(*given)(batches)
+                finally:  # the worker runs other queries after this
+                    twosteps.PAIRS, twosteps.LIST = was
+
+            return cell
+
+        monkeypatch.setattr(twosteps, "_in_cell", small)
+        assert sorted(map(tuple, twosteps.two_steps(l, r, x, n).collect())) == sorted(less)
+
+
+def a_star(spark, calls):
+    """A coded graph of calls between (kind, key)."""
+    from spanweave.plans import stargraph as S
+
+    ends = sorted({e for c in calls for e in c})
+    n = spark.createDataFrame([(k * 8 + kind, "star", f"{S.KINDS[kind][0]}{k}", ["KGNode", S.KINDS[kind][1]], S.KINDS[kind][1], "x", None, None, None, None) for kind, k in ends],
+                              "code bigint, graph_id string, id string, labels array<string>, entity_type string, name string, source_file string, start_line int, end_line int, description string")
+    return S.Coded(n, spark.createDataFrame([(k * 8 + i, m * 8 + j, "CALLS") for (i, k), (j, m) in sorted(calls)], "src bigint, dst bigint, rel_type string"))
+
+
+def through_parts(n=300):
+    """n orders call a part that calls n suppliers."""
+    from spanweave.plans import stargraph as S
+
+    return {((S.CALL, i), (S.PART, 0)) for i in range(n)} | {((S.PART, 0), (S.SUPPLIER, i)) for i in range(n)}
+
+
+def test_star_indirect_impacts_shuffles_no_pairs(spark):
+    from spanweave.plans import stargraph
+
+    c = a_star(spark, through_parts())
+    rows, n = moved(spark, lambda: stargraph.indirect_impacts(c))
+    assert {tuple(r) for r in rows} == {("star", f"Function:s{i}", f"Call:{j}") for i in range(300) for j in range(300)}
+    assert len(rows) == 90_000 and n < 3000
+
+
+def test_star_risk_level_shuffles_no_pairs(spark):
+    from spanweave.plans import stargraph
+
+    c = a_star(spark, through_parts())
+    rows, n = moved(spark, lambda: stargraph.risk_level(c))
+    assert {tuple(r) for r in rows} == {("star", f"Function:s{i}", 1, 300, 151.0, "high") for i in range(300)} and n < 5000
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_star_impacts_equal_those_on_ids(spark, seed):
+    """Calls between all kinds, so that direct callers are also callers over two calls."""
+    from spanweave.plans import stargraph
+
+    rng = random.Random(seed)
+    ends = [(rng.randrange(6), k) for k in range(25)]
+    c = a_star(spark, {(a, b) for a, b in ((rng.choice(ends), rng.choice(ends)) for _ in range(120)) if a != b})
+    g = c.graph()
+    for own, general in ((stargraph.indirect_impacts, traversal.indirect_impacts), (stargraph.risk_level, traversal.risk_level)):
+        assert sorted(map(tuple, own(c).collect())) == sorted(map(tuple, general(g).collect()))
+
+
+def test_star_edges_need_both_ends(spark, tmp_path):
+    """Keys that are no nodes, null and repeated ones."""
+    import shutil
+
+    from spanweave.plans import stargraph
+
+    shutil.copytree("/root/testdata/sf0.001", tmp_path / "d")
+    for p in (tmp_path / "d").rglob("*"):
+        p.chmod(0o755)
+    (tmp_path / "d").chmod(0o755)
+    at = str(tmp_path / "d" / "lineitem.parquet")
+    li = spark.read.parquet(at)
+    odd = li.limit(6).withColumn("l_orderkey", F.expr("CASE WHEN l_linenumber % 2 = 0 THEN -7 ELSE l_orderkey END")).withColumn("l_suppkey", F.expr("CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 999999 END"))
+    li.unionByName(odd).unionByName(li.limit(9)).write.parquet(at + "2")
+    (tmp_path / "d" / "lineitem.parquet").unlink()
+    shutil.move(at + "2", at)
+    g = stargraph.star_graph(spark, str(tmp_path / "d"))
+    ids = g.nodes.select("id").distinct()
+    e = g.edges.select("src", "dst", "rel_type")
+    assert e.count() == e.distinct().count() == e.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").count()
+    was = stargraph.star_graph(spark, "/root/testdata/sf0.001").edges.select("src", "dst", "rel_type")
+    assert was.exceptAll(e).isEmpty()
