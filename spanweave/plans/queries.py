@@ -292,7 +292,7 @@ def _star(run: Callable[[Graph], DataFrame]) -> Query:
 
 QUERIES |= {f"star_{k}": _star(_ON_GRAPH[k]) for k in ON_STAR}
 #: Those that make pairs over two steps do so on codes.
-QUERIES |= {f"star_{f.__name__}": lambda spark, sf_dir, f=f: f(star_of(spark, sf_dir)) for f in (stargraph.indirect_impacts, stargraph.risk_level)}
+QUERIES |= {f"star_{f.__name__}": lambda spark, sf_dir, f=f: f(star_of(spark, sf_dir)) for f in (stargraph.centrality_nodes, stargraph.indirect_impacts, stargraph.risk_level)}
 
 # ------------------------------------------------------------------------------------------------------- SQL
 _BUILTIN_LIST = ", ".join(f"'{b}'" for b in X.BUILTINS)

@@ -247,3 +247,26 @@ def test_star_edges_need_both_ends(spark, tmp_path):
     assert e.count() == e.distinct().count() == e.join(ids.toDF("src"), "src", "left_semi").join(ids.toDF("dst"), "dst", "left_semi").count()
     was = stargraph.star_graph(spark, "/root/testdata/sf0.001").edges.select("src", "dst", "rel_type")
     assert was.exceptAll(e).isEmpty()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_star_centrality_equals_that_on_ids(spark, seed):
+    """Edges between all kinds and in both directions, at thresholds from nearly all to no heavy nodes."""
+    from spanweave.plans import stargraph
+
+    rng = random.Random(seed)
+    ends = [(rng.randrange(6), k) for k in range(40)]
+    c = a_star(spark, {(a, b) for a, b in ((rng.choice(ends), rng.choice(ends)) for _ in range(90)) if a != b})
+    names = ("id", "n_one", "n_two", "centrality")
+    for heavy, ahead in ((2, 1), (5, 10), (1000, 1)):
+        got, want = stargraph.centrality_nodes(c, 6, heavy, ahead), metrics.centrality_nodes(c.graph(), 6, heavy, ahead)
+        assert sorted(tuple(r[x] for x in names) for r in got.collect()) == sorted(tuple(r[x] for x in names) for r in want.collect())
+
+
+def test_star_centrality_shuffles_no_pairs(spark):
+    from spanweave.plans import stargraph
+
+    c = a_star(spark, through_parts())
+    rows, n = moved(spark, lambda: stargraph.centrality_nodes(c))
+    assert {(r["id"], r["n_one"], r["n_two"]) for r in rows} == {(i, 1, 599) for i in sorted(f"Function:s{i}" for i in range(300))[:10]}
+    assert n < 20_000
